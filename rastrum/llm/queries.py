@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rastrum.llm.packing import pack
+from rastrum.llm.quality import ORACLE as QUALITY_SQL, quality
 from rastrum.llm.simhash import hex_of, near_duplicates
 from rastrum.llm.suffix_dedup import cut_repeats
 
@@ -30,6 +31,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_quality"] = QUALITY_SQL
+
+
 @_query
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"))
