@@ -127,9 +127,9 @@ def _context_hash(buf: np.ndarray, pos: np.ndarray, min_len: int, k: int) -> np.
     return out
 
 
-def _put(*arrays: np.ndarray) -> bytes:
+def _put(*arrays: np.ndarray, level: int = 1) -> bytes:
     head = struct.pack(f"<{len(arrays)}q", *(a.nbytes for a in arrays))
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def _get(blob: bytes, *dtypes: str) -> list[np.ndarray]:
@@ -170,7 +170,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         order = sorted(range(len(ids)), key=ids.__getitem__)
         data = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
-        return _rows(PACKED, [(number, _put(np.array([ids[i] for i in order], "<i8"), np.array([len(texts[i]) for i in order], "<i8"), data))])
+        return _rows(PACKED, [(number, _put(np.array([ids[i] for i in order], "<i8"), np.array([len(texts[i]) for i in order], "<i8"), data, level=6))])
 
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
