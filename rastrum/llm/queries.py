@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rastrum.llm import licenses
+from rastrum.llm import fixity, licenses
 from rastrum.llm.mixing import ORACLE as MIXING_SQL, mixture
 from rastrum.llm.packing import pack
 from rastrum.llm.quality import ORACLE as QUALITY_SQL, quality
@@ -53,6 +53,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_mixing"] = MIXING_SQL
 
 
+@_query
+def op6_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against a replica with planted faults."""
+    pages = table(spark, sf_dir, "pages")
+    return fixity.report(fixity.tree(fixity.digests(pages)), fixity.tree(fixity.digests(fixity.damaged(pages))))
+
+
+ORACLES["op6_merkle_fixity"] = fixity.ORACLE
+
+
 @_query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
