@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rastrum.llm import fixity, licenses
+from rastrum.llm.cotraining import score
 from rastrum.llm.mixing import ORACLE as MIXING_SQL, mixture
 from rastrum.llm.packing import pack
 from rastrum.llm.quality import ORACLE as QUALITY_SQL, quality
@@ -34,6 +35,11 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_robustness(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
