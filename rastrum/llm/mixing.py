@@ -85,6 +85,10 @@ def first_block(source: str, blocks: int, seed: int) -> int:
     return int(hashlib.md5(f"{seed}:{source}".encode()).hexdigest()[:8], 16) % blocks
 
 
+def text_tag(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag")
+
+
 def _key(c) -> F.Column:
     """A source as a key that is never null: "=" before the name, or nothing for null."""
     return F.coalesce(F.concat(F.lit("="), c), F.lit(""))
@@ -107,19 +111,19 @@ def plan(sums: list[tuple[str, int]], block: int, seed: int) -> list[tuple]:
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the taken run: start, run_from, run_to, whole.
+    """tag, doc_id, size, source_size, target, taken and the taken run: start, run_from, run_to, whole.
 
     One row for each row of docs. size is the number of words; a null text has none. Null is a source of
     its own, the last. Rows with equal ids are documents of their own; equal rows are taken in any order.
     The order in a source is that of a seeded hash of the id, so reruns agree. start is the document's
-    place in its source's stream; whole says how often all of it is taken, and the words from run_from
+    place in its source's stream; tag is a hash of the text; whole says how often all of it is taken, and the words from run_from
     to run_to (and, where the run wraps, from 0 to wrap_to) of the stream come on top. An empty table
     gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = checkpoint(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), _key(F.col(source_col)).alias("key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+            F.col(id_col).cast("long").alias("doc_id"), _key(F.col(source_col)).alias("key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_tag(text_col)
         ).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     )
     sums = rows.groupBy("key").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
@@ -136,7 +140,33 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     placed = placed.withColumns({"run_from": first, "run_to": F.least(last, F.col("source_size")), "wrap_to": F.when(F.col("first") + F.col("run") > F.ceil(F.col("source_size") / block), last - F.ceil(F.col("source_size") / block) * block).otherwise(F.lit(0))})
     overlap = lambda a, b: F.greatest(F.lit(0), F.least(b, F.col("start") + F.col("size")) - F.greatest(a, F.col("start")))
     taken = F.col("size") * F.col("whole") + overlap(F.col("run_from"), F.col("run_to")) + overlap(F.lit(0), F.col("wrap_to"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", "run_from", "run_to", "wrap_to", "whole")
+    return placed.select("tag", "key", "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", "run_from", "run_to", "wrap_to", "whole")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each time that a document is taken.
+
+    A document is taken whole once for each whole pass over its source and once more if the run covers
+    it; of a document at an end of the run only the words in the run are taken, joined by single spaces.
+    Documents of which nothing is taken go, as do those without words. The column of lengths is made anew.
+    """
+    same = Window.partitionBy("id", "tag", "key").orderBy(F.lit(1))
+    plan_of = mixture(docs, id_col, text_col, source_col, block, seed).where("taken > 0").withColumnRenamed("doc_id", "id")
+    plan_of = plan_of.withColumn("copy", F.row_number().over(same))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_tag(text_col), _key(F.col(source_col)).alias("key")).withColumn("copy", F.row_number().over(same))
+    joined = rows.alias("r").join(plan_of.alias("p"), F.col("r.id").eqNullSafe(F.col("p.id")) & (F.col("r.tag") == F.col("p.tag")) & (F.col("r.key") == F.col("p.key")) & (F.col("r.copy") == F.col("p.copy")))
+    joined = joined.select("row", "size", "start", "run_from", "run_to", "wrap_to", "whole")
+
+    def part(a, b):
+        """The words of the document between two places of the stream, or null for none."""
+        x, y = F.greatest(a - F.col("start"), F.lit(0)), F.least(b - F.col("start"), F.col("size"))
+        words = F.regexp_extract_all(F.col("row")[text_col], F.lit(WORD), F.lit(0))
+        return F.when((x == 0) & (y == F.col("size")), F.col("row")[text_col]).when(y > x, F.array_join(F.slice(words, (x + 1).cast("int"), (y - x).cast("int")), " "))
+
+    texts = F.concat(F.array_repeat(F.col("row")[text_col], F.col("whole").cast("int")), F.array(part(F.col("run_from"), F.col("run_to")), part(F.lit(0), F.col("wrap_to"))))
+    out = joined.select("row", F.explode(F.filter(texts, lambda t: t.isNotNull())).alias("t"))
+    made = {text_col: F.col("t")} | ({length_col: F.length("t")} if length_col in docs.columns else {})
+    return out.select(*[(made[c] if c in made else F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

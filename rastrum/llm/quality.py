@@ -169,6 +169,22 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     return df.select("doc_id", *stats, "n_repeat_words", "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict).alias("kept"))
 
 
+def _where_late(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter df where it stands.
+
+    Pushed below the projections that make its columns, a condition would repeat their expressions once
+    for each use; the optimizer doesn't push through a projection that isn't deterministic.
+    """
+    return df.withColumn("_late", F.rand(0)).where(condition & (F.col("_late") >= 0)).drop("_late")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that quality() keeps, unchanged: the cascade first, repeated windows only for what it lets pass."""
+    rows = _where_late(cascade(docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", rules), F.col("rejected_by").isNull())
+    rows = with_repeat_words(rows.select("row", words_of(F.col("text")).alias("words")), "words", "n_repeat_words")
+    return _where_late(rows, (F.size("words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.size("words"))).select("row.*")
+
+
 ORACLE = r"""
 with w as (select row_number() over () as k, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 g as (select k, list_transform(range(0, greatest(len(w) - 4, 0)), lambda i: array_to_string(w[i+1:i+5], ' ')) as g from w),

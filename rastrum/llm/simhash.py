@@ -17,7 +17,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rastrum.operators.graph import connected_components
 from rastrum.session import checkpoint
@@ -72,14 +72,18 @@ def _fingerprints(width: int):
                         rows, hashes, sizes, held = [], [], [], 0
             if rows:
                 flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out), batch.column(2)], ["doc_id", "fp", "tag"])
 
     return run
 
 
+def text_tag(text_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): a bit is set if it is in over half of the shingles' hashes; no words give zero."""
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """(doc_id, fp, tag): a bit is set if it is in over half of the shingles' hashes; no words give zero. tag is a hash of the text."""
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), text_tag(text_col)).mapInArrow(_fingerprints(shingle), "doc_id long, fp long, tag long")
 
 
 def forest(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -134,7 +138,9 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable over links.
+    """(doc_id, fp, component_id, root, tag) for each row of docs; component_id is the smallest doc_id reachable over links.
+
+    root names the component by a fingerprint of it, tag is a hash of the text.
 
     Fingerprints link at distance or fewer differing bits. A null, empty or blank text has fingerprint zero
     and is linked like any other. Rows with equal ids are rows of their own and share a component only
@@ -147,7 +153,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(links(classes.select("fp"), distance))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "component_id", "root", "tag")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of docs, one of each component: that of the smallest id (null ids last, then a hash of the text).
+
+    All columns stay as they are. Of rows equal in id and text one stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, distance)
+    keepers = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.tag").alias("tag")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_tag(text_col))
+    kept = rows.join(keepers, rows["id"].eqNullSafe(keepers["id"]) & (rows["tag"] == keepers["tag"]), "left_semi")
+    return kept.withColumn("copy", F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.lit(1)))).where("copy = 1").select("row.*")
 
 
 def hex_of(fp) -> F.Column:

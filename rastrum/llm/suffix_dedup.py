@@ -157,29 +157,40 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-PACKED = pa.schema([("batch", pa.int64()), ("blob", pa.binary())])
+PACKED = pa.schema([("batch", pa.int64()), ("blob", pa.binary()), ("carried", pa.binary())])
 SENT = pa.schema([("p", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary())])
 FOUND = pa.schema([("kind", pa.int32()), ("p", pa.int32()), ("batch", pa.int64()), ("blob", pa.binary())])
-_DDL = {"PACKED": "batch long, blob binary", "SENT": "p int, batch long, blob binary", "FOUND": "kind int, p int, batch long, blob binary"}
+_DDL = {"PACKED": "batch long, blob binary, carried binary", "SENT": "p int, batch long, blob binary", "FOUND": "kind int, p int, batch long, blob binary"}
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
-    number, ids, texts, size = (context.partitionId() if context else 0) << 32, [], [], 0
+    number, ids, texts, size, others = (context.partitionId() if context else 0) << 32, [], [], 0, []
+
+    def carried(order):
+        """The other columns of the batch, in the order of the texts."""
+        out = pa.BufferOutputStream()
+        table = pa.Table.from_batches(others).combine_chunks().take(pa.array(order))
+        with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        return out.getvalue().to_pybytes()
 
     def flush():
         order = sorted(range(len(ids)), key=ids.__getitem__)
         data = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
-        return _rows(PACKED, [(number, _put(np.array([ids[i] for i in order], "<i8"), np.array([len(texts[i]) for i in order], "<i8"), data, level=6))])
+        return _rows(PACKED, [(number, _put(np.array([ids[i] for i in order], "<i8"), np.array([len(texts[i]) for i in order], "<i8"), data, level=6), carried(order) if others and others[0].num_columns else None)])
 
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        rest, begun = batch.select(range(2, batch.num_columns)), 0
+        for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
             ids.append(NULL_ID if i is None else i)
             texts.append(t.as_py() or b"")
             size += len(texts[-1])
             if size >= BATCH_BYTES:
+                others.append(rest.slice(begun, k + 1 - begun))
                 yield flush()
-                number, ids, texts, size = number + 1, [], [], 0
+                number, ids, texts, size, others, begun = number + 1, [], [], 0, [], k + 1
+        others.append(rest.slice(begun))
     if ids:
         yield flush()
 
@@ -387,7 +398,7 @@ def _cut(min_len: int, with_text: bool):
 
     def run(batches):
         for b in batches:
-            for blob, answers in zip(b.column("blob"), b.column("answers"), strict=True):
+            for blob, answers, carried in zip(b.column("blob"), b.column("answers"), b.column("carried"), strict=True):
                 ids, lens, data = _get(blob.as_py(), "<i8", "<i8", "u1")
                 starts = np.cumsum(np.concatenate(([min_len], lens[:-1] + min_len)))
                 got = [_get(x, "<i8", "<i8") for x in answers.as_py() or []]
@@ -407,28 +418,47 @@ def _cut(min_len: int, with_text: bool):
                             keep[x:y] = 0
                         row += (whole_characters(text, keep) if len(a) else text.decode("utf-8", "ignore"),)
                     rows.append(row)
+                extra = pa.ipc.open_stream(carried.as_py()).read_all() if carried.is_valid else None
                 for x in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_pydict({c: pa.array([r[j] for r in rows[x : x + 2000]], pa.int64() if j < 4 else pa.string()) for j, c in enumerate(names)})
+                    own = [pa.array([r[j] for r in rows[x : x + 2000]], pa.int64() if j < 4 else pa.string()) for j in range(len(names))]
+                    more = [c.combine_chunks() for c in extra.slice(x, 2000).columns] if extra is not None else []
+                    yield pa.RecordBatch.from_arrays(own + more, names + [f"c{j}" for j in range(len(more))])
 
     return run
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, k: int = 26, with_text: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50, k: int = 26, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte under a string of min_len bytes that also starts in a document with a smaller id.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, on request,
-    kept_text (a character is dropped only if all its bytes are), one row for each row of docs.
+    kept_text (a character is dropped only if all its bytes are), one row for each row of docs. Columns
+    named in carry come along as c0, c1 and so on.
     A null text is empty; a null id sorts before all others; rows with equal ids do not remove each
     other's bytes; texts shorter than min_len stay whole; overlaps count; strings are judged on the
     input. An empty table gives an empty result; other columns are ignored. Texts are valid UTF-8.
     """
     parts = partitions_of(docs.sparkSession)
-    packed = checkpoint(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(_pack, _DDL["PACKED"]))
-    sent = packed.mapInArrow(_send(parts, min_len, k), _DDL["SENT"])
+    kept = [docs[c].alias(f"c{i}") for i, c in enumerate(carry)]
+    packed = checkpoint(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *kept).mapInArrow(_pack, _DDL["PACKED"]))
+    sent = packed.drop("carried").mapInArrow(_send(parts, min_len, k), _DDL["SENT"])
     met = sent.groupBy("p").applyInArrow(_meet, _DDL["SENT"])
     answers = met.groupBy("batch").agg(F.collect_list("blob").alias("answers"))
-    found = checkpoint(packed.join(answers, "batch").mapInArrow(_cover(parts, min_len, k), _DDL["FOUND"]))
+    found = checkpoint(packed.drop("carried").join(answers, "batch").mapInArrow(_cover(parts, min_len, k), _DDL["FOUND"]))
     resolved = found.where("kind = 1").select("p", "batch", "blob").groupBy("p").applyInArrow(_resolve(min_len, k), _DDL["FOUND"])
     spans = found.where("kind = 0").unionByName(resolved).groupBy("batch").agg(F.collect_list("blob").alias("answers"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema += "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
     return packed.join(spans, "batch", "left").mapInArrow(_cut(min_len, with_text), schema)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_len: int = 50) -> DataFrame:
+    """docs with their texts cut as by cut_repeats and the column of lengths made anew; all rows and columns stay.
+
+    A text of which nothing is left becomes empty.
+    """
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    found = cut_repeats(docs, id_col, text_col, min_len, with_text=True, carry=rest)
+    made = {id_col: F.col("doc_id"), text_col: F.col("kept_text")} | {c: F.col(f"c{i}") for i, c in enumerate(rest)}
+    if length_col in rest:
+        made[length_col] = F.length("kept_text")
+    return found.select(*[made[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
