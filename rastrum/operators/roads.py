@@ -68,7 +68,7 @@ LINES = "label long, line int, pts array<struct<row:int,col:int>>"
 
 
 def _as_lines(label_: int, paths: list[list[tuple[int, int]]]) -> pd.DataFrame:
-    return pd.DataFrame({"label": [label_] * len(paths), "line": range(len(paths)), "pts": [[{"row": r, "col": c} for r, c in p] for p in paths]})
+    return pd.DataFrame({"label": [label_] * len(paths), "line": range(len(paths)), "pts": pd.Series([[{"row": r, "col": c} for r, c in p] for p in paths], dtype=object)})
 
 
 def trace_paths(skeleton: DataFrame, min_pixels: int = 6) -> DataFrame:

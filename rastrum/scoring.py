@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import Protocol
 
 import numpy as np
@@ -81,3 +81,28 @@ def segment(tiles: DataFrame, scorer: TileScorer, batch: int = 4) -> DataFrame:
                 yield pd.DataFrame({"raster_id": r.raster_id, "tile_id": r.tile_id, "row": rr.ravel(), "col": cc.ravel(), "p": p.ravel().astype(float)})
 
     return tiles.mapInPandas(run, "raster_id string, tile_id long, row int, col int, p double")
+
+
+def seeded_flips(seed: int, across: float = 0.5, down: float = 0.1) -> Callable[[int], tuple[bool, bool]]:
+    """For each tile id whether it is flipped across and down, the same in every run."""
+
+    def flips(tile_id: int) -> tuple[bool, bool]:
+        r = np.random.default_rng((seed, tile_id & 0xFFFFFFFF)).random(2)
+        return bool(r[0] < across), bool(r[1] < down)
+
+    return flips
+
+
+def augment(tiles: DataFrame, flips: Callable[[int], tuple[bool, bool]]) -> DataFrame:
+    """Tiles with their pixels flipped as flips(tile_id) says."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                a = np.frombuffer(r.pixels, np.uint8).reshape(r.bands, r.h, r.w)
+                x, y = flips(r.tile_id)
+                out.append(np.ascontiguousarray(a[:, :: -1 if y else 1, :: -1 if x else 1]).tobytes())
+            yield pdf.assign(pixels=out)
+
+    return tiles.mapInPandas(run, tiles.schema)
