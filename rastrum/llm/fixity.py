@@ -151,7 +151,8 @@ def write_warc(pages: DataFrame, path: str) -> None:
     """
     rows = pages.select(F.shiftright(F.coalesce("page_id", F.lit(NULL_PAGE)).cast("long"), FAN_BITS * FILE_LEVEL).alias("file"), "page_id", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("value"))
     rows = rows.repartition("file").sortWithinPartitions("file", "page_id")
-    rows.select("file", "value").write.mode("overwrite").partitionBy("file").option("lineSep", "").text(path)
+    # the text sink ends each value with the line break that ends the record
+    rows.select("file", F.expr("substring(value, 1, length(value) - 1)").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
 
 
 ORACLE = r"""

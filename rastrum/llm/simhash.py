@@ -23,6 +23,8 @@ from rastrum.operators.graph import connected_components
 from rastrum.session import checkpoint
 
 BLOCK = 100_000  # shingles whose bits are counted at once
+BANDS, ROWS = 24, 4  # groups of positions of the min-wise sketch, and positions of a group
+SKETCH_SEED = 20
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -156,13 +158,83 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(rooted.select("fp", "root").join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "component_id", "root", "tag")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of docs, one of each component: that of the smallest id (null ids last, then a hash of the text).
+def _bands(width: int):
+    """(id, tag, bands): a key for each of BANDS groups of positions of a min-wise sketch of the shingles."""
+    rng = np.random.default_rng(SKETCH_SEED)
+    factors = rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    mixers = rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
-    All columns stay as they are. Of rows equal in id and text one stays.
+    def sketch(hashes: list[list[int]]) -> np.ndarray:
+        h = np.array([x for part in hashes for x in part], np.uint64)
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in hashes])[:-1]))
+        least = np.stack([np.minimum.reduceat(h * (f | np.uint64(1)) + g, starts) for f, g in factors.T], axis=1)
+        least = (least ^ (least >> np.uint64(29))).reshape(len(hashes), BANDS, ROWS) * mixers
+        return (least ^ (least >> np.uint64(32))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                found = [(i, h) for i, t in enumerate(part.column(2)) if (h := shingle_hashes(t.as_py() or b"", width))]
+                if found:
+                    kept = part.take(pa.array([i for i, _ in found]))
+                    keys = sketch([h for _, h in found])
+                    yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "tag", "bands"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t.as_py() or b"", width), np.uint64)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["tag", "shingles"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """(src, dst): links between texts, named by their tags, whose sets of width-word shingles have a Jaccard similarity of least or more.
+
+    At this similarity 64 bits of SimHash differ in ten or so, which leaves no guaranteed byte. The index is
+    therefore over the positions of a min-wise sketch, of which two such texts share a share of least. Keys
+    are groups of ROWS positions; with BANDS groups a pair at 0.8 meets in none with a probability below
+    0.00001. In each posting all members are compared with two of them, the one of the smallest and the one
+    of the largest tag, so a posting of any size gives a linear number of pairs; each pair is then verified
+    on the whole sets. Texts without words have no links.
+    """
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text_tag(text_col), F.col(text_col).cast("binary").alias("text"))
+    banded = rows.mapInArrow(_bands(width), "id long, tag long, bands array<bigint>")
+    classes = checkpoint(banded.groupBy("tag").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
+    entries = classes.select("tag", F.posexplode("bands").alias("band", "key"))
+    ends = entries.groupBy("band", "key").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high")
+    pairs = entries.join(ends, ["band", "key"]).select(F.col("tag").alias("src"), F.explode(F.array("low", "high")).alias("dst")).where("src <> dst")
+    pairs = checkpoint(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    used = pairs.select(F.explode(F.array("src", "dst")).alias("tag")).distinct()
+    texts = rows.join(classes.join(used, "tag", "left_semi").select("id", "tag"), ["id", "tag"])
+    sets = checkpoint(texts.select("tag", "text").mapInArrow(_sets(width), "tag long, shingles array<bigint>").groupBy("tag").agg(F.any_value("shingles").alias("shingles")))
+    a, b = (sets.select(F.col("tag").alias(e), F.col("shingles").alias(f"set_{e}")) for e in ("src", "dst"))
+    shared = F.size(F.array_intersect("set_src", "set_dst"))
+    enough = shared >= F.lit(least) * (F.size("set_src") + F.size("set_dst") - shared)
+    return pairs.join(a, "src").join(b, "dst").where(enough).select("src", "dst")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, similar: tuple[int, float] | None = (5, 0.8)) -> DataFrame:
+    """The rows of docs, one of each group: that of the smallest id (null ids last, then a hash of the text).
+
+    Groups are the components over links of fingerprints and, with similar (words of a shingle, least
+    similarity), of texts that similar. All columns stay as they are. Of rows equal in id and text one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, distance)
-    keepers = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.tag").alias("tag")).distinct()
+    found = checkpoint(fingerprints(docs, id_col, text_col, shingle))
+    heads = checkpoint(found.groupBy("fp").agg(F.min("tag").alias("head")))
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    edges = found.select("fp", "tag").distinct().join(heads, "fp").select(F.col("tag").alias("src"), F.col("head").alias("dst"))
+    edges = edges.union(links(heads.select("fp"), distance).join(of("src"), "src").join(of("dst"), "dst").select("head_src", "head_dst"))
+    if similar:
+        edges = edges.union(similar_links(docs, id_col, text_col, *similar))
+    roots = connected_components(edges)
+    rooted = found.select("doc_id", "tag").join(roots, found["tag"] == roots["node"], "left").select("doc_id", "tag", F.coalesce("component", "tag").alias("root"))
+    keepers = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tag")).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.tag").alias("tag"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_tag(text_col))
     kept = rows.join(keepers, rows["id"].eqNullSafe(keepers["id"]) & (rows["tag"] == keepers["tag"]), "left_semi")
     return kept.withColumn("copy", F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.lit(1)))).where("copy = 1").select("row.*")
