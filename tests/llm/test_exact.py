@@ -104,6 +104,21 @@ def test_a_long_text_in_chunks(spark, monkeypatch):
     assert gaps.max() <= 25
 
 
+def components(n, edges):
+    """The smallest index reachable from each."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
 def fingerprint(t, width=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     if not w:
@@ -116,12 +131,8 @@ def fingerprint(t, width=3):
 def test_simhash(docs):
     rows = py(docs.collect())
     fps = [fingerprint(t) for _, t in rows]
-    comp = list(range(len(rows)))
-    for _ in rows:
-        for i, a in enumerate(fps):
-            for j, b in enumerate(fps):
-                if (a ^ b).bit_count() <= 2:
-                    comp[i] = comp[j] = min(comp[i], comp[j])
+    near = {(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps[:i]) if (a ^ b).bit_count() <= 2}
+    comp = components(len(rows), near)
     least = {c: min((d for (d, _), k in zip(rows, comp, strict=True) if k == c and d is not None), default=None) for c in set(comp)}
     found = simhash.near_duplicates(docs).select("doc_id", simhash.hex_of("fp"), "component_id")
     same(found.collect(), [(d, f"{f:016x}", least[c]) for (d, _), f, c in zip(rows, fps, comp, strict=True)])
@@ -134,12 +145,8 @@ def test_simhash(docs):
         return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
     sets = [shingles(t) for _, t in rows]
-    for _ in rows:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 5 * len(a & b) >= 4 * len(a | b):
-                    comp[i] = comp[j] = min(comp[i], comp[j])
-    assert kept.count() == len(set(comp))
+    alike = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 5 * len(a & b) >= 4 * len(a | b)}
+    assert kept.count() == len(set(components(len(rows), near | alike)))
     assert simhash.keep_one(docs, similar=None).count() == len(least)
 
 
@@ -162,17 +169,8 @@ def test_similar_links_find_near_copies(spark):
     alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
     assert all(alike(a, b) for a, b in found)
 
-    def roots(edges):
-        root = list(range(len(texts)))
-        for _ in range(len(texts)):
-            before = list(root)
-            for a, b in edges:
-                root[a] = root[b] = min(root[a], root[b])
-            if root == before:
-                return root
-
     copies = [(texts.index(t), i) for i, t in enumerate(texts)]
-    assert roots(found + copies) == roots([(a, b) for a in range(len(texts)) for b in range(a) if alike(a, b)] + copies)
+    assert components(len(texts), found + copies) == components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if alike(a, b)] + copies)
 
 
 def test_links_of_a_large_posting():
