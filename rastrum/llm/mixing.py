@@ -26,6 +26,7 @@ CAP = 2  # times that a source may be repeated
 BLOCK = 64
 SEED = 17
 MAX_SOURCES = 1_000_000  # sums of sources are held on the driver; more than these are refused
+BROADCAST_SOURCES = 10_000  # rows of the plan that are broadcast, less than 2 MB
 BUCKET_ROWS = 500
 
 
@@ -131,6 +132,8 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
         raise ValueError(f"more than {MAX_SOURCES} sources")
     buckets = max([1, *(-(-s["rows"] // BUCKET_ROWS) for s in sums)])
     given = spark.createDataFrame(plan([(s["key"], s["n"]) for s in sums], block, seed), "key string, source_size long, target double, whole long, first long, run long")
+    if len(sums) <= BROADCAST_SOURCES:  # a join by source alone would deal all rows of a source to one task
+        given = F.broadcast(given)
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))).cast("long"))
     level = rows.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
     level = level.select("key", "bucket", (F.sum("n").over(Window.partitionBy("key").orderBy("bucket")) - F.col("n")).alias("before"))
