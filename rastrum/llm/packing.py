@@ -12,6 +12,7 @@ from __future__ import annotations
 import array
 import itertools
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from rastrum.session import checkpoint, partitions_of
 
 FAN_IN = 16
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000  # chunks that a Python worker remembers, about 150 MB
+RARE_SPACE = re.compile(r"[^\S \n]")
 _tokenizers: dict = {}
 
 
@@ -41,29 +43,32 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of a space and the chunk
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
+    def chunks(text: str) -> list[str] | None:
+        """The text cut at its spaces, or None if white space stands beside one of them or at an end."""
         parts = text.split(" ")
-        out = [parts[0], *[" " + p for p in parts[1:]]]
-        if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return [text]
-        return out
+        if RARE_SPACE.search(text):
+            return None if any(not p or p[0].isspace() or p[-1].isspace() for p in parts) else parts
+        return None if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text else parts
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) if t else [] for t in texts]
-        new = list({c for parts in cut for c in parts if c not in self.known})
+        known = self.known
+        cut = [self.chunks(t) for t in texts]
+        new = list({c for parts in cut if parts for c in parts[1:] if c not in known})
         for s in range(0, len(new), 20_000):
-            self.known |= zip(new[s : s + 20_000], self._encode(new[s : s + 20_000]), strict=True)
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+            known |= zip(new[s : s + 20_000], self._encode([" " + c for c in new[s : s + 20_000]]), strict=True)
+        # what stands first, and texts that can't be cut
+        heads = self._encode([parts[0] if parts else t for t, parts in zip(texts, cut, strict=True)])
+        out = [head + b"".join(map(known.__getitem__, parts[1:])) if parts else head for head, parts in zip(heads, cut, strict=True)]
         for c in new:
             if len(c) > 64:
-                del self.known[c]
-        if len(self.known) > CACHE_ENTRIES:
+                del known[c]
+        if len(known) > CACHE_ENTRIES:
             self.known = {}
         return out
 
