@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rastrum.session import checkpoint
+from rastrum.session import checkpoint, partitions_of
 
 FAN_BITS = 4
 FAN = 1 << FAN_BITS
@@ -44,41 +44,38 @@ def _hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", *parts).cast("binary"), 256)
 
 
-def tree(records: DataFrame) -> DataFrame:
-    """(level, node, n_records, n_bytes, hash) of all nodes over (page_id, n_bytes, sha256).
+def tree(records: DataFrame) -> list[DataFrame]:
+    """(node, n_records, n_bytes, hash) of the nodes of each level over (page_id, n_bytes, sha256).
 
-    Level 0 are the leaves, one for each page id; null ids share leaf NULL_PAGE. Records of one leaf count
+    The first level are the leaves, one for each page id; null ids share leaf NULL_PAGE. Records of one leaf count
     whatever their order. The last level is the first with one node for the ids from 0 on (ids below 0 have
     a top node of their own).
     """
     chunk = lambda i: F.sum(F.conv(F.substring("sha256", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
     leaves = records.groupBy(F.coalesce("page_id", F.lit(NULL_PAGE)).cast("long").alias("node")).agg(F.count("*").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), *[chunk(i).alias(f"c{i}") for i in range(4)])
-    leaves = leaves.select(F.lit(0).alias("level"), "node", "n_records", "n_bytes", _hash(F.col("n_records").cast("string"), F.col("n_bytes").cast("string"), *[F.col(f"c{i}") for i in range(4)]).alias("hash"))
+    leaves = leaves.select("node", "n_records", "n_bytes", _hash(F.col("n_records").cast("string"), F.col("n_bytes").cast("string"), *[F.col(f"c{i}") for i in range(4)]).alias("hash"))
     levels = [checkpoint(leaves)]
     ends = levels[0].agg(F.min("node"), F.max("node")).first()
     top = max(ends[1] or 0, -(ends[0] or 0) - 1).bit_length()
-    for level in range(1, -(-top // FAN_BITS) + 1):
+    for level in range(1, max(FILE_LEVEL, -(-top // FAN_BITS)) + 1):
         child = F.struct("node", F.concat_ws(":", F.col("node").cast("string"), F.col("hash"), F.col("n_bytes").cast("string")).alias("says"))
         up = levels[-1].groupBy(F.shiftright("node", FAN_BITS).alias("up")).agg(F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(child)).alias("children"))
         hashed = F.sha2(F.array_join(F.transform("children", lambda c: c["says"]), ",").cast("binary"), 256)
-        levels.append(checkpoint(up.select(F.lit(level).alias("level"), F.col("up").alias("node"), "n_records", "n_bytes", hashed.alias("hash"))))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+        # a level has a FAN-th of the nodes below it, so it needs a FAN-th of the partitions
+        up = up.coalesce(max(1, partitions_of(records.sparkSession) >> (FAN_BITS * level)))
+        levels.append(checkpoint(up.select(F.col("up").alias("node"), "n_records", "n_bytes", hashed.alias("hash"))))
+    return levels
 
 
-def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
+def audit(primary: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
     """The damaged leaves of a replica: (page_id, status, n_bytes, replica_bytes) from two trees.
 
     status is corrupt (other content), missing (not in the replica) or extra (only there). page_id is null
     for the records without an id. Equal trees give no rows, as do two empty ones.
     """
-    last = max(primary.agg(F.max("level")).first()[0] or 0, replica.agg(F.max("level")).first()[0] or 0)
-    at = lambda t, level: t.where(F.col("level") == level).select("node", "hash", "n_bytes")
     suspects = None
-    for level in range(last, -1, -1):
-        a, b = at(primary, level), at(replica, level)
+    for level in range(min(len(primary), len(replica)) - 1, -1, -1):  # from the highest level that both have
+        a, b = primary[level], replica[level]
         if suspects is not None:  # descend only where the parents differ
             a, b = (t.join(suspects.select(F.col("node").alias("parent")), F.shiftright(t["node"], FAN_BITS) == F.col("parent"), "left_semi") for t in (a, b))
         a, b = a.select("node", F.col("hash").alias("h"), "n_bytes"), b.select("node", F.col("hash").alias("g"), F.col("n_bytes").alias("replica_bytes"))
@@ -87,14 +84,14 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     return suspects.select(F.when(F.col("node") != NULL_PAGE, F.col("node")).alias("page_id"), status.alias("status"), "n_bytes", "replica_bytes")
 
 
-def report(primary: DataFrame, replica: DataFrame) -> DataFrame:
+def report(primary: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
     """One row for each leaf of the primary and each extra one: page_id, file, n_records, n_bytes, leaf_sha256, file_sha256, status.
 
     file is the archive file that holds the page, file_sha256 the hash of its node; status is ok or as in audit.
     """
     found = audit(primary, replica).withColumn("node", F.coalesce("page_id", F.lit(NULL_PAGE)).cast("long")).select("node", "status")
-    leaves = primary.where("level = 0").select("node", "n_records", "n_bytes", F.col("hash").alias("leaf_sha256"))
-    files = primary.where(F.col("level") == FILE_LEVEL).select(F.col("node").alias("file"), F.col("hash").alias("file_sha256"))
+    leaves = primary[0].select("node", "n_records", "n_bytes", F.col("hash").alias("leaf_sha256"))
+    files = primary[FILE_LEVEL].select(F.col("node").alias("file"), F.col("hash").alias("file_sha256"))
     rows = leaves.join(found, "node", "full").withColumn("file", F.shiftright("node", FAN_BITS * FILE_LEVEL)).join(files, "file", "left")
     return rows.select(F.when(F.col("node") != NULL_PAGE, F.col("node")).alias("page_id"), "file", "n_records", "n_bytes", "leaf_sha256", "file_sha256", F.coalesce("status", F.lit("ok")).alias("status"))
 
