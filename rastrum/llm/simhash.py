@@ -25,6 +25,9 @@ from rastrum.session import checkpoint
 BLOCK = 100_000  # shingles whose bits are counted at once
 BANDS, ROWS = 24, 4  # groups of positions of the min-wise sketch, and positions of a group
 SKETCH_SEED = 20
+AGREE = 57  # positions of a sketch that must agree; a pair at a similarity of 0.8 has fewer with a probability below 0.00001
+CELL = 512  # members of each side of a cell of a posting
+CELL_ID = ("band", "key", "kind", "i", "j")
 
 
 def shingle_hashes(text: bytes, width: int) -> list[int]:
@@ -159,17 +162,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _bands(width: int):
-    """(id, tag, bands): a key for each of BANDS groups of positions of a min-wise sketch of the shingles."""
+    """(id, tag, bands, sketch): a key for each of BANDS groups of positions of a min-wise sketch of the shingles, and a byte for each position."""
     rng = np.random.default_rng(SKETCH_SEED)
     factors = rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
     mixers = rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
-    def sketch(hashes: list[list[int]]) -> np.ndarray:
+    def sketch(hashes: list[list[int]]) -> tuple[np.ndarray, list[bytes]]:
         h = np.array([x for part in hashes for x in part], np.uint64)
         starts = np.concatenate(([0], np.cumsum([len(x) for x in hashes])[:-1]))
         least = np.stack([np.minimum.reduceat(h * (f | np.uint64(1)) + g, starts) for f, g in factors.T], axis=1)
+        low = [x.tobytes() for x in least.astype(np.uint8)]
         least = (least ^ (least >> np.uint64(29))).reshape(len(hashes), BANDS, ROWS) * mixers
-        return (least ^ (least >> np.uint64(32))).sum(axis=2, dtype=np.uint64).view(np.int64)
+        return (least ^ (least >> np.uint64(32))).sum(axis=2, dtype=np.uint64).view(np.int64), low
 
     def run(batches):
         for batch in batches:
@@ -178,8 +182,8 @@ def _bands(width: int):
                 found = [(i, h) for i, t in enumerate(part.column(2)) if (h := shingle_hashes(t.as_py() or b"", width))]
                 if found:
                     kept = part.take(pa.array([i for i, _ in found]))
-                    keys = sketch([h for _, h in found])
-                    yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "tag", "bands"])
+                    keys, low = sketch([h for _, h in found])
+                    yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(list(keys), pa.list_(pa.int64())), pa.array(low, pa.binary())], ["id", "tag", "bands", "sketch"])
 
     return run
 
@@ -193,30 +197,117 @@ def _sets(width: int):
     return run
 
 
+def _others(i: int, band: int, comp: np.ndarray, low: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The members after member i of a cell that are in other components, agree in AGREE positions or more and share no earlier band."""
+    other = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+    other = other[(low[other] == low[i]).sum(axis=1) >= AGREE]
+    return other[~(keys[other, :band] == keys[i, :band]).any(axis=1)]
+
+
+def _members(m) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tag, comp, sketches, keys) of Arrow columns of these names."""
+    tag, comp = (np.array(m(n).to_pylist(), np.int64) for n in ("tag", "comp"))
+    return tag, comp, np.frombuffer(b"".join(m("sketch").to_pylist()), np.uint8).reshape(len(tag), -1), np.array(m("bands").to_pylist(), np.int64)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each cell that have a candidate in it."""
+    for batch in batches:
+        rows = []
+        for *cell, members in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+            tag, comp, low, keys = _members(members.values.field)
+            used = np.zeros(len(tag), bool)
+            for i in range(len(tag) - 1):
+                other = _others(i, cell[0], comp, low, keys)
+                used[other] = True
+                used[i] |= len(other) > 0
+            rows += [(*cell, int(tag[i]), int(comp[i])) for i in np.flatnonzero(used)]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [*CELL_ID, "tag", "comp"])
+
+
+def _cell_links(least: float):
+    def run(cell: pa.Table) -> pa.Table:
+        """Links of a cell's candidates, one at most for each pair of components that they join."""
+        tag, comp, low, keys = _members(lambda n: cell.column(n))
+        band = cell.column("band")[0].as_py()
+        sets = [np.array(x.values) for x in cell.column("shingles")]
+        sizes = np.array([len(x) for x in sets])
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        found = []
+        for i in range(len(tag) - 1):
+            other = _others(i, band, comp, low, keys)
+            if not len(other):
+                continue
+            own = np.zeros(code.max() + 1, bool)
+            own[code[starts[i] : starts[i] + sizes[i]]] = True
+            both = np.array([np.count_nonzero(own[code[starts[j] : starts[j] + sizes[j]]]) for j in other])
+            near = other[both >= least * (sizes[i] + sizes[other] - both)]
+            for j in near[np.unique(comp[near], return_index=True)[1]]:
+                found.append((tag[i], tag[j]))
+                comp[comp == comp[j]] = comp[i]
+        return pa.table({n: pa.array([int(p[k]) for p in found], pa.int64()) for k, n in enumerate(("src", "dst"))})
+
+    return run
+
+
+def _left_apart(shared: DataFrame, classes: DataFrame, sets: DataFrame, near: DataFrame, least: float) -> DataFrame:
+    """(src, dst): links among the members of postings that the links in near leave in several components.
+
+    The members outside a posting's largest component meet all its members in cells of two chunks of CELL members or so.
+    A cell first tells which of its members have a candidate; only their sets are sent to it for the verification.
+    """
+    roots = connected_components(near)
+    placed = checkpoint(shared.select("band", "key", "tag").join(roots, shared["tag"] == roots["node"], "left").select("band", "key", "tag", F.coalesce("component", "tag").alias("comp")))
+    sizes = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n")).groupBy("band", "key")
+    sizes = sizes.agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    chunks = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
+    split = placed.join(sizes, ["band", "key"]).select("band", "key", "tag", "comp", (F.col("comp") == F.col("most.comp")).alias("major"), chunks(F.col("n") - F.col("most.n")).alias("few"), chunks(F.col("most.n")).alias("many"))
+    own = lambda n: F.pmod(F.xxhash64("tag"), n).cast("int")
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    minor = F.concat(
+        F.transform(upto(F.col("few")), lambda j: cell(0, F.least(own(F.col("few")), j), F.greatest(own(F.col("few")), j))),
+        F.transform(upto(F.col("many")), lambda j: cell(1, own(F.col("few")), j)),
+    )
+    major = F.transform(upto(F.col("few")), lambda i: cell(1, i, own(F.col("many"))))
+    traits = classes.select("tag", "sketch", "bands")
+    cells = split.withColumn("cell", F.explode(F.when(F.col("major"), major).otherwise(minor))).select("band", "key", "cell.*", "tag", "comp").join(traits, "tag")
+    cells = cells.groupBy(*CELL_ID).agg(F.collect_list(F.struct("tag", "comp", "sketch", "bands")).alias("members")).where(F.size("members") > 1)
+    used = checkpoint(cells.mapInArrow(_candidates, "band int, key long, kind int, i int, j int, tag long, comp long"))
+    return checkpoint(used.join(traits, "tag").join(sets, "tag").groupBy(*CELL_ID).applyInArrow(_cell_links(least), "src long, dst long"))
+
+
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """(src, dst): links between texts, named by their tags, whose sets of width-word shingles have a Jaccard similarity of least or more.
+    """(src, dst): links between texts, named by their tags, that connect all whose sets of width-word shingles have a Jaccard similarity of least or more.
 
     At this similarity 64 bits of SimHash differ in ten or so, which leaves no guaranteed byte. The index is
     therefore over the positions of a min-wise sketch, of which two such texts share a share of least. Keys
     are groups of ROWS positions; with BANDS groups a pair at 0.8 meets in none with a probability below
-    0.00001. In each posting all members are compared with two of them, the one of the smallest and the one
-    of the largest tag, so a posting of any size gives a linear number of pairs; each pair is then verified
-    on the whole sets. Texts without words have no links.
+    0.00001. First all members of a posting are compared with two of them, the one of the smallest and the
+    one of the largest tag, a linear number of pairs. Then the members of postings that these links leave in
+    several components are compared with each other in bounded cells: the positions that agree are tallied
+    from the sketches, and pairs that reach AGREE are candidates. All candidates are verified on the whole
+    sets; of the links of a cell a spanning forest is given. Texts without words have no links.
     """
+    if least < 0.8:
+        raise ValueError("the sketch finds pairs at a similarity of 0.8 or more")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text_tag(text_col), F.col(text_col).cast("binary").alias("text"))
-    banded = rows.mapInArrow(_bands(width), "id long, tag long, bands array<bigint>")
-    classes = checkpoint(banded.groupBy("tag").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands")))
+    banded = rows.mapInArrow(_bands(width), "id long, tag long, bands array<bigint>, sketch binary")
+    classes = checkpoint(banded.groupBy("tag").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     entries = classes.select("tag", F.posexplode("bands").alias("band", "key"))
     ends = entries.groupBy("band", "key").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low < high")
-    pairs = entries.join(ends, ["band", "key"]).select(F.col("tag").alias("src"), F.explode(F.array("low", "high")).alias("dst")).where("src <> dst")
+    shared = checkpoint(entries.join(ends, ["band", "key"]))
+    pairs = shared.select(F.col("tag").alias("src"), F.explode(F.array("low", "high")).alias("dst")).where("src <> dst")
     pairs = checkpoint(pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    used = pairs.select(F.explode(F.array("src", "dst")).alias("tag")).distinct()
-    texts = rows.join(classes.join(used, "tag", "left_semi").select("id", "tag"), ["id", "tag"])
+    texts = rows.join(classes.join(shared.select("tag").distinct(), "tag", "left_semi").select("id", "tag"), ["id", "tag"])
     sets = checkpoint(texts.select("tag", "text").mapInArrow(_sets(width), "tag long, shingles array<bigint>").groupBy("tag").agg(F.any_value("shingles").alias("shingles")))
     a, b = (sets.select(F.col("tag").alias(e), F.col("shingles").alias(f"set_{e}")) for e in ("src", "dst"))
-    shared = F.size(F.array_intersect("set_src", "set_dst"))
-    enough = shared >= F.lit(least) * (F.size("set_src") + F.size("set_dst") - shared)
-    return pairs.join(a, "src").join(b, "dst").where(enough).select("src", "dst")
+    both = F.size(F.array_intersect("set_src", "set_dst"))
+    enough = both >= F.lit(least) * (F.size("set_src") + F.size("set_dst") - both)
+    near = checkpoint(pairs.join(a, "src").join(b, "dst").where(enough).select("src", "dst"))
+    return near.union(_left_apart(shared, classes, sets, near, least))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, similar: tuple[int, float] | None = (5, 0.8)) -> DataFrame:

@@ -173,6 +173,25 @@ def test_similar_links_find_near_copies(spark):
     assert components(len(texts), found + copies) == components(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if alike(a, b)] + copies)
 
 
+def test_similar_links_around_a_text_that_none_is_near(spark, monkeypatch):
+    """Against all pairs: variants of one text at 0.6 to 0.95 to each other, so that no two members of a posting stand for all; in small cells too."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(200)]
+    groups = [[word() if r.random() < 0.03 else w for w in base] for _ in range(40)]
+    texts = [" ".join(word() if r.random() < 0.008 else w for w in g) for g in groups for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tag = {x.tag: x.doc_id for x in df.select("doc_id", simhash.text_tag("text")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = {(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    copies = {(i, texts.index(t)) for i, t in enumerate(texts)}  # equal texts are one
+    for cell in (512, 20):
+        monkeypatch.setattr(simhash, "CELL", cell)
+        found = {(max(p), min(p)) for x in simhash.similar_links(df).collect() for p in [(tag[x.src], tag[x.dst])]}
+        assert found <= alike
+        assert components(len(texts), found | copies) == components(len(texts), alike)
+
+
 def test_links_of_a_large_posting():
     import numpy as np
 
