@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rastrum.functions.geometry import in_ring, ios, iou, line_touches_ring
+from rastrum.functions.geometry import in_ring, ios, iou
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -59,9 +61,7 @@ def dissolve(aoi: DataFrame) -> Column | None:
     Areas of interest are drawn by hand: more than MAX_RINGS rings are refused, so what goes into the plan
     has a bound. "In any part" is enough for the predicates here; no polygon is unioned.
     """
-    rings = [r[0] for r in aoi.select(F.explode("rings")).limit(MAX_RINGS + 1).collect()]
-    if len(rings) > MAX_RINGS:
-        raise ValueError(f"more than {MAX_RINGS} rings")
+    rings = _rings(aoi)
     if not rings:
         return None
     point = lambda p: F.struct(F.lit(float(p["x"])).alias("x"), F.lit(float(p["y"])).alias("y"))
@@ -71,13 +71,67 @@ def dissolve(aoi: DataFrame) -> Column | None:
 MAX_RINGS = 1000
 
 
+def _rings(aoi: DataFrame) -> list:
+    rings = [r[0] for r in aoi.select(F.explode("rings")).limit(MAX_RINGS + 1).collect()]
+    if len(rings) > MAX_RINGS:
+        raise ValueError(f"more than {MAX_RINGS} rings")
+    return rings
+
+
 def points_within(points: DataFrame, aoi: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Points strictly inside the areas of interest; an empty AOI keeps all."""
     rings = dissolve(aoi)
     return points if rings is None else points.where(F.exists(rings, lambda r: in_ring(F.col(x), F.col(y), r)))
 
 
+def _inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """in_ring for many points."""
+    odd, on = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    if len(ring) < 3:
+        return odd
+    for (px, py), (qx, qy) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+        if py != qy:
+            odd ^= ((py > y) != (qy > y)) & (x < px + (qx - px) * (y - py) / (qy - py))
+        on |= ((qx - px) * (y - py) - (qy - py) * (x - px) == 0) & (x >= min(px, qx)) & (x <= max(px, qx)) & (y >= min(py, qy)) & (y <= max(py, qy))
+    return odd & ~on
+
+
+def _cut(px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """segments_touch for many segments pq and any side of a ring."""
+    turn = lambda ax, ay, bx, by, cx, cy: np.sign((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+    within = lambda ax, ay, bx, by, cx, cy: (cx >= np.minimum(ax, bx)) & (cx <= np.maximum(ax, bx)) & (cy >= np.minimum(ay, by)) & (cy <= np.maximum(ay, by))
+    found = np.zeros(len(px), bool)
+    for r, s in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+        d1, d2, d3, d4 = turn(*r, *s, px, py), turn(*r, *s, qx, qy), turn(px, py, qx, qy, *r), turn(px, py, qx, qy, *s)
+        found |= ((d1 * d2 < 0) & (d3 * d4 < 0)) | ((d1 == 0) & within(*r, *s, px, py)) | ((d2 == 0) & within(*r, *s, qx, qy)) | ((d3 == 0) & within(px, py, qx, qy, *r)) | ((d4 == 0) & within(px, py, qx, qy, *s))
+    return found
+
+
+def _touching(rings: list[np.ndarray], points: str):
+    def run(batches):
+        for b in batches:
+            lists = b.column(points)
+            x, y = (v.cast(pa.float64()).to_numpy(zero_copy_only=False) for v in lists.flatten().flatten()[:2])
+            line = np.repeat(np.arange(len(b)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            leg = np.flatnonzero(line[1:] == line[:-1])
+            x1, x2, y1, y2 = (f(v[leg], v[leg + 1]) for v in (x, y) for f in (np.minimum, np.maximum))
+            hit = np.zeros(len(b), bool)
+            for ring in rings:
+                (left, low), (right, high) = ring.min(axis=0), ring.max(axis=0)
+                p = np.flatnonzero((x >= left) & (x <= right) & (y >= low) & (y <= high))
+                hit[line[p[_inside(x[p], y[p], ring)]]] = True
+                k = leg[(x2 >= left) & (x1 <= right) & (y2 >= low) & (y1 <= high)]
+                hit[line[k[_cut(x[k], y[k], x[k + 1], y[k + 1], ring)]]] = True
+            yield b.filter(pa.array(hit))
+
+    return run
+
+
 def lines_intersecting(lines: DataFrame, aoi: DataFrame, points: str = "pts") -> DataFrame:
-    """Lines that have a point in common with the areas of interest, boundaries included; an empty AOI keeps none."""
-    rings = dissolve(aoi)
-    return lines.where(F.lit(False)) if rings is None else lines.where(F.exists(rings, lambda r: line_touches_ring(F.col(points), r)))
+    """Lines that have a point in common with the areas of interest, boundaries included; an empty AOI keeps none.
+
+    A kernel on batches of lines tests the points and legs that a ring's box reaches against its sides, with
+    the arithmetic of line_touches_ring.
+    """
+    rings = [np.array([(p["x"], p["y"]) for p in ring], float) for ring in _rings(aoi) if ring]
+    return lines.mapInArrow(_touching(rings, points), lines.schema) if rings else lines.where(F.lit(False))

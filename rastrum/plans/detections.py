@@ -147,6 +147,12 @@ def aoi_intersects(spark, d):
     return P.lines_intersecting(D.lines(spark, d).where("line_id % 16 = 0"), D.aoi(spark, d)).select("line_id")
 
 
+@query()
+def aoi_intersects_all(spark, d):
+    """Every line. The SQL of aoi_intersects holds every sixteenth order only, so this has none."""
+    return P.lines_intersecting(D.lines(spark, d), D.aoi(spark, d)).select("line_id")
+
+
 @query(f"with {D.AOI} select count(distinct ring) as rings, count(*) as points from edges")
 def dissolve(spark, d):
     rings = P.dissolve(D.aoi(spark, d))

@@ -1,10 +1,12 @@
 """Greedy merging and spatial joins against plain loops."""
 
 import random
+from fractions import Fraction
 
 import pytest
 
 from rastrum.operators import detect, spatial
+from rastrum.plans import catalog, derived
 
 DET = "grp long, id long, x1 double, y1 double, x2 double, y2 double, score double, category string"
 
@@ -71,3 +73,24 @@ def test_filters(spark):
     assert [r.id for r in detect.conf_filter(d, 0.25).collect()] == [1]
     assert [r.id for r in detect.class_conf_filter(d, {"a": 0.25}).collect()] == [1, 2]
     assert detect.class_conf_filter(d, {}).count() == 3
+
+
+def crossed(line, ring):
+    """By exact fractions: a point inside by winding, or a leg that meets a side."""
+    f = Fraction
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    on = lambda a, b, c: turn(a, b, c) == 0 and min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+    line, ring = [(f(x), f(y)) for x, y in line], [(f(x), f(y)) for x, y in ring]
+    sides = list(zip(ring, ring[1:] + ring[:1], strict=True))
+    wind = lambda p: sum((a[1] <= p[1] < b[1] and turn(a, b, p) > 0) - (b[1] <= p[1] < a[1] and turn(a, b, p) < 0) for a, b in sides)
+    cuts = lambda p, q, a, b: turn(a, b, p) * turn(a, b, q) < 0 and turn(p, q, a) * turn(p, q, b) < 0 or on(a, b, p) or on(a, b, q) or on(p, q, a) or on(p, q, b)
+    return any(wind(p) and not any(on(a, b, p) for a, b in sides) for p in line) or any(cuts(p, q, a, b) for p, q in zip(line, line[1:], strict=False) for a, b in sides)
+
+
+def test_lines_of_all_orders_are_tested(spark):
+    d = "/root/testdata/sf0.001"
+    rings = [[(p["x"], p["y"]) for p in ring] for a in derived.aoi(spark, d).collect() for ring in a.rings]
+    lines = {r.line_id: [(p["x"], p["y"]) for p in r.pts] for r in derived.lines(spark, d).collect()}
+    want = {i for i, pts in lines.items() if any(crossed(pts, ring) for ring in rings)}
+    got = [r.line_id for r in catalog.QUERIES["aoi_intersects_all"](spark, d).collect()]
+    assert sorted(got) == sorted(want) and any(i % 16 for i in got)
