@@ -25,10 +25,13 @@ def buffer_cells(lines: DataFrame, radius: float, cell: float = 1.0) -> DataFram
     """(row, col) of the cells whose centre is radius or less from a line: the rasterised buffer, without a geometry library."""
     segments = lines.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("pts") - 2), lambda i: F.struct(F.get("pts", i).alias("p"), F.get("pts", i + 1).alias("q")))).alias("s"))
     s = segments.select("s.p", "s.q")
-    span = lambda a: F.sequence(F.floor((F.least(F.col(f"p.{a}"), F.col(f"q.{a}")) - radius) / cell).cast("int"), F.floor((F.greatest(F.col(f"p.{a}"), F.col(f"q.{a}")) + radius) / cell).cast("int"))
-    cells = s.withColumn("row", F.explode(span("y"))).withColumn("col", F.explode(span("x")))
+    span = lambda lo, hi: F.sequence(F.floor((lo - radius) / cell).cast("int"), F.floor((hi + radius) / cell).cast("int"))
     cx, cy = (F.col("col") + 0.5) * cell, (F.col("row") + 0.5) * cell
     dx, dy = F.col("q.x") - F.col("p.x"), F.col("q.y") - F.col("p.y")
+    # only the part of the segment within radius of a row's centre line can be near its cells; half a cell is to spare at either end
+    at = lambda y, other: F.col("p.x") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((y - F.col("p.y")) / F.nullif(dy, F.lit(0.0)), F.lit(other)))) * dx
+    rows = s.withColumn("row", F.explode(span(F.least("p.y", "q.y"), F.greatest("p.y", "q.y")))).withColumns({"x1": at(cy - radius, 0.0), "x2": at(cy + radius, 1.0)})
+    cells = rows.withColumn("col", F.explode(span(F.least("x1", "x2"), F.greatest("x1", "x2"))))
     t = F.coalesce(((cx - F.col("p.x")) * dx + (cy - F.col("p.y")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     d = F.pow(cx - (F.col("p.x") + t * dx), 2) + F.pow(cy - (F.col("p.y") + t * dy), 2)

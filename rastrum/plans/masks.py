@@ -170,12 +170,21 @@ def _buffer(name: str, shift: float) -> str:
   where pow(cx - (px + greatest(0, least(1, coalesce(((cx - px) * dx + (cy - py) * dy) / nullif(dx * dx + dy * dy, 0), 0))) * dx), 2) + pow(cy - (py + greatest(0, least(1, coalesce(((cx - px) * dx + (cy - py) * dy) / nullif(dx * dx + dy * dy, 0), 0))) * dy), 2) <= 9)"""
 
 
+def _moved_iou(lines):
+    moved = lines.withColumn("pts", F.transform("pts", lambda p: F.struct((p["x"] + 1.0).alias("x"), p["y"].alias("y"))))
+    return X.vector_iou(lines, moved, 3.0, 2.0).withColumn("iou", F.round("iou", 4))
+
+
 @query(f"with {SEGMENTS}, {_buffer('a', 0)}, {_buffer('b', 1.0)} select round((select count(*) from (from a intersect from b)) / (select count(*) from (from a union from b))::double, 4) as iou")
 def vector_iou(spark, d):
     """Lines of every 512th order, against the same moved by one unit, on cells of two units."""
-    lines = D.lines(spark, d).where("line_id % 512 = 0")
-    moved = lines.withColumn("pts", F.transform("pts", lambda p: F.struct((p["x"] + 1.0).alias("x"), p["y"].alias("y"))))
-    return X.vector_iou(lines, moved, 3.0, 2.0).withColumn("iou", F.round("iou", 4))
+    return _moved_iou(D.lines(spark, d).where("line_id % 512 = 0"))
+
+
+@query()
+def vector_iou_all(spark, d):
+    """Every line. The SQL of vector_iou holds every 512th order only, so this has none."""
+    return _moved_iou(D.lines(spark, d))
 
 
 SCORED = f"{D.PROB}, scored as (select p.row // 8 as batch, p, (label + col) % 2 as y, (p > 0.5)::int as pred from prob p join embeddings e on e.vec_id = p.row)"

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastrum.operators import mask as M, metrics as X, roads as R
+from rastrum.plans import catalog, derived as D
 
 
 def cells(spark, a):
@@ -143,3 +144,36 @@ def test_metrics(spark):
     assert {r.label: r.iou for r in X.mean_iou(m).collect()} == {0: 0.5, 1: 0.5}
     p = X.parameters(spark, a=[1, 2], b=["x", "y"]).orderBy("ordinal").collect()
     assert [(r.a, r.b) for r in p] == [(1, "x"), (1, "y"), (2, "x"), (2, "y")]
+
+
+def test_vector_iou_takes_every_line(spark, tmp_path):
+    """Against distances from all cell centres; no line of the fixture is of a 512th order, all directions occur."""
+    orders = [(k, j, int(p), 0) for k in (3, 700, 999) for j, p in enumerate(RNG.integers(0, 300, 4))] + [(140, 1, 90, 0), (140, 1 + 13, 90, 0), (285, 1, 7, 0)]
+    spark.createDataFrame(orders, "l_orderkey long, l_linenumber int, l_partkey long, other int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    lines = [[(p["x"], p["y"]) for p in r.pts] for r in D.lines(spark, str(tmp_path)).collect()]
+    y, x = (np.mgrid[-5:510, -5:510] + 0.5) * 2
+
+    def buffered(shift):
+        near = np.zeros(x.shape, bool)
+        for pts in lines:
+            for (px, py), (qx, qy) in zip(pts, pts[1:], strict=False):
+                px, qx = px + shift, qx + shift
+                dx, dy = qx - px, qy - py
+                t = np.clip(((x - px) * dx + (y - py) * dy) / ((dx * dx + dy * dy) or 1.0), 0, 1)
+                near |= (x - (px + t * dx)) ** 2 + (y - (py + t * dy)) ** 2 <= 9
+        return near
+
+    a, b = buffered(0), buffered(1.0)
+    assert a.sum() > 1000
+    assert catalog.QUERIES["vector_iou_all"](spark, str(tmp_path)).first().iou == round((a & b).sum() / (a | b).sum(), 4)
+
+
+def test_buffer_cells_of_any_direction(spark):
+    legs = [((3.0, 4.0), (3.0, 4.0)), ((0.0, 5.0), (9.0, 5.0)), ((5.0, -3.0), (5.0, 8.0)), ((9.5, 8.0), (-2.0, 7.5)), ((0.0, 0.0), (4.0, -9.0))]
+    y, x = np.mgrid[-40:40, -40:40] + 0.5
+    for p, q in legs:
+        dx, dy = q[0] - p[0], q[1] - p[1]
+        t = np.clip(((x - p[0]) * dx + (y - p[1]) * dy) / ((dx * dx + dy * dy) or 1.0), 0, 1)
+        r, c = np.nonzero((x - (p[0] + t * dx)) ** 2 + (y - (p[1] + t * dy)) ** 2 <= 2.5**2)
+        got = X.buffer_cells(spark.createDataFrame([([p, q],)], "pts array<struct<x:double,y:double>>"), 2.5).collect()
+        assert {(g.row, g.col) for g in got} == set(zip((r - 40).tolist(), (c - 40).tolist(), strict=True))
