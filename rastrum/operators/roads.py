@@ -13,6 +13,7 @@ from rastrum.functions.scalar import COST_SCALE
 from rastrum.operators.mask import endpoints, label, without_junctions
 from rastrum.operators.spatial import neighbours8, radius_pairs
 from rastrum.operators.tiling import halo_copies
+from rastrum.session import checkpoint
 
 STEPS = tuple((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c)
 
@@ -156,31 +157,55 @@ def cheapest(cost: np.ndarray, start: tuple[int, int], end: tuple[int, int]) ->
     return path[::-1]
 
 
-def least_cost_paths(pairs: DataFrame, ends: DataFrame, cost: DataFrame, padding: int = 20) -> DataFrame:
+PATHS = "a long, b long, distance double, pts array<struct<row:int,col:int>>, pixels int, mean_cost double"
+
+
+def least_cost_paths(pairs: DataFrame, ends: DataFrame, cost: DataFrame, padding: int = 20, tile: int = 128) -> DataFrame:
     """(a, b, distance, pts, pixels, mean_cost): the cheapest path of each pair inside its padded bounding box.
 
     The box is from the smaller ends less padding to the larger ends plus padding, the last row and column
     excluded, and cut by the raster; a box so small that an end is left out has no path. Pixels of the box
-    that have no cost are barriers. Costs reach the pairs by a join on rows of a bounded number of cells.
+    that have no cost are barriers. A pair belongs to the tile of its box's first corner, which also gets the
+    costs of as many tiles below and to the right as the largest box reaches, so a task holds a bounded map.
     """
     of = lambda s: ends.select(F.col("id").alias(s), F.col("row").alias(f"row_{s}"), F.col("col").alias(f"col_{s}"))
-    boxes = pairs.join(of("a"), "a").join(of("b"), "b")
-    span = lambda v: F.sequence(F.greatest(F.least(f"{v}_a", f"{v}_b") - padding, F.lit(0)), F.greatest(F.greatest(f"{v}_a", f"{v}_b") + padding - 1, F.lit(0)))
-    wanted = boxes.withColumn("row", F.explode(span("row"))).withColumn("col", F.explode(span("col")))
-    cells = wanted.join(cost.select("row", "col", "cost"), ["row", "col"])
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(pdf["row"].min()), int(pdf["col"].min())
-        grid = np.full((int(pdf["row"].max()) - top + 1, int(pdf["col"].max()) - left + 1), np.inf)
-        grid[pdf["row"] - top, pdf["col"] - left] = pdf["cost"]
-        one = pdf.iloc[0]
-        start, end = ((int(one[f"row_{s}"]) - top, int(one[f"col_{s}"]) - left) for s in "ab")
-        inside = all(0 <= p[0] < grid.shape[0] and 0 <= p[1] < grid.shape[1] for p in (start, end))
-        path = cheapest(grid, start, end) if inside else []
-        total = float(sum(grid[p] for p in path))
-        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "distance": [one["distance"]], "pts": [[{"row": r + top, "col": c + left} for r, c in path]], "pixels": [len(path)], "mean_cost": [total / len(path) if path else None]})
-
-    return cells.groupBy("a", "b").applyInPandas(run, "a long, b long, distance double, pts array<struct<row:int,col:int>>, pixels int, mean_cost double")
+    low = lambda v: F.greatest(F.least(f"{v}_a", f"{v}_b") - padding, F.lit(0))
+    high = lambda v: F.greatest(F.greatest(f"{v}_a", f"{v}_b") + padding - 1, F.lit(0))
+    home = lambda v: F.floor(F.col(v) / tile).cast("int")
+    boxes = checkpoint(pairs.join(of("a"), "a").join(of("b"), "b").withColumns({"top": F.least(low("row"), high("row")), "left": F.least(low("col"), high("col")), "bottom": F.greatest(low("row"), high("row")), "right": F.greatest(low("col"), high("col"))}))
+    boxes = boxes.withColumns({"tile_row": home("top"), "tile_col": home("left")})
+    reach = boxes.agg(*[F.max(F.floor(F.col(end) / tile) - home(begin)).cast("int") for begin, end in (("top", "bottom"), ("left", "right"))]).first()
+    tiles = lambda v, n: F.explode(F.sequence(home(v) - (n or 0), home(v)))
+    wanted = boxes.select("tile_row", "tile_col").distinct()
+    costs = cost.select("row", "col", "cost").withColumn("tile_row", tiles("row", reach[0])).withColumn("tile_col", tiles("col", reach[1])).join(wanted, ["tile_row", "tile_col"], "left_semi")
+
+    def run(key, held: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        origin = int(key[0]) * tile, int(key[1]) * tile
+        if not len(held) or not len(cells):
+            return pd.DataFrame({c.split()[0]: [] for c in ("a", "b", "distance", "pts", "pixels", "mean_cost")})
+        grid = np.full((int(max(cells["row"].max(), held["bottom"].max())) - origin[0] + 1, int(max(cells["col"].max(), held["right"].max())) - origin[1] + 1), np.inf)
+        known = np.zeros(grid.shape, bool)
+        at = cells["row"].to_numpy() - origin[0], cells["col"].to_numpy() - origin[1]
+        grid[at], known[at] = cells["cost"], True
+        out = []
+        for one in held.itertuples(index=False):
+            top, left = one.top - origin[0], one.left - origin[1]
+            there = known[top : one.bottom - origin[0] + 1, left : one.right - origin[1] + 1]
+            if not there.any():
+                continue
+            # the raster ends where its costs do
+            rows, cols = np.flatnonzero(there.any(axis=1)), np.flatnonzero(there.any(axis=0))
+            top, left = top + int(rows[0]), left + int(cols[0])
+            box = grid[top : top + int(rows[-1] - rows[0]) + 1, left : left + int(cols[-1] - cols[0]) + 1]
+            top, left = top + origin[0], left + origin[1]
+            start, end = (one.row_a - top, one.col_a - left), (one.row_b - top, one.col_b - left)
+            inside = all(0 <= p[0] < box.shape[0] and 0 <= p[1] < box.shape[1] for p in (start, end))
+            path = cheapest(box, start, end) if inside else []
+            total = float(sum(box[p] for p in path))
+            out.append((one.a, one.b, one.distance, [{"row": r + top, "col": c + left} for r, c in path], len(path), total / len(path) if path else None))
+        return pd.DataFrame(out, columns=["a", "b", "distance", "pts", "pixels", "mean_cost"])
+
+    return boxes.groupBy("tile_row", "tile_col").cogroup(costs.groupBy("tile_row", "tile_col")).applyInPandas(run, PATHS)
 
 
 def accept_paths(paths: DataFrame, max_gap: float, max_avg_cost: float) -> DataFrame:

@@ -177,3 +177,29 @@ def test_buffer_cells_of_any_direction(spark):
         r, c = np.nonzero((x - (p[0] + t * dx)) ** 2 + (y - (p[1] + t * dy)) ** 2 <= 2.5**2)
         got = X.buffer_cells(spark.createDataFrame([([p, q],)], "pts array<struct<x:double,y:double>>"), 2.5).collect()
         assert {(g.row, g.col) for g in got} == set(zip((r - 40).tolist(), (c - 40).tolist(), strict=True))
+
+
+def test_paths_of_the_whole_map(spark, tmp_path):
+    """All gaps of a map of 300 rows, which is more than one tile; the reference pads a box and cuts it by the map."""
+    v = RNG.normal(0, 0.12, (300, 64)).astype(np.float32)
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    p = np.full(v.shape, np.nan)
+    for r in D.prob(spark, str(tmp_path)).collect():
+        p[r.row, r.col] = r.p
+    count = lambda a: sum(np.pad(a, 1)[1 + r : 1 + r + a.shape[0], 1 + c : 1 + c + a.shape[1]] for r, c in R.STEPS)
+    m = (p > 0.8).astype(int)
+    simple = m * (count(m) <= 2)
+    ends = [tuple(map(int, e)) for e in np.argwhere(simple * (count(simple) <= 1))]
+    grid = np.maximum((1 - p) * 15, 1e-6)
+    want = {}
+    for i, a in enumerate(ends):
+        for b in ends[i + 1 :]:
+            if (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 <= 16:
+                top, left = max(0, a[0] - 20), max(0, min(a[1], b[1]) - 20)
+                box = grid[top : b[0] + 20, left : max(a[1], b[1]) + 20]
+                path = R.cheapest(box, (a[0] - top, a[1] - left), (b[0] - top, b[1] - left))
+                want[a[0] * 64 + a[1], b[0] * 64 + b[1]] = len(path), pytest.approx(sum(box[q] for q in path) / len(path), abs=1e-5)
+    got = {(r.a, r.b): (r.pixels, r.mean_cost) for r in catalog.QUERIES["least_cost_path"](spark, str(tmp_path)).collect()}
+    assert got == want and max(a for a, _ in got) // 64 > 250
+    accepted = {(r.a, r.b) for r in catalog.QUERIES["path_accept"](spark, str(tmp_path)).collect()}
+    assert accepted == {k for k, (n, mean) in want.items() if 0 < n < 6 and mean.expected < 6.0}
