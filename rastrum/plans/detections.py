@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rastrum.functions import geometry as G
 from rastrum.operators import detect as O, spatial as P
+from rastrum.operators.rank import ranked
 from rastrum.plans import derived as D
 from rastrum.plans.catalog import query
 
@@ -79,6 +80,12 @@ def sort_y_desc(spark, d):
     return p.select("id", "x", "y", F.row_number().over(Window.orderBy(F.desc("y"), "id")).cast("long").alias("r"))
 
 
+@query()
+def sort_y_desc_all(spark, d):
+    """Every point. The SQL of sort_y_desc holds the first 200 only, so this has none."""
+    return ranked(D.points(spark, d).select("id", "x", "y"), F.desc("y"), "id")
+
+
 @query(f"with {D.POINTS} select a.grp, a.id as a, b.id as b, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) as distance from points a join points b on a.grp = b.grp and a.id < b.id and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 60")
 def radius_pairs(spark, d):
     return P.radius_pairs(D.points(spark, d), "grp", "id", 60.0).withColumn("distance", F.round("distance", 6))

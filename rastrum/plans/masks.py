@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rastrum.operators import mask as M, metrics as X
+from rastrum.operators.rank import ranked
 from rastrum.operators.spatial import neighbours8 as near8
 from rastrum.plans import derived as D
 from rastrum.plans.catalog import query
@@ -96,6 +97,12 @@ def sort_rowmajor(spark, d):
     return first.select("row", "col", F.row_number().over(Window.orderBy("row", "col")).cast("long").alias("r"))
 
 
+@query()
+def sort_rowmajor_all(spark, d):
+    """Every endpoint. The SQL of sort_rowmajor holds the first 500 only, so this has none."""
+    return ranked(M.endpoints(D.mask(spark, d)), "row", "col")
+
+
 @query(f"with {MASK} select row, col, row_number() over (partition by row order by col) as r from mask")
 def sort_col(spark, d):
     from pyspark.sql import Window

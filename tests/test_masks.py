@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastrum.operators import mask as M, metrics as X, roads as R
+from rastrum.operators.rank import ranked
 from rastrum.plans import catalog, derived as D
 
 
@@ -203,3 +204,14 @@ def test_paths_of_the_whole_map(spark, tmp_path):
     assert got == want and max(a for a, _ in got) // 64 > 250
     accepted = {(r.a, r.b) for r in catalog.QUERIES["path_accept"](spark, str(tmp_path)).collect()}
     assert accepted == {k for k, (n, mean) in want.items() if 0 < n < 6 and mean.expected < 6.0}
+
+
+def test_sorts_number_every_row(spark):
+    points = sorted((r.asDict() for r in D.points(spark, "/root/testdata/sf0.01").select("id", "x", "y").collect()), key=lambda p: (-p["y"], p["id"]))
+    got = catalog.QUERIES["sort_y_desc_all"](spark, "/root/testdata/sf0.01").collect()
+    assert len(points) > 200 and sorted((r.r, r.id, r.x, r.y) for r in got) == [(i, p["id"], p["x"], p["y"]) for i, p in enumerate(points, 1)]
+    ends = sorted((r.row, r.col) for r in M.endpoints(D.mask(spark, "/root/testdata/sf0.001")).collect())
+    got = catalog.QUERIES["sort_rowmajor_all"](spark, "/root/testdata/sf0.001").collect()
+    assert len(ends) > 500 and sorted((r.r, r.row, r.col) for r in got) == [(i, *e) for i, e in enumerate(ends, 1)]
+    empty = spark.createDataFrame([], "a int")
+    assert ranked(empty, "a").count() == 0
