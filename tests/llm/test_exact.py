@@ -468,3 +468,19 @@ def test_gzip_records():
     data = gzip.compress(record) + gzip.compress(record)
     got = list(fixity.parse_records(data))
     assert [(h["WARC-Target-URI"], p) for _, _, h, p in got] == [("u", b"abc")] * 2 and got[0][0] + got[0][1] == got[1][0]
+
+
+def test_segments_of_shards():
+    """Quotas are kept, no block is selected more than once in a pass, and all are within the stream."""
+    r = random.Random(5)
+    for _ in range(300):
+        blocks = r.randint(0, 30)
+        quotas = [r.randint(0, 9) for _ in range(6)]
+        found = mixing.segments("=s", blocks, quotas, 17)
+        total = min(sum(quotas), 2 * blocks)
+        assert sum(z - a for _, a, z in found) == total and all(0 <= a < z <= blocks for _, a, z in found)
+        times = [sum(a <= b < z for _, a, z in found) for b in range(blocks)]
+        assert all(total // blocks <= t <= -(-total // blocks) for t in times)
+        if sum(quotas) <= 2 * blocks:
+            assert [sum(z - a for k, a, z in found if k == s) for s in range(6)] == quotas
+    assert mixing.segments("=s", 20, [3, 3], 17) != mixing.segments("=s", 20, [3, 3], 18)
