@@ -1,32 +1,38 @@
 """A quality classifier by co-training over two views of a document.
 
-One logistic regression sees the text (shape of words, lines and symbols), another the metadata (source,
-language, declared length). Both start from the labelled documents. In each round each of them labels the
-unlabelled documents of which it is most certain and hands them to the other as training data. On labelled
-documents that took no part in training each view is calibrated, and a last regression weighs the
-calibrated views. All documents are then scored by the fitted coefficients in one native expression.
-
-The fit uses LABELLED labelled and POOL unlabelled documents at most, chosen by a seeded hash of their
-ids; scoring covers every document.
+One logistic regression sees the text (hashed single words and pairs of neighbouring words, and the shape of
+words, lines and symbols), another the metadata (source, language, declared length). Both start from the
+labelled documents. In each round each of them scores all unlabelled documents, labels those of which it is
+most certain and hands them to the other as training data. Labelled documents that took no part in training
+are split in two: on one part each view is calibrated and a last regression weighs the calibrated views, on
+the other the accuracy is measured. All documents are then scored by the fitted coefficients.
+
+Every document becomes one row of fixed size, written once; the rounds and the scoring read these rows.
+The only bound is LABELLED, on the labelled documents that a fit uses, chosen by a seeded hash of their ids.
+A round finds the most certain documents by a top-k in each task and one over what the tasks found; copies
+with the same metadata count once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rastrum.llm.quality import lines_of, words_of
+from rastrum.session import checkpoint
 
 LABELLED = 6_000  # bound of the labelled documents that a fit uses
-POOL = 6_000  # bound of the unlabelled documents that take pseudo-labels
 ROUNDS = 6
 PER_ROUND = 100  # pseudo-labels of each class that a view gives in a round
 CERTAIN = 0.95
-HELD_OUT = 0.25
+CALIBRATE, TEST = 0.2, 0.2  # shares of the labelled documents that are held out of training
 RIDGE = 1e-2
-MAX_VALUES = 64  # values of a metadata column with a weight of their own; others share one
+GRAMS = 256  # slots that words and pairs of words are hashed to
+SLOTS = {"source": 128, "lang": 64}  # slots that the values of a metadata column are hashed to
 
 
 def text_features(text: Column, words: Column, lines: Column) -> dict[str, Column]:
@@ -73,122 +79,185 @@ def logit_of(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, per_round: int = PER_ROUND) -> list[np.ndarray]:
-    """Weights of both views after the rounds."""
-    data = [(v, y.astype(float)) for v in views]
-    free = np.ones(len(pool[0]), bool)
-    for _ in range(rounds):
-        weights = [logistic(*d) for d in data]
-        given = 0
-        for me, other in ((0, 1), (1, 0)):
-            p = np.where(free, sigmoid(logit_of(pool[me], weights[me])), 0.5)
-            best = np.argsort(-p, kind="stable")[:per_round]
-            worst = np.argsort(p, kind="stable")[:per_round]
-            for chosen, label in ((best[p[best] >= CERTAIN], 1.0), (worst[p[worst] <= 1 - CERTAIN], 0.0)):
-                data[other] = (np.vstack([data[other][0], pool[other][chosen]]), np.append(data[other][1], np.full(len(chosen), label)))
-                free[chosen] = False
-                given += len(chosen)
-        if not given:
-            break
-    return [logistic(*d) for d in data]
-
-
 @dataclass
 class Model:
-    """Weights over raw features; categories: the values of a column that have a weight of their own."""
+    """Weights over the rows of views; scale: means and deviations of the text view."""
 
-    names: tuple[str, ...]
-    categories: dict[str, list[str]]
-    text: np.ndarray
-    meta: np.ndarray
+    scale: tuple[np.ndarray, np.ndarray]
+    weights: list[np.ndarray]
     calibration: list[np.ndarray]
     blend: np.ndarray
     report: dict = field(default_factory=dict)
 
-    def columns(self) -> dict[str, Column]:
-        """text_score, metadata_score and quality_score over the feature columns."""
-        raw_text = sum((F.col(n) * float(w) for n, w in zip(self.names, self.text, strict=False)), F.lit(float(self.text[-1])))
-        raw_meta = F.col("log_chars") * float(self.meta[0]) + float(self.meta[-1])
-        at = 1
-        for name, values in self.categories.items():
-            own = F.create_map(*[x for v, w in zip(values, self.meta[at:], strict=False) for x in (F.lit(v), F.lit(float(w)))]) if values else None
-            raw_meta = raw_meta + (F.coalesce(F.try_element_at(own, F.col(name)), F.lit(0.0)) if values else F.lit(0.0))
-            at += len(values)
-        squash = lambda z: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-        cal = [raw * float(c[0]) + float(c[1]) for raw, c in zip((raw_text, raw_meta), self.calibration, strict=True)]
-        both = cal[0] * float(self.blend[0]) + cal[1] * float(self.blend[1]) + float(self.blend[2])
-        return {"text_score": squash(cal[0]), "metadata_score": squash(cal[1]), "quality_score": squash(both)}
-
-
-def with_features(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, length_col: str) -> DataFrame:
+    def scores(self, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Text, metadata and quality score of each row."""
+        z = np.column_stack([logit_of(v, w) * c[0] + c[1] for v, w, c in zip(views, self.weights, self.calibration, strict=True)])
+        return sigmoid(np.column_stack([z, logit_of(z, self.blend)]))
+
+
+NAMES = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "lang_col": "lang", "length_col": "n_chars"}
+ROW = "doc_id long, tag long, log_chars double, source int, lang int, view binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text views as half-precision numbers: the shapes, then the roots of the shares of each slot of words and pairs."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, 1024):
+            part = batch.slice(s, 1024)
+            grams = part.column("grams")
+            n = np.diff(grams.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(n)), n)
+            values = grams.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = np.bincount(doc * GRAMS + values, minlength=len(n) * GRAMS).reshape(len(n), GRAMS)
+            shapes = np.array(part.column("shapes").flatten(), np.float64).reshape(len(n), len(TEXT))
+            view = np.column_stack([shapes, np.sqrt(counts / np.maximum(n, 1)[:, None])]).astype("<f2")
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "tag", "log_chars", "source", "lang")), pa.array([v.tobytes() for v in view], pa.binary())], ["doc_id", "tag", "log_chars", "source", "lang", "view"])
+
+
+def with_views(docs: DataFrame, **columns: str) -> DataFrame:
+    """(doc_id, tag, log_chars, source, lang, view) of each row; tag is a hash of all that the views see, source and lang are slots."""
+    names = NAMES | columns
+    slot = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(names[f"{c}_col"]).cast("string"), F.lit(""))), F.lit(SLOTS[c])).cast("int").alias(c)
     df = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-        F.log1p(F.greatest(F.coalesce(F.col(length_col).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("log_chars"),
+        F.col(names["id_col"]).cast("long").alias("doc_id"),
+        F.coalesce(F.col(names["text_col"]), F.lit("")).alias("text"),
+        F.log1p(F.greatest(F.coalesce(F.col(names["length_col"]).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("log_chars"),
+        slot("source"),
+        slot("lang"),
     )
     df = df.withColumn("words", words_of(F.col("text"))).withColumn("lines", lines_of(F.col("text")))
-    return df.select("doc_id", "source", "lang", "log_chars", *[c.alias(n) for n, c in text_features(F.col("text"), F.col("words"), F.col("lines")).items()])
+    at = lambda *of: F.pmod(F.xxhash64(*of), F.lit(GRAMS)).cast("short")
+    grams = F.concat(F.transform("words", lambda w: at(w)), F.transform("words", lambda w, i: at(w, F.coalesce(F.get("words", i + 1), F.lit("")))))
+    shapes = text_features(F.col("text"), F.col("words"), F.col("lines"))
+    df = df.select("doc_id", F.xxhash64("text", "source", "lang", "log_chars").alias("tag"), "log_chars", "source", "lang", F.array(*[shapes[n] for n in TEXT]).alias("shapes"), grams.alias("grams"))
+    return df.mapInArrow(_pack, ROW)
+
+
+def views_of(batch: pa.RecordBatch | pa.Table, scale: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the metadata view of rows, the text view scaled."""
+    text = np.frombuffer(b"".join(batch.column("view").to_pylist()), "<f2").reshape(batch.num_rows, len(TEXT) + GRAMS).astype(np.float64)
+    if scale:
+        text = (text - scale[0]) / scale[1]
+    log_chars = np.array(batch.column("log_chars").to_pylist(), np.float64)
+    slots = [np.eye(n)[np.array(batch.column(c).to_pylist(), np.int64)].reshape(batch.num_rows, n) for c, n in SLOTS.items()]
+    return text, np.column_stack([log_chars, *slots])
+
+
+def most_certain(p: np.ndarray, tags: np.ndarray, k: int, up: bool) -> np.ndarray:
+    """Positions of the k rows of the highest (up) or lowest certain p, one for each tag; ties go to the smaller tag."""
+    sure = np.flatnonzero(p >= CERTAIN if up else p <= 1 - CERTAIN)
+    order = sure[np.lexsort((tags[sure], -p[sure] if up else p[sure]))]
+    return order[np.sort(np.unique(tags[order], return_index=True)[1])][:k]
+
+
+def _nominees(weights: list[np.ndarray], scale: tuple[np.ndarray, np.ndarray], taken: np.ndarray, k: int):
+    """The most certain rows of each batch: list 0 and 1 are the text view's good and bad ones, 2 and 3 the metadata view's."""
+    names = ["list", "p", "tag", "log_chars", "source", "lang", "view"]
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2048):
+                part = batch.slice(s, 2048)
+                part = part.filter(pa.array(~np.isin(part.column("tag").to_numpy(), taken)))
+                if not part.num_rows:
+                    continue
+                tags = part.column("tag").to_numpy()
+                for me, (view, w) in enumerate(zip(views_of(part, scale), weights, strict=True)):
+                    p = sigmoid(logit_of(view, w))
+                    for up in (True, False):
+                        best = most_certain(p, tags, k, up)
+                        own = part.take(pa.array(best))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), 2 * me + (not up), np.int32)), pa.array(p[best]), *(own.column(c) for c in names[2:])], names)
+
+    return run
+
+
+def nominated(pool: DataFrame, weights: list[np.ndarray], scale: tuple[np.ndarray, np.ndarray], taken: np.ndarray, k: int) -> list[pa.Table]:
+    """The k most certain rows of all of pool in each of the four lists."""
+    found = pool.mapInArrow(_nominees(weights, scale, taken, k), "list int, p double, tag long, log_chars double, source int, lang int, view binary")
+    found = checkpoint(found.groupBy("list", "tag").agg(F.min(F.struct("p", "log_chars", "source", "lang", "view")).alias("x")).select("list", "tag", "x.*"))
+    return [found.where(F.col("list") == i).orderBy(F.col("p") * (-1 if i % 2 == 0 else 1), "tag").limit(k).toArrow() for i in range(4)]
+
+
+def co_train(train: tuple[np.ndarray, np.ndarray], y: np.ndarray, nominate, rounds: int = ROUNDS) -> tuple[list[np.ndarray], int]:
+    """Weights of both views after the rounds, and the number of pseudo-labels given.
+
+    nominate takes the weights and the tags that have a label already, and gives, for the text and the
+    metadata view, (tags, views) of the texts that it is sure to be good and of those it is sure to be bad.
+    The text view chooses first; copies take one pseudo-label only.
+    """
+    data = [(v, y.astype(float)) for v in train]
+    taken: set[int] = set()
+    for _ in range(rounds):
+        before = len(taken)
+        lists = nominate([logistic(*d) for d in data], np.array(sorted(taken), np.int64))
+        for i, (tags, views) in enumerate(lists):
+            other = 1 - i // 2
+            new = [k for k, t in enumerate(tags) if t not in taken]
+            taken |= {tags[k] for k in new}
+            data[other] = (np.vstack([data[other][0], views[other][new]]), np.append(data[other][1], np.full(len(new), float(i % 2 == 0))))
+        if len(taken) == before:
+            break
+    return [logistic(*d) for d in data], len(taken)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", seed: int = 11, **columns: str) -> Model | None:
-    """A model from labelled documents, or None without both classes among them.
+def fit(rows: DataFrame, seed: int = 11) -> Model | None:
+    """A model from rows of views with labels y (null: none), or None without both classes among the labelled.
 
-    Of several labels of one document the lowest counts; null labels and ids are passed over.
+    Of rows with the same id one is used, that of the smallest tag.
     """
-    names = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "lang_col": "lang", "length_col": "n_chars"} | columns
     pick = F.xxhash64("doc_id", F.lit(seed))
-    ids = docs.select(F.col(names["id_col"]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.min("y").alias("y"))
-    chosen = known.join(ids, "doc_id", "left_semi").orderBy(pick, "doc_id").limit(LABELLED)
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(pick, "doc_id").limit(POOL).withColumn("y", F.lit(None).cast("int"))
-    sample = F.broadcast(chosen.unionByName(pool))  # LABELLED + POOL rows of two numbers at most
-    rows = with_features(docs.join(sample.select(F.col("doc_id").alias("_sample_id")), F.col(names["id_col"]).cast("long") == F.col("_sample_id"), "left_semi"), **names)
-    data = rows.join(sample, "doc_id").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    # by the hash again, so that the held-out part does not follow the ids
-    order = np.argsort([hash((seed, int(i))) & 0xFFFFFFFF for i in data["doc_id"]], kind="stable")
-    data = data.iloc[order]
-    lab = data[data["y"].notna()]
-    if len(lab) < 8 or lab["y"].nunique() < 2:
+    chosen = rows.where("y is not null").select("doc_id").distinct().orderBy(pick, "doc_id").limit(LABELLED)
+    held = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("tag", "log_chars", "source", "lang", "view", "y")).alias("x"))  # LABELLED ids at most
+    lab = held.select("doc_id", "x.*").orderBy(pick, "doc_id").toArrow()
+    y = np.array(lab.column("y").to_pylist(), np.int64) > 0
+    if len(y) < 8 or len(set(y)) < 2:
         return None
-    categories = {c: list(data[c].value_counts().sort_index(kind="stable").sort_values(ascending=False, kind="stable").index[:MAX_VALUES]) for c in ("source", "lang")}
-
-    def view(d, scale):
-        t = d[list(TEXT)].to_numpy(float)
-        m = np.column_stack([d["log_chars"].to_numpy(float), *[(d[c] == v).to_numpy(float) for c, vs in categories.items() for v in vs]])
-        return ((t - scale[0]) / scale[1], m) if scale else (t, m)
-
-    t, _ = view(lab, None)
-    scale = (t.mean(axis=0), t.std(axis=0) + 1e-9)
-    held = np.arange(len(lab)) < HELD_OUT * len(lab)
-    y = (lab["y"].to_numpy() > 0).astype(float)
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held[:] = False
-    own = view(lab, scale)
-    train = tuple(v[~held] for v in own)
-    weights = co_train(train, y[~held], view(data[data["y"].isna()], scale))
-    test = held if held.any() else ~held
-    z = [logit_of(v[test], w) for v, w in zip(own, weights, strict=True)]
-    calibration = [logistic(x[:, None], y[test]) for x in z]
-    cal = np.column_stack([x * c[0] + c[1] for x, c in zip(z, calibration, strict=True)])
-    blend = logistic(cal, y[test])
-    text = np.append(weights[0][:-1] / scale[1], weights[0][-1] - (weights[0][:-1] * scale[0] / scale[1]).sum())
-    accuracy = float(((logit_of(cal, blend) >= 0) == (y[test] > 0)).mean())
-    return Model(TEXT, categories, text, weights[1], calibration, blend, {"labelled": len(lab), "held_out": int(test.sum()), "accuracy": accuracy})
-
-
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **columns: str) -> DataFrame:
+    # the order is that of a hash, so the parts do not follow the ids
+    cuts = (np.arange(len(y)) < CALIBRATE * len(y)).astype(int) + (np.arange(len(y)) < (CALIBRATE + TEST) * len(y))
+    if any(len(set(y[cuts == k])) < 2 for k in range(3)):
+        cuts[:] = 0
+    train, calibrate, test = (cuts == 0), (cuts == 2) if cuts.any() else (cuts == 0), (cuts == 1) if cuts.any() else (cuts == 0)
+    text, _ = views_of(lab, None)
+    # shares of slots keep their own small scale, so that the ridge weighs hundreds of them less than the shapes
+    scale = (text[train].mean(axis=0), np.where(np.arange(text.shape[1]) < len(TEXT), text[train].std(axis=0) + 1e-3, 1.0))
+    own = views_of(lab, scale)
+    pool = rows.where("y is null")
+
+    def nominate(weights, taken):
+        return [(t.column("tag").to_pylist(), views_of(t, scale)) for t in nominated(pool, weights, scale, taken, PER_ROUND)]
+
+    weights, given = co_train(tuple(v[train] for v in own), y[train], nominate)
+    z = [logit_of(v[calibrate], w) for v, w in zip(own, weights, strict=True)]
+    calibration = [logistic(x[:, None], y[calibrate]) for x in z]
+    blend = logistic(np.column_stack([x * c[0] + c[1] for x, c in zip(z, calibration, strict=True)]), y[calibrate])
+    model = Model(scale, weights, calibration, blend)
+    right = (model.scores(tuple(v[test] for v in own))[:, 2] >= 0.5) == y[test]
+    model.report = {"labelled": len(y), "pseudo_labels": given, "tested": int(test.sum()), "accuracy": float(right.mean())}
+    return model
+
+
+def labelled_views(docs: DataFrame, labels: DataFrame, label_col: str = "quality", **columns: str) -> DataFrame:
+    """Views of each row of docs with its label y. Of several labels of one document the lowest counts; null labels and ids are passed over."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.min("y").alias("y"))
+    return checkpoint(with_views(docs, **columns).join(known, "doc_id", "left"))
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, label_col: str = "quality", **columns: str) -> DataFrame:
     """doc_id, text_score, metadata_score, quality_score (0 to 1) and kept (threshold or more) of each row of docs.
 
-    Null texts and metadata are empty values, null and repeated ids stay. Without labels of both classes
-    nothing can be learned: all scores are 0.5 and all documents stay. An empty table gives an empty
-    result; other columns are ignored.
+    Null texts and metadata are empty values, null and repeated ids stay, texts of any length are taken
+    whole. Without labels of both classes nothing can be learned: all scores are 0.5 and all documents
+    stay. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    model = fit(docs, labels, **columns)
-    names = {"id_col": "doc_id", "text_col": "text", "source_col": "source", "lang_col": "lang", "length_col": "n_chars"} | columns
-    if model is None:
-        half = [F.lit(0.5).alias(c) for c in ("text_score", "metadata_score", "quality_score")]
-        return docs.select(F.col(names["id_col"]).cast("long").alias("doc_id"), *half, F.lit(True).alias("kept"))
-    rows = with_features(docs, **names)
-    return rows.select("doc_id", *[c.alias(n) for n, c in model.columns().items()]).withColumn("kept", F.col("quality_score") >= threshold)
+    rows = labelled_views(docs, labels, label_col, **columns)
+    model = fit(rows)
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2048):
+                part = batch.slice(s, 2048)
+                found = model.scores(views_of(part, model.scale)) if model else np.full((part.num_rows, 3), 0.5)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[:, k]) for k in range(3)), pa.array(found[:, 2] >= threshold if model else np.full(part.num_rows, True))], ["doc_id", "text_score", "metadata_score", "quality_score", "kept"])
+
+    return rows.drop("y").mapInArrow(run, "doc_id long, text_score double, metadata_score double, quality_score double, kept boolean")
