@@ -5,12 +5,16 @@ equal runs of the order are the shards, so that a shard spans a compact region a
 skipped by the minima and maxima of any of the dimensions. The order inside a cell is a hash of the
 document, so a cell that holds a third of all rows is spread over many sort ranges like any other.
 
-Only numbers are shuffled. Ranges are cut at quantiles of the key; counts by range come to the driver
-(RANGES at most), rows are numbered within their range.
+A text dimension is quantised by the ranks of its distinct values in code point order, which are sorted in
+ranges; only the values at the level's bounds come to the driver. Besides those only numbers are shuffled.
+Ranges are cut at quantiles of the key; counts by range come to the driver (RANGES at most), rows are
+numbered within their range.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -19,7 +23,6 @@ from rastrum.session import checkpoint
 
 BITS = 5  # levels of a dimension: 2 ** BITS
 RANGES = 4096
-MAX_VALUES = 4096  # distinct values of a text dimension that are ranked; more are hashed
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -50,26 +53,38 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _text_levels(df: DataFrame, col: str) -> dict | None:
-    """Level by value in code point order, null first; None if there are too many values to hold."""
-    values = [r[0] for r in df.select(col).distinct().limit(MAX_VALUES + 1).collect()]
-    if len(values) > MAX_VALUES:
-        return None
-    values.sort(key=lambda v: (v is not None, v or ""))
-    return {v: (i << BITS) // len(values) for i, v in enumerate(values)}
+def text_bounds(df: DataFrame, col: str) -> list[str | None]:
+    """The distinct value at which each level from 1 on begins; null comes first, levels differ by one value in size at most.
+
+    The distinct values are sorted in ranges; a value's rank is its place in its range after the sizes of
+    the ranges before it.
+    """
+    values = checkpoint(df.select(F.col(col).alias("v")).distinct().sort(F.col("v").asc_nulls_first())).withColumn("at", F.monotonically_increasing_id())
+    part, place = F.shiftright("at", 33).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dict(values.groupBy(part.alias("part")).count().collect())
+    n, wanted = sum(sizes.values()), []
+    firsts = [-(-level * n >> BITS) for level in range(1, 1 << BITS)] if n else []
+    before = 0
+    for p in sorted(sizes):
+        wanted += [(rank, (p << 33) + rank - before) for rank in sorted(set(firsts)) if before <= rank < before + sizes[p]]
+        before += sizes[p]
+    found = dict(values.where(F.col("at").isin([at for _, at in wanted])).select("at", "v").collect()) if wanted else {}
+    at_rank = {rank: found[at] for rank, at in wanted}
+    return [at_rank[rank] for rank in firsts if rank < n]  # the others begin after the last value
+
+
+def text_level(bounds: list[str | None], value: str | None) -> int:
+    """The number of bounds that are not above the value."""
+    key = lambda v: (v is not None, v or "")
+    return bisect_right(bounds, key(value), key=key)
 
 
 def _keys(levels: list, bounds: np.ndarray):
-    def of_text(col: pa.Array, level: dict | None) -> np.ndarray:
+    def of_text(col: pa.Array, level: list) -> np.ndarray:
         coded = col.dictionary_encode(null_encoding="encode")
-        of = [level[v] if level is not None else hash_level(v) for v in coded.dictionary.to_pylist()]
+        of = [text_level(level, v) for v in coded.dictionary.to_pylist()]
         return np.array(of, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(col) else np.zeros(0, np.int64)
 
-    def hash_level(v) -> int:
-        import xxhash
-
-        return 0 if v is None else xxhash.xxh64_intdigest(v.encode(), 0) >> (64 - BITS)
-
     def run(batches):
         for b in batches:
             length = np.searchsorted(bounds, b.column("length").fill_null(-1).to_numpy(zero_copy_only=False), "right")
@@ -95,7 +110,7 @@ def curve_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = checkpoint(rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size")))
     share = [i / (1 << BITS) for i in range(1, 1 << BITS)]
     cuts = rows.agg(F.percentile_approx("length", share, 10_000)).first()[0] or []
-    levels = [_text_levels(rows, "source"), _text_levels(rows, "lang")]
+    levels = [text_bounds(rows, "source"), text_bounds(rows, "lang")]
     return rows.mapInArrow(_keys(levels, np.array(cuts, np.int64)), "doc_id long, size long, text_crc32 long, key long")
 
 

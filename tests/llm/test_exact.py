@@ -303,6 +303,17 @@ def test_shards(docs, shards):
     assert max(counts) - min(counts) <= 1
 
 
+@pytest.mark.parametrize("n", [1, 2, 31, 32, 33, 200])
+def test_levels_of_text(spark, n):
+    """Ranks of the distinct values in code point order, null first, dealt to levels of equal size."""
+    r = random.Random(n)
+    values = sorted({"".join(r.choice("azÄß漢😀") for _ in range(r.randint(0, 5))) for _ in range(2 * n)})[: n - 1] + [None]
+    df = spark.createDataFrame([(v,) for v in values * 3], "v string").repartition(5)
+    bounds = sharding.text_bounds(df, "v")
+    ranked = [None] + sorted(v for v in values if v is not None)
+    assert [sharding.text_level(bounds, v) for v in ranked] == [32 * i // len(ranked) for i in range(len(ranked))]
+
+
 def test_written_shards_can_be_pruned(docs, tmp_path):
     sharding.write_sharded(docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]), str(tmp_path / "s"), 4)
     assert docs.sparkSession.read.parquet(str(tmp_path / "s")).count() == docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).count()
