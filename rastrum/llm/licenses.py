@@ -58,7 +58,7 @@ def needed(size: int) -> int:
 
 
 def rivals() -> list[list[int]]:
-    """For each template the others with over half of the words of the smaller in common: only the best of them counts in a block."""
+    """For each template the others with over half of the words of the smaller in common; best_labels has only the best of them in a block."""
     sets = [set(tokens(t)) for _, t in TEMPLATES]
     return [[j for j, b in enumerate(sets) if j != i and 2 * len(a & b) > min(len(a), len(b))] for i, a in enumerate(sets)]
 
@@ -83,12 +83,13 @@ def _strings(values: list[str]) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and best_labels of each row.
 
     n_base counts the places of the phrases, first_word and last_word are their smallest and largest
-    start (null without any). labels has the phrases' labels and those of the templates that match a
-    block; of templates much alike only the best counts in a block (the larger if they tie). score is 1
-    with a phrase, else the highest containment, else 0. Label lists are distinct, sorted and
+    start (null without any). labels has the phrases' labels and those of all templates that match a
+    block, so a notice of one license may also meet a shorter notice of another; in best_labels, of templates
+    much alike only the best counts in a block (the larger if they tie). score is 1 with a phrase, else the
+    highest containment, else 0. Label lists are distinct, sorted and
     comma-joined, empty strings if there are none. Null texts are empty; null and repeated ids stay; an
     empty table gives an empty result; other columns are ignored.
     """
@@ -138,7 +139,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     df = df.withColumn("blocks", F.filter(F.array_distinct(F.transform(blocks, lambda b: F.array_intersect(_strings(order), F.split(b, SEPARATOR)))), lambda b: F.size(b) > 0))
     df = df.withColumn("found", F.filter(F.transform("blocks", matches), lambda m: F.size(m) > 0))
     best = lambda ms: F.filter(ms, lambda m: ~F.exists(ms, lambda o: F.array_contains(m["rivals"], o["i"]) & ((o["c"] > m["c"]) | ((o["c"] == m["c"]) & (o["n"] > m["n"])))))
-    df = df.withColumn("kept", F.flatten(F.transform("found", best)))
+    df = df.withColumn("kept", F.flatten("found")).withColumn("best", F.flatten(F.transform("found", best)))
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return df.select(
         "doc_id",
@@ -149,6 +150,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         join(F.col("base")).alias("base_labels"),
         join(F.concat("base", F.transform("kept", lambda m: m["label"]))).alias("labels"),
         F.when(F.size("starts") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("kept", lambda m: m["c"])), F.lit(0.0))).alias("score"),
+        join(F.concat("base", F.transform("best", lambda m: m["label"]))).alias("best_labels"),
     )
 
 
@@ -167,11 +169,13 @@ l as (select distinct k, unnest(list_concat(string_split(text, chr(10)), regexp_
 x as (select k, l, regexp_extract_all(l, '{word}') as w from l),
 m as (select k, l, i, label, rivals, len(t) as n, len(list_intersect(t, w)) as c, need from x, t),
 g as (select *, c / n as share from m where c >= need),
-o as (select distinct k, label, share from g where not exists (select 1 from g as o where o.k = g.k and o.l = g.l and list_contains(g.rivals, o.i) and (o.share > g.share or o.share = g.share and o.n > g.n))),
-a as (select k, list(distinct label) as found, max(share) as share from o group by k)
+o as (select k, label from g where not exists (select 1 from g as o where o.k = g.k and o.l = g.l and list_contains(g.rivals, o.i) and (o.share > g.share or o.share = g.share and o.n > g.n))),
+h as (select k, list(distinct label) as best from o group by k),
+a as (select k, list(distinct label) as found, max(share) as share from g group by k)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
   coalesce(array_to_string(list_sort(base), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') as labels,
-  case when n_base > 0 then 1.0 else coalesce(share, 0.0) end::double as score
-from w left join b using (k) left join a using (k)
+  case when n_base > 0 then 1.0 else coalesce(share, 0.0) end::double as score,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(best, [])))), ','), '') as best_labels
+from w left join b using (k) left join a using (k) left join h using (k)
 """
