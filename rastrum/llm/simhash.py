@@ -2,17 +2,21 @@
 
 A fingerprint of 64 bits is eight positional bytes. Two fingerprints that differ in at most d bits share
 at least 8 - d positional bytes. A posting list for one byte value holds a 256th of all fingerprints, so
-tallying pairs over single postings is quadratic. The index is therefore keyed by each choice of the
-guaranteed number of positions together with their bytes: two fingerprints meet in a posting exactly if
-their tally reaches the minimum. With d = 2 the members of a posting differ in two bytes only, so it has
-65,536 members at most; inside it the links are verified and a spanning forest of them is emitted, never
-all pairs. Equal fingerprints are one entry, whatever the number of their copies.
+tallying pairs over single postings is quadratic. The index is therefore keyed by pairs of neighbouring
+positions: of the four pairs d differing bits spoil d at most, so two such fingerprints meet in a posting
+for some choice of 4 - d pairs. In a posting the shared positional bytes of each pair of members are
+tallied, pairs that reach 8 - d are retained, and those are verified on their bits. A posting of more than
+POSTING members is dealt on by each choice of the bytes that the tally still needs; with d = 2 the members
+of such a posting differ in two bytes only, so it has 65,536 members at most, all of which reach the tally.
+A spanning forest of the links is emitted, never all pairs. Equal fingerprints are one entry, whatever the
+number of their copies.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate, chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +27,37 @@ from rastrum.operators.graph import connected_components
 from rastrum.session import checkpoint
 
 BLOCK = 100_000  # shingles whose bits are counted at once
+SEGMENT = 1 << 20  # bytes of a text that are split into words at once
+POSTING = 512  # members of a posting whose pairs are tallied; more are dealt on
 BANDS, ROWS = 24, 4  # groups of positions of the min-wise sketch, and positions of a group
 SKETCH_SEED = 20
 AGREE = 57  # positions of a sketch that must agree; a pair at a similarity of 0.8 has fewer with a probability below 0.00001
 CELL = 512  # members of each side of a cell of a posting
 CELL_ID = ("band", "key", "kind", "i", "j")
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shingle_hashes(text: bytes, width: int) -> list[int]:
-    """XXH64 (seed 42) of each run of width words, A-Z in lower case, joined by single spaces."""
-    words = text.lower().split()
-    if not words:
-        return []
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return [xxhash.xxh64_intdigest(joined, 42)]
-    ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
-    starts = [0, *(e + 1 for e in ends)]
-    h = xxhash.xxh64_intdigest
-    return [h(joined[a:e], 42) for a, e in zip(starts, ends[width - 1 :], strict=False)]
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of width words, A-Z in lower case, joined by single spaces.
+
+    A very long text is split into words a segment at a time, so beside the hashes memory does not follow its length.
+    """
+    h, found, last, at = xxhash.xxh64_intdigest, [], [], 0
+    while at < len(text):
+        space = WHITE.search(text, at + SEGMENT)
+        end = space.start() if space else len(text)
+        words = last + text[at:end].lower().split()
+        at = end
+        if len(words) < width:
+            last = words
+            continue
+        last = words[len(words) - width + 1 :]
+        ends = list(accumulate(map(len, words), lambda a, n: a + n + 1))
+        joined, starts = b" ".join(words), chain((0,), (e + 1 for e in ends))
+        found.append(np.fromiter((h(joined[a:e], 42) for a, e in zip(starts, ends[width - 1 :], strict=False)), np.uint64, len(words) - width + 1))
+    if found:
+        return found[0] if len(found) == 1 else np.concatenate(found)
+    return np.array([h(b" ".join(last), 42)] if last else [], np.uint64)
 
 
 def fingerprint_of(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -57,7 +73,7 @@ def _fingerprints(width: int):
             rows, hashes, sizes, held = [], [], [], 0
 
             def flush():
-                h = np.array([x for part in hashes for x in part], dtype=">u8")
+                h = np.concatenate(hashes).astype(">u8")
                 n = np.array(sizes)
                 starts = np.concatenate(([0], np.cumsum(n)[:-1]))
                 counts = np.zeros((len(n), 64), np.int64)
@@ -69,7 +85,8 @@ def _fingerprints(width: int):
                 out[rows] = fingerprint_of(counts, n)
 
             for i, t in enumerate(batch.column(1)):
-                if found := shingle_hashes(t.as_py() or b"", width):
+                found = shingle_hashes(t.as_py() or b"", width)
+                if len(found):
                     rows.append(i), hashes.append(found), sizes.append(len(found))
                     held += len(found)
                     if held >= BLOCK:
@@ -91,13 +108,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary"), text_tag(text_col)).mapInArrow(_fingerprints(shingle), "doc_id long, fp long, tag long")
 
 
+def tallied(members: np.ndarray, least: int) -> np.ndarray:
+    """Which pairs of members share least or more positional bytes."""
+    at = members.view(np.uint8).reshape(-1, 8)
+    tally = np.zeros((len(members), len(members)), np.uint8)
+    for position in range(8):
+        tally += at[:, None, position] == at[None, :, position]
+    return tally >= least
+
+
 def forest(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links at distance or less bits among the distinct members of a posting."""
+    """A spanning forest of the links at distance or less bits among the distinct members of a posting.
+
+    Of up to POSTING members each pair is tallied and, where the tally suffices, verified. In a larger
+    posting the key holds as many bytes as the tally must reach, so every pair has reached it; partners
+    are looked up by flipping the bits that vary.
+    """
     members = np.sort(members.astype(np.int64))
     k = len(members)
     label = np.arange(k)
-    if k <= 256:
-        near = np.bitwise_count((members[:, None] ^ members[None, :]).view(np.uint64)) <= distance
+    if k <= POSTING:
+        near = tallied(members, 8 - distance)
+        near &= np.bitwise_count((members[:, None] ^ members[None, :]).view(np.uint64)) <= distance
         while True:
             low = np.where(near, label[None, :], k).min(axis=1)
             if (low == label).all():
@@ -123,22 +155,31 @@ def forest(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
 def _links(distance: int):
     def run(batches):
         for batch in batches:
-            pairs = [p for x in batch.column(0) for p in forest(np.array(x.as_py(), np.int64), distance)]
+            pairs = [p for x in batch.column(0) for p in forest(np.array(x.values), distance)]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["src", "dst"])
 
     return run
 
 
+def _mask(positions) -> int:
+    mask = sum(0xFF << (8 * i) for i in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """Links between distinct fingerprints (one column fp) that connect all that differ in distance or fewer bits."""
     if not 0 < distance < 4:
         raise ValueError("distance must be 1, 2 or 3: beyond that the guaranteed positions are too few to index")
-    masks = []
-    for kept in combinations(range(8), 8 - distance):
-        mask = sum(0xFF << (8 * i) for i in kept)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    entries = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("positions"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)])).alias("key"))
-    postings = entries.select("fp", "key.positions", "key.bytes").groupBy("positions", "bytes").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
+    keys = [tuple(chain.from_iterable((2 * p, 2 * p + 1) for p in pairs)) for pairs in combinations(range(4), 4 - distance)]
+    rest = [[_mask(more) for more in combinations(sorted(set(range(8)) - set(key)), 8 - distance - len(key))] for key in keys]
+    cut = lambda m: F.col("fp").bitwiseAND(m)
+    entries = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("positions"), cut(F.lit(_mask(k))).alias("bytes")) for i, k in enumerate(keys)])).alias("key")).select("fp", "key.*")
+    # a hot posting is one row of this count, and adaptive execution can split its members in the join
+    sizes = entries.groupBy("positions", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    more = F.get(F.array(*[F.array(*map(F.lit, masks)) for masks in rest]), F.col("positions"))
+    dealt = F.when(F.col("n") > POSTING, more).otherwise(F.array(F.lit(0).cast("long")))
+    held = entries.join(sizes, ["positions", "bytes"]).select("fp", "positions", "bytes", F.explode(dealt).alias("more")).withColumn("own", cut(F.col("more")))
+    postings = held.groupBy("positions", "bytes", "more", "own").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     return postings.select("members").mapInArrow(_links(distance), "src long, dst long")
 
 
@@ -165,25 +206,42 @@ def _bands(width: int):
     """(id, tag, bands, sketch): a key for each of BANDS groups of positions of a min-wise sketch of the shingles, and a byte for each position."""
     rng = np.random.default_rng(SKETCH_SEED)
     factors = rng.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    factors[0] |= np.uint64(1)
     mixers = rng.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
-    def sketch(hashes: list[list[int]]) -> tuple[np.ndarray, list[bytes]]:
-        h = np.array([x for part in hashes for x in part], np.uint64)
-        starts = np.concatenate(([0], np.cumsum([len(x) for x in hashes])[:-1]))
-        least = np.stack([np.minimum.reduceat(h * (f | np.uint64(1)) + g, starts) for f, g in factors.T], axis=1)
+    def minima(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The least value of each position over each text's hashes."""
+        out, held = np.empty((len(starts), BANDS * ROWS), np.uint64), np.empty_like(h)
+        for k, (f, g) in enumerate(factors.T):
+            np.multiply(h, f, out=held)
+            np.add(held, g, out=held)
+            np.minimum.reduceat(held, starts, out=out[:, k])
+        return out
+
+    def sketched(part: pa.RecordBatch, rows: list[int], least: np.ndarray) -> pa.RecordBatch:
+        kept = part.take(pa.array(rows))
         low = [x.tobytes() for x in least.astype(np.uint8)]
-        least = (least ^ (least >> np.uint64(29))).reshape(len(hashes), BANDS, ROWS) * mixers
-        return (least ^ (least >> np.uint64(32))).sum(axis=2, dtype=np.uint64).view(np.int64), low
+        mixed = (least ^ (least >> np.uint64(29))).reshape(len(rows), BANDS, ROWS) * mixers
+        keys = (mixed ^ (mixed >> np.uint64(32))).sum(axis=2, dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(list(keys), pa.list_(pa.int64())), pa.array(low, pa.binary())], ["id", "tag", "bands", "sketch"])
 
     def run(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                found = [(i, h) for i, t in enumerate(part.column(2)) if (h := shingle_hashes(t.as_py() or b"", width))]
-                if found:
-                    kept = part.take(pa.array([i for i, _ in found]))
-                    keys, low = sketch([h for _, h in found])
-                    yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(list(keys), pa.list_(pa.int64())), pa.array(low, pa.binary())], ["id", "tag", "bands", "sketch"])
+            part = batch.select([0, 1])
+            rows, hashes, held = [], [], 0
+            for i, t in enumerate(batch.column(2)):
+                h = shingle_hashes(t.as_py() or b"", width)
+                if len(h) >= BLOCK:  # a very long text goes through in several blocks
+                    parts = [minima(h[s : s + BLOCK], np.zeros(1, np.int64)) for s in range(0, len(h), BLOCK)]
+                    yield sketched(part, [i], np.minimum.reduce(parts))
+                elif len(h):
+                    rows.append(i), hashes.append(h)
+                    held += len(h)
+                if held >= BLOCK:
+                    yield sketched(part, rows, minima(np.concatenate(hashes), np.cumsum([0] + [len(x) for x in hashes[:-1]])))
+                    rows, hashes, held = [], [], 0
+            if rows:
+                yield sketched(part, rows, minima(np.concatenate(hashes), np.cumsum([0] + [len(x) for x in hashes[:-1]])))
 
     return run
 
@@ -191,8 +249,14 @@ def _bands(width: int):
 def _sets(width: int):
     def run(batches):
         for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(t.as_py() or b"", width), np.uint64)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["tag", "shingles"])
+            tags, sets, held = [], [], 0
+            for tag, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tags.append(tag), sets.append(np.unique(shingle_hashes(t.as_py() or b"", width)).view(np.int64))
+                held += len(sets[-1])
+                if held >= BLOCK:
+                    yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["tag", "shingles"])
+                    tags, sets, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["tag", "shingles"])
 
     return run
 
