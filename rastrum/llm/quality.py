@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade of native column expressions.
 
-Each rule is an expression over the text that is true if the document is rejected. On a bounded sample
-the cost of each rule and the share of documents that it rejects are measured; the rules are then ordered
-by rejection per cost and put into one CASE expression, whose later branches are evaluated only for the
-documents that the earlier ones let pass. The order changes what is computed, never the verdict.
+Each rule is an expression over the text that is true if the document is rejected. On a bounded sample of
+all documents, written once, the cost of each rule, in the form in which it will be evaluated, and the share
+of documents that it rejects are measured; the rules are then ordered by rejection per cost and put into one
+CASE expression, whose later branches are evaluated only for the documents that the earlier ones let pass.
+The order changes what is computed, never the verdict.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rastrum.session import checkpoint
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
-SAMPLE_ROWS = 200  # documents on which costs and selectivities are estimated
-SAMPLE_SHARE = 0.1
+SAMPLE_ROWS = 200  # documents, about, on which costs and selectivities are estimated; twice as many at most
+EVALUATIONS = 2000  # of a rule for a measurement of its cost, over and over the sample
+TRIALS = 3
 WINDOW = 5
 
 
@@ -51,23 +55,18 @@ def with_repeat_words(df: DataFrame, words: str, name: str) -> DataFrame:
     """Add the number of words in windows of five words that occur twice or more in the text.
 
     A window is a 64-bit hash of its words' hashes. Only where a hash repeats, hashes and positions are
-    packed into longs and sorted, equal neighbours give the starts of repeated windows, and the union of
-    the windows is summed from the gaps between sorted starts.
+    sorted together, so that equal hashes are neighbours and give the starts of repeated windows, and the
+    union of the windows is summed from the gaps between sorted starts.
     """
-    held = ["_hashes", "_windows", "_shift", "_sorted", "_starts"]
+    held = ["_hashes", "_windows", "_sorted", "_starts"]
     n = F.size(words)
     at = lambda c, i: F.get(F.col(c), i)
     df = df.withColumn("_hashes", F.transform(words, lambda w: F.xxhash64(w)))
     df = df.withColumn("_windows", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[at("_hashes", i + j) for j in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_shift", F.length(F.bin(F.size("_windows").cast("long"))))
-    df = df.withColumn(
-        "_sorted",
-        F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.call_function("shiftleft", h, F.col("_shift")).bitwiseOR(i.cast("long"))))).otherwise(F.array().cast("array<bigint>")),
-    )
-    start = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_shift")) - 1).cast("int")
-    value = lambda x: at("_windows", start(x))
-    same = lambda x, other: F.coalesce(value(x) == value(other), F.lit(False))
-    df = df.withColumn("_starts", F.sort_array(F.transform(F.filter("_sorted", lambda x, i: same(x, at("_sorted", i - 1)) | same(x, at("_sorted", i + 1))), start)))
+    places = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), places).otherwise(F.array().cast("array<struct<h: bigint, i: int>>")))
+    same = lambda x, other: F.coalesce(x["h"] == other["h"], F.lit(False))
+    df = df.withColumn("_starts", F.sort_array(F.transform(F.filter("_sorted", lambda x, i: same(x, at("_sorted", i - 1)) | same(x, at("_sorted", i + 1))), lambda x: x["i"])))
     gaps = F.transform("_starts", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(at("_starts", i + 1) - x, F.lit(WINDOW))))
     return df.withColumn(name, F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g)).drop(*held)
 
@@ -103,25 +102,34 @@ def features(text: Column, words: Column, known: dict[str, Column] | None = None
     return lambda name: known[name] if known and name in known else built[name]()
 
 
-def estimate(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds a document, share rejected) on SAMPLE_ROWS sampled documents at most.
-
-    The time of reading the sample and splitting its words is measured apart and taken off.
-    """
+def sampled(docs: DataFrame, text_col: str) -> DataFrame:
+    """(text, words) of about SAMPLE_ROWS documents from all of docs; a null text is empty."""
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sample = docs.sample(SAMPLE_SHARE, seed=7).select(text.alias("text")).select("text", words_of(F.col("text")).alias("words"))
-    f = features(F.col("text"), F.col("words"))
+    return docs.sample(share, seed=7).select(text.alias("text")).limit(2 * SAMPLE_ROWS).select("text", words_of(F.col("text")).alias("words"))
+
 
-    def timed(c: Column) -> tuple[float, float]:
-        probe, took = sample.select(F.size("words").alias("n"), c.alias("r")), []
-        for _ in range(2):
+def estimate(sample: DataFrame, rules: tuple[Rule, ...], f: Callable[[str], Column]) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds a document, share rejected) of rules over a sample in which f finds its columns.
+
+    The sample is written once and gone over EVALUATIONS times in all for each rule; of TRIALS the shortest
+    counts, and the time of reading the rows alone is taken off.
+    """
+    sample = checkpoint(sample.coalesce(1))
+    shares = sample.agg(F.count("*").alias("n"), *[F.count_if(rule.reject(f)).alias(rule.name) for rule in rules]).first()
+    rounds = -(-EVALUATIONS // max(1, shares["n"]))
+    again = sample.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+
+    def timed(c: Column) -> float:
+        took = []
+        for _ in range(TRIALS):
             t = time.perf_counter()
-            rows = probe.take(SAMPLE_ROWS)
-            took.append((time.perf_counter() - t) / max(1, len(rows)))
-        return min(took), sum(bool(r["r"]) for r in rows) / max(1, len(rows))
+            again.agg(F.count_if(c)).collect()
+            took.append(time.perf_counter() - t)
+        return min(took) / max(1, rounds * shares["n"])
 
-    base, _ = timed(F.lit(False))
-    return [(rule, max(cost - base, 1e-9), share) for rule in rules for cost, share in [timed(rule.reject(f))]]
+    base = timed(F.col("_round") > 0)
+    return [(rule, max(timed(rule.reject(f)) - base, 1e-9), shares[rule.name] / max(1, shares["n"])) for rule in rules]
 
 
 def ordered(estimates: list[tuple[Rule, float, float]]) -> list[Rule]:
@@ -145,7 +153,7 @@ def cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
     fail few_words. Rows are neither merged nor dropped; all other columns stay as they are, also one of
     the name "words". An empty table gives an empty result.
     """
-    order = ordered(estimate(docs, text_col, rules))
+    order = ordered(estimate(sampled(docs, text_col), rules, features(F.col("text"), F.col("words"))))
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = docs.withColumn("_words_of_text", words_of(text))
     return held.withColumn(reason, rejected_by(order, features(text, F.col("_words_of_text")))).drop("_words_of_text")
@@ -158,14 +166,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     if base_failed, else the verdict of the cascade, which takes the statistics where they are there
     already. Null texts count as empty, null and repeated ids stay, other columns are ignored.
     """
-    order = ordered(estimate(docs, text_col, rules))
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     df = with_repeat_words(df.withColumn("words", words_of(F.col("text"))), "words", "n_repeat_words")
     f = features(F.col("text"), F.col("words"))
     stats = ["n_words", "word_chars", "n_symbols", "n_dup_lines"]
+    # the rules are costed as they are used here, over the statistics that are there already
+    late = features(F.col("text"), F.col("words"), {s: F.col(s) for s in stats})
+    order = ordered(estimate(sampled(docs, text_col).select("*", *[f(s).alias(s) for s in stats]), rules, late))
     df = df.select("*", *[f(s).alias(s) for s in stats])
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    verdict = rejected_by(order, features(F.col("text"), F.col("words"), {s: F.col(s) for s in stats})).isNull()
+    verdict = rejected_by(order, late).isNull()
     return df.select("doc_id", *stats, "n_repeat_words", "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict).alias("kept"))
 
 
@@ -179,7 +189,11 @@ def _where_late(df: DataFrame, condition: Column) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that quality() keeps, unchanged: the cascade first, repeated windows only for what it lets pass."""
+    """The rows of docs that quality() keeps, unchanged: the cascade first, repeated windows only for what it lets pass.
+
+    Null and empty texts go. Null and repeated ids and equal rows are judged each for itself; texts of any
+    length are judged whole; columns may have any names. An empty table gives an empty result.
+    """
     rows = _where_late(cascade(docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", rules), F.col("rejected_by").isNull())
     rows = with_repeat_words(rows.select("row", words_of(F.col("text")).alias("words")), "words", "n_repeat_words")
     return _where_late(rows, (F.size("words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.size("words"))).select("row.*")
