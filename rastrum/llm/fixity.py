@@ -1,13 +1,15 @@
 """Merkle fixity audit of WARC replicas.
 
-Records are hashed as they stand in the archive. A leaf holds one page id; a node holds FAN ordered
-children, and its hash is made of the numbers, hashes and byte lengths of its children, so it fixes an
-ordered range of records and of offsets. A damaged or lost record changes its own leaf and the nodes
-above it and no other. The audit compares the roots of two replicas and then, level by level, only the
-children of the nodes that differ, until it has the damaged leaves.
-
-Only hashes and lengths are shuffled; a node has FAN children at most, and a leaf with many records (equal
-ids) is folded from sums of parts of their hashes, so no group is collected without a bound.
+Records are hashed as they stand in the archive. A leaf holds the records that begin in one range of
+RANGE_BITS bits of offsets of a file, in the order of their offsets; a node holds FAN ordered neighbouring
+ranges, so its hash fixes an ordered range of offsets and all that stands there. The root of a file is a leaf
+of a trie over the hashes of the file names, up to one root for the whole replica. The audit compares the
+roots of two replicas and then, level by level, only the children of the nodes that differ, until it has
+the ranges, and in those the records, that are damaged. Changed bytes, a lost record and two records that
+change places are all seen.
+
+Only hashes, offsets and lengths are shuffled. A range holds few records, as each has a header; a node has
+FAN children at most. Equal records of a table are laid out as one run with a number of copies.
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rastrum.session import checkpoint, partitions_of
 
-FAN_BITS = 4
+RANGE_BITS = 12  # a leaf covers 4096 bytes of offsets
+FAN_BITS = 6
 FAN = 1 << FAN_BITS
-FILE_LEVEL = 2  # the level whose nodes are archive files: FAN ** 2 page ids each
-NULL_PAGE = -1  # the leaf of records without an id
+DEPTH = 2  # levels above the leaves up to the root of a file, at least; enough for 16 MB
+GROUP_BITS = 8  # a file of a table holds 2 ** GROUP_BITS page ids
+FILE_BYTES = 1 << 20  # bytes from which such a group is dealt to several files
+CHUNK = 1 << 20  # bytes of an archive that are decompressed at once
 
 
 def warc_record(page_id: Column, url: Column, payload: Column) -> Column:
@@ -34,88 +39,144 @@ def warc_record(page_id: Column, url: Column, payload: Column) -> Column:
     )
 
 
-def digests(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, n_bytes, sha256) of each page's record."""
-    record = warc_record(F.col(id_col), F.col(url_col), F.col(html_col))
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), record.cast("binary").alias("r")).select("page_id", F.octet_length("r").cast("long").alias("n_bytes"), F.sha2("r", 256).alias("sha256"))
+def _bytes_and_hash(html: Column) -> list[Column]:
+    record = warc_record(F.col("page_id"), F.col("url"), html).cast("binary")
+    return [F.octet_length(record).cast("long"), F.sha2(record, 256)]
 
 
-def _hash(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws(":", *parts).cast("binary"), 256)
+def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", replica: Column | None = None) -> DataFrame:
+    """(file, offset, length, copies, page_id, sha256) of the records of a table laid out in archive files, a row for each run of equal records.
+
+    A file holds the records of 2 ** GROUP_BITS page ids in the order of ids and hashes; a group of more than
+    FILE_BYTES (few ids with very many records, or the records without an id, which are a group of their own)
+    is dealt to several files by hash. Null urls and texts are empty, equal rows are copies in one run, texts
+    of any length are hashed whole; an empty table gives an empty result; other columns are ignored. With
+    replica, a second text of each record, null where it is lost, replica_length and replica_sha256 come along.
+    """
+    names = ["length", "sha256"] + ["replica_length", "replica_sha256"] * (replica is not None)
+    df = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    made = _bytes_and_hash(F.col("html")) + ([F.when(replica.isNotNull(), x) for x in _bytes_and_hash(replica)] if replica is not None else [])
+    runs = df.select("page_id", *[c.alias(n) for c, n in zip(made, names, strict=True)]).groupBy("page_id", *names).agg(F.count("*").alias("copies"))
+    runs = checkpoint(runs.withColumn("group", F.coalesce(F.shiftright("page_id", GROUP_BITS).cast("string"), F.lit("null"))))
+    large = runs.groupBy("group").agg(F.sum(F.col("length") * F.col("copies")).alias("n")).where(F.col("n") > FILE_BYTES)
+    large = large.select("group", F.ceil(F.col("n") / FILE_BYTES).cast("long").alias("files"))
+    part = F.coalesce(F.conv(F.substring("sha256", 1, 8), 16, 10).cast("long") % F.col("files"), F.lit(0))
+    dealt = runs.join(large, "group", "left").withColumn("file", F.concat("group", F.lit("-"), part.cast("string")))
+    size = F.col("length") * F.col("copies")
+    place = F.sum(size).over(Window.partitionBy("file").orderBy("page_id", "sha256")) - size
+    return dealt.select("file", place.alias("offset"), "copies", "page_id", *names)
+
+
+def _hash(children: Column) -> Column:
+    """The hash of ordered children, structs of a place and what is said about it."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(children), lambda c: c["says"]), ",").cast("binary"), 256)
 
 
-def tree(records: DataFrame) -> list[DataFrame]:
-    """(node, n_records, n_bytes, hash) of the nodes of each level over (page_id, n_bytes, sha256).
+def shape(*sides: DataFrame) -> tuple[int, int]:
+    """(levels in a file, digits of the trie over files) that suit all of these records."""
+    ends = [r.agg(F.max("offset").alias("far"), F.approx_count_distinct("file").alias("files")).first() for r in sides]
+    bits = max((e["far"] or 0).bit_length() for e in ends)
+    return max(DEPTH, -(-(bits - RANGE_BITS) // FAN_BITS)), -(-max(e["files"] for e in ends).bit_length() // 4)
 
-    The first level are the leaves, one for each page id; null ids share leaf NULL_PAGE. Records of one leaf count
-    whatever their order. The last level is the first with one node for the ids from 0 on (ids below 0 have
-    a top node of their own).
+
+def tree(records: DataFrame, depth: int = DEPTH, digits: int = 1) -> list[DataFrame]:
+    """(scope, node, up_scope, up_node, n_records, n_bytes, hash) of the nodes of each level over (file, offset, length, copies, sha256).
+
+    Level 0 are the ranges of offsets, level depth the roots of the files, and the last level is the root of
+    the replica, one row unless there are no records.
     """
-    chunk = lambda i: F.sum(F.conv(F.substring("sha256", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    leaves = records.groupBy(F.coalesce("page_id", F.lit(NULL_PAGE)).cast("long").alias("node")).agg(F.count("*").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), *[chunk(i).alias(f"c{i}") for i in range(4)])
-    leaves = leaves.select("node", "n_records", "n_bytes", _hash(F.col("n_records").cast("string"), F.col("n_bytes").cast("string"), *[F.col(f"c{i}") for i in range(4)]).alias("hash"))
-    levels = [checkpoint(leaves)]
-    ends = levels[0].agg(F.min("node"), F.max("node")).first()
-    top = max(ends[1] or 0, -(ends[0] or 0) - 1).bit_length()
-    for level in range(1, max(FILE_LEVEL, -(-top // FAN_BITS)) + 1):
-        child = F.struct("node", F.concat_ws(":", F.col("node").cast("string"), F.col("hash"), F.col("n_bytes").cast("string")).alias("says"))
-        up = levels[-1].groupBy(F.shiftright("node", FAN_BITS).alias("up")).agg(F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(child)).alias("children"))
-        hashed = F.sha2(F.array_join(F.transform("children", lambda c: c["says"]), ",").cast("binary"), 256)
-        # a level has a FAN-th of the nodes below it, so it needs a FAN-th of the partitions
-        up = up.coalesce(max(1, partitions_of(records.sparkSession) >> (FAN_BITS * level)))
-        levels.append(checkpoint(up.select(F.col("up").alias("node"), "n_records", "n_bytes", hashed.alias("hash"))))
+    cores = partitions_of(records.sparkSession)
+    prefix = lambda k: F.substring(F.md5(F.col("file").cast("binary")), 1, k)
+    says = F.concat_ws(":", "offset", "length", "copies", "sha256")
+    ranges = records.groupBy("file", F.shiftright("offset", RANGE_BITS).alias("node")).agg(F.sum("copies").alias("n_records"), F.sum(F.col("length") * F.col("copies")).alias("n_bytes"), _hash(F.collect_list(F.struct("offset", says.alias("says")))).alias("hash"))
+    levels, up = [], ranges.withColumn("scope", F.col("file"))
+    for level in range(depth + digits + 1):
+        if level:
+            child = F.struct(F.col("scope"), F.col("node"), F.concat_ws(":", "scope", "node", "n_bytes", "hash").alias("says"))
+            up = levels[-1].groupBy(F.col("up_scope").alias("scope"), F.col("up_node").alias("node")).agg(F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), _hash(F.collect_list(child)).alias("hash"))
+            # a level has a FAN-th of the nodes below it, so it needs a FAN-th of the partitions
+            up = up.withColumn("file", F.col("scope")).coalesce(max(1, cores >> (FAN_BITS * level)))
+        if level < depth:
+            above = [F.col("scope"), F.shiftright("node", FAN_BITS)]
+        elif level == depth:
+            above = [prefix(digits), F.lit(0).cast("long")]
+        else:
+            above = [F.col("scope").substr(F.lit(1), F.length("scope") - 1), F.lit(0).cast("long")]
+        levels.append(checkpoint(up.select("scope", "node", above[0].alias("up_scope"), above[1].alias("up_node"), "n_records", "n_bytes", "hash")))
     return levels
 
 
-def audit(primary: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
-    """The damaged leaves of a replica: (page_id, status, n_bytes, replica_bytes) from two trees.
+def audit(primary: list[DataFrame], replica: list[DataFrame], records: DataFrame, found: DataFrame) -> DataFrame:
+    """The damaged records of a replica: (file, offset, status, length, replica_length) from two trees of one shape and the records under them.
 
-    status is corrupt (other content), missing (not in the replica) or extra (only there). page_id is null
-    for the records without an id. Equal trees give no rows, as do two empty ones.
+    status is corrupt (other content or length at the same place), missing (nothing begins there in the
+    replica) or extra (only there). Equal trees give no rows, as do two empty ones.
     """
     suspects = None
-    for level in range(min(len(primary), len(replica)) - 1, -1, -1):  # from the highest level that both have
-        a, b = primary[level], replica[level]
+    for a, b in zip(reversed(primary), reversed(replica), strict=True):
         if suspects is not None:  # descend only where the parents differ
-            a, b = (t.join(suspects.select(F.col("node").alias("parent")), F.shiftright(t["node"], FAN_BITS) == F.col("parent"), "left_semi") for t in (a, b))
-        a, b = a.select("node", F.col("hash").alias("h"), "n_bytes"), b.select("node", F.col("hash").alias("g"), F.col("n_bytes").alias("replica_bytes"))
-        suspects = checkpoint(a.join(b, "node", "full").where(~F.col("h").eqNullSafe(F.col("g"))))
+            a, b = (t.join(suspects, (t["up_scope"] == suspects["s"]) & (t["up_node"] == suspects["n"]), "left_semi") for t in (a, b))
+        a, b = a.select("scope", "node", F.col("hash").alias("h")), b.select("scope", "node", F.col("hash").alias("g"))
+        suspects = checkpoint(a.join(b, ["scope", "node"], "full").where(~F.col("h").eqNullSafe(F.col("g"))).select(F.col("scope").alias("s"), F.col("node").alias("n")))
+    within = lambda r: r.join(suspects, (r["file"] == suspects["s"]) & (F.shiftright(r["offset"], RANGE_BITS) == suspects["n"]), "left_semi")
+    own = within(records).select("file", "offset", "length", F.concat_ws(":", "length", "copies", "sha256").alias("h"))
+    other = within(found).select("file", "offset", F.col("length").alias("replica_length"), F.concat_ws(":", "length", "copies", "sha256").alias("g"))
     status = F.when(F.col("g").isNull(), "missing").when(F.col("h").isNull(), "extra").otherwise("corrupt")
-    return suspects.select(F.when(F.col("node") != NULL_PAGE, F.col("node")).alias("page_id"), status.alias("status"), "n_bytes", "replica_bytes")
+    return own.join(other, ["file", "offset"], "full").where(~F.col("h").eqNullSafe(F.col("g"))).select("file", "offset", status.alias("status"), "length", "replica_length")
 
 
-def report(primary: list[DataFrame], replica: list[DataFrame]) -> DataFrame:
-    """One row for each leaf of the primary and each extra one: page_id, file, n_records, n_bytes, leaf_sha256, file_sha256, status.
+def compare(records: DataFrame, found: DataFrame) -> DataFrame:
+    """audit() of two replicas given as records (file, offset, length, copies, sha256)."""
+    depth, digits = shape(records, found)
+    return audit(tree(records, depth, digits), tree(found, depth, digits), records, found)
 
-    file is the archive file that holds the page, file_sha256 the hash of its node; status is ok or as in audit.
-    """
-    found = audit(primary, replica).withColumn("node", F.coalesce("page_id", F.lit(NULL_PAGE)).cast("long")).select("node", "status")
-    leaves = primary[0].select("node", "n_records", "n_bytes", F.col("hash").alias("leaf_sha256"))
-    files = primary[FILE_LEVEL].select(F.col("node").alias("file"), F.col("hash").alias("file_sha256"))
-    rows = leaves.join(found, "node", "full").withColumn("file", F.shiftright("node", FAN_BITS * FILE_LEVEL)).join(files, "file", "left")
-    return rows.select(F.when(F.col("node") != NULL_PAGE, F.col("node")).alias("page_id"), "file", "n_records", "n_bytes", "leaf_sha256", "file_sha256", F.coalesce("status", F.lit("ok")).alias("status"))
 
+def report(pages: DataFrame) -> DataFrame:
+    """All records of a table of pages audited against a replica with planted faults.
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """A replica with faults for exercising the audit: by a hash of the id some pages are lost, some cut, some changed in one place."""
-    fate = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
-    html = F.coalesce(F.col("html"), F.lit(""))
+    page_id, file, offset, n_records, n_bytes, sha256, file_sha256 and status (ok, or as in audit) of each
+    run of equal records; file_sha256 is the root of the file. See archive for nulls, repeats and empty tables.
+    """
+    laid = checkpoint(archive(pages, replica=damaged("page_id", "html")))
+    found = laid.where("replica_sha256 is not null").select("file", "offset", F.col("replica_length").alias("length"), "copies", F.col("replica_sha256").alias("sha256"))
+    depth, digits = shape(laid, found)
+    own = tree(laid, depth, digits)
+    bad = audit(own, tree(found, depth, digits), laid, found).select("file", "offset", "status")
+    files = own[depth].select(F.col("scope").alias("file"), F.col("hash").alias("file_sha256"))
+    rows = laid.join(bad, ["file", "offset"], "left").join(files, "file")
+    return rows.select("page_id", "file", "offset", F.col("copies").alias("n_records"), (F.col("length") * F.col("copies")).alias("n_bytes"), "sha256", "file_sha256", F.coalesce("status", F.lit("ok")).alias("status"))
+
+
+def damaged(id_col: str, html_col: str) -> Column:
+    """The text of a record in a replica with faults for exercising the audit: by a hash of the id some are lost (null), some cut, some changed in one place."""
+    fate = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 2)
+    html = F.coalesce(F.col(html_col), F.lit(""))
     half = F.floor(F.length(html) / 2).cast("int")
     changed = F.when(fate == "01", F.substring(html, 1, half)).when(fate == "02", F.concat(F.substring(html, 1, half), F.lit("?"), F.substring(html, half + 2, 1 << 30)))
-    return pages.where(fate != "00").select("page_id", "url", F.coalesce(changed, html).alias("html"))
+    return F.when(fate != "00", F.coalesce(changed, html))
 
 
-def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, payload) of each record of a WARC file; each may be a gzip member."""
+def members(data: memoryview) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member; the archive is read in chunks, none of them twice."""
     at = 0
     while at < len(data):
-        if data[at : at + 2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            record = member.decompress(data[at:]) + member.flush()
-            used = len(data) - at - len(member.unused_data)
+        member, out, used = zlib.decompressobj(31), [], at
+        while not member.eof and used < len(data):
+            out.append(member.decompress(data[used : used + CHUNK]))
+            used = min(len(data), used + CHUNK)
+        used -= len(member.unused_data)
+        yield at, used - at, b"".join(out)
+        at = used
+
+
+def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers, payload) of each record of a WARC file; each may be a gzip member, whose place counts then."""
+    if data[:2] == b"\x1f\x8b":
+        for at, used, record in members(memoryview(data)):
             yield from ((at, used, headers, payload) for _, _, headers, payload in parse_records(record))
-            at += used
-            continue
+        return
+    at = 0
+    while at < len(data):
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
@@ -126,27 +187,50 @@ def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
         at = end + 8 + n
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, length, uri, record_id, payload) of the records of WARC files, plain or compressed by record."""
-
+def _read(spark: SparkSession, path: str, columns: dict, row) -> DataFrame:
     def parse(batches):
         import pyarrow as pa
 
+        kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(columns.values())], list(columns))
+
         for b in batches:
             for name, data in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                rows = [(name, o, n, h.get("WARC-Target-URI"), h.get("WARC-Record-ID"), body) for o, n, h, body in parse_records(data.as_py())]
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["file", "offset", "length", "uri", "record_id", "payload"])
+                rows, held = [], 0
+                raw = data.as_py()
+                for record in parse_records(raw):
+                    rows.append(row(name, raw, *record))
+                    held += record[1]
+                    if held >= 16 * CHUNK:  # a large archive goes out in several batches
+                        yield made(rows)
+                        rows, held = [], 0
+                yield made(rows)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, ", ".join(f"{c} {k}" for c, k in columns.items()))
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, uri, record_id, payload) of the records of WARC files, plain or compressed by record."""
+    columns = {"file": "string", "offset": "long", "length": "long", "uri": "string", "record_id": "string", "payload": "binary"}
+    return _read(spark, path, columns, lambda name, raw, at, n, headers, body: (name, at, n, headers.get("WARC-Target-URI"), headers.get("WARC-Record-ID"), body))
+
+
+def warc_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, offset, length, copies, sha256) of the records of WARC files as their bytes stand there; file is the last part of the path."""
+    import hashlib
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "file string, offset long, length long, uri string, record_id string, payload binary")
+    columns = {"file": "string", "offset": "long", "length": "long", "copies": "long", "sha256": "string"}
+    return _read(spark, path, columns, lambda name, raw, at, n, headers, body: (name.rsplit("/", 1)[-1], at, n, 1, hashlib.sha256(raw[at : at + n]).hexdigest()))
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Write pages as text files of concatenated records, one file for each node of FILE_LEVEL, ordered by page id.
+    """Write pages as text files of concatenated records, one folder for each group of 2 ** GROUP_BITS page ids, ordered by page id.
 
-    Partitions are by file, so a task writes one file after another.
+    Partitions are by group, so a task writes one file after another. Pages without an id have a folder of their own.
     """
-    rows = pages.select(F.shiftright(F.coalesce("page_id", F.lit(NULL_PAGE)).cast("long"), FAN_BITS * FILE_LEVEL).alias("file"), "page_id", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("value"))
+    rows = pages.select(F.coalesce(F.shiftright(F.col("page_id").cast("long"), GROUP_BITS).cast("string"), F.lit("null")).alias("file"), "page_id", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("value"))
     rows = rows.repartition("file").sortWithinPartitions("file", "page_id")
     # the text sink ends each value with the line break that ends the record
     rows.select("file", F.expr("substring(value, 1, length(value) - 1)").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
@@ -154,17 +238,17 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
 ORACLE = r"""
 with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html, substr(md5(coalesce(cast(page_id as varchar), '')), 1, 2) as fate from pages),
-q as (select page_id, url, case fate when '01' then substr(html, 1, length(html) // 2) when '02' then substr(html, 1, length(html) // 2) || '?' || substr(html, length(html) // 2 + 2) else html end as html from p where fate <> '00'),
-r as (select *, 0 as side from (select page_id, url, html from p) union all select *, 1 from q),
-w as (select side, coalesce(page_id, -1) as node, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Target-URI: ' || url || e || 'WARC-Record-ID: <urn:page:' || coalesce(cast(page_id as varchar), '') || '>' || e
-  || 'Content-Type: text/html' || e || 'Content-Length: ' || octet_length(encode(html)) || e || e || html || e || e as w from r, (select chr(13) || chr(10) as e)),
-d as (select side, node, octet_length(encode(w)) as n, sha256(w) as h from w),
-l as (select side, node, count(*) as n_records, cast(sum(n) as bigint) as n_bytes, sum(cast('0x' || substr(h, 1, 15) as hugeint)) as a, sum(cast('0x' || substr(h, 16, 15) as hugeint)) as b,
-  sum(cast('0x' || substr(h, 31, 15) as hugeint)) as c, sum(cast('0x' || substr(h, 46, 15) as hugeint)) as e from d group by side, node),
-l0 as (select side, node, n_records, n_bytes, sha256(concat_ws(':', n_records, n_bytes, a, b, c, e)) as h from l),
-l1 as (select side, node >> 4 as node, cast(sum(n_bytes) as bigint) as n_bytes, sha256(string_agg(concat_ws(':', node, h, n_bytes), ',' order by node)) as h from l0 group by side, node >> 4),
-l2 as (select side, node >> 4 as node, sha256(string_agg(concat_ws(':', node, h, n_bytes), ',' order by node)) as h from l1 group by side, node >> 4)
-select nullif(coalesce(x.node, y.node), -1) as page_id, coalesce(x.node, y.node) >> 8 as file, x.n_records, x.n_bytes, x.h as leaf_sha256, f.h as file_sha256,
-  case when y.node is null then 'missing' when x.node is null then 'extra' when x.h <> y.h then 'corrupt' else 'ok' end as status
-from (from l0 where side = 0) x full join (from l0 where side = 1) y using (node) left join (from l2 where side = 0) f on f.node = coalesce(x.node, y.node) >> 8
+t as (select *, case fate when '01' then substr(html, 1, length(html) // 2) when '02' then substr(html, 1, length(html) // 2) || '?' || substr(html, length(html) // 2 + 2) else html end as other from p),
+q as (select page_id, fate, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Target-URI: ' || url || e || 'WARC-Record-ID: <urn:page:' || coalesce(cast(page_id as varchar), '') || '>' || e || 'Content-Type: text/html' || e || 'Content-Length: ' as head,
+  octet_length(encode(html)) || e || e || html || e || e as w, octet_length(encode(other)) || e || e || other || e || e as v from t, (select chr(13) || chr(10) as e)),
+d as (select page_id, fate, octet_length(encode(head || w)) as n, sha256(head || w) as h, sha256(head || v) as r, count(*) as c from q group by all),
+f as (select *, coalesce(cast(page_id >> 8 as varchar), 'null') as g, sum(n * c) over (partition by coalesce(page_id >> 8, -1), page_id is null) as total from d),
+a as (select * rename (r as replica), g || '-' || case when total > 1048576 then cast('0x' || substr(h, 1, 8) as bigint) % cast(ceil(total / 1048576.0) as bigint) else 0 end as file from f),
+r as (select *, cast(sum(n * c) over (partition by file order by page_id, h rows unbounded preceding) as bigint) - n * c as o from a),
+l0 as (select file, o >> 12 as node, cast(sum(n * c) as bigint) as b, sha256(string_agg(concat_ws(':', o, n, c, h), ',' order by o)) as h from r group by 1, 2),
+l1 as (select file, node >> 6 as node, cast(sum(b) as bigint) as b, sha256(string_agg(concat_ws(':', file, node, b, h), ',' order by node)) as h from l0 group by 1, 2),
+l2 as (select file, sha256(string_agg(concat_ws(':', file, node, b, h), ',' order by node)) as h from l1 group by 1)
+select page_id, file, o as "offset", c as n_records, cast(n * c as bigint) as n_bytes, r.h as sha256, l2.h as file_sha256,
+  case when fate = '00' then 'missing' when replica <> r.h then 'corrupt' else 'ok' end as status
+from r join l2 using (file)
 """

@@ -49,7 +49,7 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     for out in (
         suffix_dedup.cut_repeats(none), suffix_dedup.without_repeats(none), simhash.near_duplicates(none), simhash.keep_one(none), spotsigs.edit_robustness(none), sharding.shard(none),
-        mixing.mixture(none), mixing.mixed(none), packing.pack(none, BPE), quality.quality(none), quality.keep_good(none), licenses.scan(none), fixity.tree(fixity.digests(none, "doc_id", "text", "text"))[0],
+        mixing.mixture(none), mixing.mixed(none), packing.pack(none, BPE), quality.quality(none), quality.keep_good(none), licenses.scan(none), fixity.archive(none, "doc_id", "text", "text"), fixity.tree(fixity.archive(none, "doc_id", "text", "text"))[-1], fixity.report(none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), F.col("lang").alias("url"), "h", "key")),
     ):
         assert out.count() == 0
 
@@ -459,17 +459,98 @@ def test_cascade(docs):
     assert quality.ordered([(dear, 2.0, 0.5), (cheap, 0.1, 0.1)]) == [cheap, dear]
 
 
-def test_fixity(spark, tmp_path):
-    pages = spark.createDataFrame([(i, f"u{i}", "x" * i) for i in range(40)] + [(5, "again", "y"), (None, None, None)], "page_id long, url string, html string")
-    whole = fixity.tree(fixity.digests(pages))
-    assert fixity.audit(whole, fixity.tree(fixity.digests(pages.repartition(7)))).count() == 0
-    other = pages.where("page_id is null or page_id not in (7, 20)").withColumn("html", F.when(F.col("url") == "again", "z").otherwise(F.col("html"))).union(spark.createDataFrame([(99, "new", "n")], pages.schema))
-    found = fixity.audit(whole, fixity.tree(fixity.digests(other)))
-    assert sorted((r.page_id, r.status) for r in found.collect()) == [(5, "corrupt"), (7, "missing"), (20, "missing"), (99, "extra")]
-    assert {r.status for r in fixity.report(whole, whole).collect()} == {"ok"}
-    fixity.write_warc(pages.where("page_id is not null"), str(tmp_path / "w"))
+def pages_of(n=700):
+    """Pages with repeated ids and rows, null and negative ids, null columns, and columns with the operator's own names."""
+    r = random.Random(6)
+    rows = [(i, f"u{i}", "ä" * r.randint(0, 60) + "x" * i) for i in range(n)] + [(5, "again", "y"), (5, "again", "y"), (-1, None, "minus"), (None, None, None), (None, "n", "m"), (None, None, None), (9, "long", "z" * 300_000)]
+    return [x + (1, "f", "h", 2) for x in rows]
+
+
+PAGES = "page_id long, url string, html string, offset int, file string, sha256 string, copies int"
+
+
+def test_fixity_of_a_table(spark, monkeypatch):
+    rows = pages_of()
+    pages = spark.createDataFrame(rows, PAGES).repartition(3)
+
+    def record(i, u, h):
+        h = (h or "").encode()
+        return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: {u or ''}\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nContent-Type: text/html\r\nContent-Length: {len(h)}\r\n\r\n".encode() + h + b"\r\n\r\n"
+
+    for file_bytes in (1 << 20, 20_000):
+        monkeypatch.setattr(fixity, "FILE_BYTES", file_bytes)
+        got = fixity.report(pages).collect()
+        found = {}
+        for i, u, h, *_ in rows:
+            w = record(i, u, h)
+            fate = hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:2]
+            h = h or ""
+            half = len(h) // 2
+            other = h[:half] if fate == "01" else h[:half] + "?" + h[half + 1 :] if fate == "02" else h
+            status = "missing" if fate == "00" else "corrupt" if record(i, u, other) != w else "ok"
+            key = (i, len(w), hashlib.sha256(w).hexdigest(), status)
+            found[key] = found.get(key, 0) + 1
+        same([(r.page_id, r.n_bytes // r.n_records, r.sha256, r.status, r.n_records) for r in got], [k + (c,) for k, c in found.items()])
+        assert {"missing", "corrupt", "ok"} == {r.status for r in got}
+        files = {}
+        for r in got:
+            files.setdefault(r.file, []).append((r.offset, r.n_bytes))
+        for places in files.values():  # the records of a file follow each other without a gap
+            at = 0
+            for o, n in sorted(places):
+                assert o == at
+                at += n
+
+
+def test_fixity_finds_every_fault(spark):
+    """Against a comparison record by record: changed, lost, added and swapped records, and a file that is not there."""
+    laid = fixity.archive(spark.createDataFrame(pages_of(), PAGES)).collect()
+    key = lambda r: (r.file, r.offset)
+    own = {key(r): (r.length, r.copies, r.sha256) for r in laid}
+    r = random.Random(8)
+    for faults in (0, 1, 25):
+        other = dict(own)
+        places = r.sample(sorted(own), 3 * faults)
+        for k in range(faults):
+            a, b, c = places[3 * k : 3 * k + 3]
+            if k % 3 == 0:
+                other[a] = (own[a][0], own[a][1], own[a][2][::-1])
+                del other[b]
+            elif k % 3 == 1:
+                other[a], other[b] = own[b], own[a]
+            else:
+                other[(a[0], a[1] + 7)] = (9, 1, "0" * 64)
+        if faults > 1:
+            other = {k: v for k, v in other.items() if k[0] != "1-0"}
+        frame = lambda d: spark.createDataFrame([k + v for k, v in d.items()] or [], "file string, offset long, length long, copies long, sha256 string")
+        found = fixity.compare(frame(own), frame(other)).collect()
+        want = [(*k, "missing" if k not in other else "extra" if k not in own else "corrupt") for k in {*own, *other} if own.get(k) != other.get(k)]
+        same([(x.file, x.offset, x.status) for x in found], want)
+    depth, digits = fixity.shape(frame(own))
+    assert fixity.tree(frame(own), depth, digits)[-1].collect() == fixity.tree(frame(own).repartition(7), depth, digits)[-1].collect()
+    assert len(fixity.audit(fixity.tree(frame({}), 2, 1), fixity.tree(frame(own), 2, 1), frame({}), frame(own)).collect()) == len(own)
+
+
+def test_fixity_of_archives(spark, tmp_path):
+    """Files of records, plain and compressed: a flipped byte and two records of the same length that changed places."""
+    import gzip
+
+    body = [b"WARC/1.1\r\nWARC-Target-URI: u\r\nContent-Length: 4\r\n\r\n%04d\r\n\r\n" % i for i in range(300)]
+    whole = [b"".join(body[i : i + 100]) for i in (0, 100, 200)]
+    swapped = list(body)
+    swapped[120], swapped[121] = swapped[121], swapped[120]
+    for side, parts in (("a", whole), ("b", [whole[0].replace(b"0042", b"0O42"), b"".join(swapped[100:200]), whole[2]])):
+        (tmp_path / side).mkdir()
+        for i, data in enumerate(parts):
+            (tmp_path / side / f"{i}.warc").write_bytes(data)
+        (tmp_path / side / "z.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in body))
+    a, b = (fixity.warc_records(spark, str(tmp_path / side)) for side in "ab")
+    assert a.count() == 600
+    size = len(body[0])
+    same([(r.file, r.offset, r.status) for r in fixity.compare(a, b).collect()], [("0.warc", 42 * size, "corrupt"), ("1.warc", 20 * size, "corrupt"), ("1.warc", 21 * size, "corrupt")])
+    fixity.write_warc(spark.createDataFrame([r for r in pages_of(40) if len(r[2] or "") < 1000], PAGES), str(tmp_path / "w"))
     back = fixity.read_warc(spark, str(tmp_path / "w/*/*.txt"))
-    assert sorted(bytes(r.payload) for r in back.collect()) == sorted([b"x" * i for i in range(40)] + [b"y"])
+    assert sorted(bytes(r.payload).decode() for r in back.collect()) == sorted(h or "" for _, _, h, *_ in pages_of(40) if len(h or "") < 1000)
 
 
 def test_gzip_records():
