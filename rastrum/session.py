@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a reliable checkpoint.
 
     The folder is the one the cluster names in spark.checkpoint.dir, which all executors share, so
-    what is written survives the loss of executors. Only where nothing is set (tests on one machine)
-    a temporary folder is taken.
+    what is written survives the loss of executors. Only a local master, where driver and executors are
+    one process, takes a temporary folder if nothing is set; a cluster without the setting is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rastrum-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="rastrum-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
