@@ -6,9 +6,10 @@ the fingerprint. Where a text has no anchors for RUN content words in a row, eac
 starts a chain of its own, so lists and tables have signatures too, and they depend on the words around
 only. A text without any content word has the hash of the whole text.
 
-Two fingerprints are compared by the Jaccard similarity of their sets, pruned by their sizes: sets whose
-smaller and larger sizes are too far apart for the threshold can't meet it and are not intersected. For
-finding pairs, sets are partitioned by size so that only neighbouring partitions are compared.
+Sets are partitioned by their size: partition p holds the sizes from least ** -p on. Two sets in partitions
+that are not neighbours, or in neighbouring ones with sizes too far apart, can't reach a similarity of least
+and are not intersected; all others are compared by the Jaccard similarity. near_duplicates finds pairs in
+the same way, within and between neighbouring partitions only.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from rastrum.session import checkpoint, partitions_of
 CHAIN = 3
 RUN = 8
 HEX = 12
+LEAST = 0.2  # likeness below this counts as none where sizes show it
 # The anchors, common words of English, German, French and Spanish.
 ANCHORS = tuple(
     (
@@ -60,11 +62,17 @@ def text_of(signatures: Column) -> Column:
     return F.lower(F.array_join(F.transform(signatures, lambda h: F.lpad(F.hex(h), HEX, "0")), ""))
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard similarity of two signature sets; 1 for two empty ones; 0 without intersecting where the sizes rule out least."""
+def size_partition(n: Column, least: float) -> Column:
+    """The partition of sets of n signatures: p holds the sizes from least ** -p on, so a partner at least alike is in the same or a neighbouring one; -1 for empty sets."""
+    return F.when(n > 0, F.floor(F.log(n.cast("double")) / F.lit(-math.log(least) * (1 + 1e-9))).cast("int")).otherwise(F.lit(-1))
+
+
+def likeness(a: Column, b: Column, least: float) -> Column:
+    """Jaccard similarity of two signature sets; 1 for two empty ones; 0 without intersecting where the partitions or the sizes rule out least."""
     m, n = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    apart = F.abs(size_partition(F.size(a), least) - size_partition(F.size(b), least)) > 1
     shared = F.size(F.array_intersect(a, b))
-    return F.when(n == 0, F.lit(1.0)).when((m == 0) | (m < (least - 1e-9) * n), F.lit(0.0)).otherwise(shared / (m + n - shared).cast("double"))
+    return F.when(n == 0, F.lit(1.0)).when((m == 0) | apart | (m < (least - 1e-9) * n), F.lit(0.0)).otherwise(shared / (m + n - shared).cast("double"))
 
 
 def in_ranges(df: DataFrame, id_col: str, text_col: str, ranges: int) -> tuple[DataFrame, WindowSpec]:
@@ -98,14 +106,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_signatures(df, "text", "sigs")
 
 
-def edit_robustness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edit_robustness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness to each other and to the next document's.
 
     The edited text keeps all but the last floor(n / 2) code points and goes on with as many of the next
     document by ascending id (all, if it has fewer); after the last comes the first. Null ids come first;
     rows with equal ids follow each other by text; a single row is followed by itself. A null text is
-    empty; two empty fingerprints are alike (1). An empty table gives an empty result; other columns are
-    ignored.
+    empty; two empty fingerprints are alike (1), and fingerprints whose sizes rule out a likeness of least are
+    not alike (0). size_partition is the partition of the fingerprint by its size. An empty table gives an
+    empty result; other columns are ignored.
     """
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sent, order = in_ranges(df, "doc_id", "text", 4 * partitions_of(docs.sparkSession))
@@ -121,9 +130,10 @@ def edit_robustness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         text_of(F.col("sigs")).alias("fingerprint"),
         text_of(F.col("edited_sigs")).alias("edited_fingerprint"),
-        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        likeness(F.col("sigs"), F.col("edited_sigs"), least).alias("near_edited"),
+        likeness(F.col("sigs"), F.col("next_sigs"), least).alias("near_next"),
         F.size("sigs").alias("n_signatures"),
+        size_partition(F.size("sigs"), least).alias("size_partition"),
     )
 
 
@@ -145,8 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = ranked.groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("shared"))
     keep = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("shared"))
     prefix = own.where(keep > 0).select("class_id", "n", F.posexplode(F.slice("shared", F.lit(1), keep.cast("int"))).alias("i", "x")).select("class_id", "n", "i", F.col("x.s").alias("s"))
-    part = F.floor(F.log("n") / F.lit(-math.log(least) * (1 + 1e-9))).cast("int")
-    left = prefix.withColumn("p", part)
+    left = prefix.withColumn("p", size_partition(F.col("n"), least))
     right = left.select(F.col("class_id").alias("b"), F.col("n").alias("m"), "s", F.explode(F.array(F.col("p"), F.col("p") + 1, F.col("p") - 1)).alias("p"))
     met = left.join(right, ["s", "p"]).where((F.col("class_id") < F.col("b")) & (F.least("n", "m") >= F.lit(least - 1e-9) * F.greatest("n", "m"))).select(F.col("class_id").alias("a"), "b").distinct()
     a, b = sets.select(F.col("class_id").alias("a"), F.col("sigs").alias("x")), sets.select(F.col("class_id").alias("b"), F.col("sigs").alias("y"))

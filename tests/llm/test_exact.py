@@ -248,7 +248,7 @@ def test_spotsigs_edits(spark):
     texts = dict(py(rows))
     ids = sorted(texts)
     cut = lambda f: set(re.findall("." * spotsigs.HEX, f))
-    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    alike = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b) if min(len(a), len(b)) >= spotsigs.LEAST * max(len(a), len(b)) else 0.0
     for i, nxt in zip(ids, ids[1:] + ids[:1], strict=True):
         t, k = texts[i], len(texts[i]) // 2
         edited = t[: len(t) - k] + texts[nxt][:k]
