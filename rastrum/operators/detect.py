@@ -3,14 +3,18 @@
 Greedy rules ("in rank order, whatever a kept item matches is dropped") are run in waves over the match
 graph: items without a higher-ranked undecided match are kept, what they match is dropped, and so on. An
 item's fate depends on its matches only, so this equals the sequential loop; a wave is a few joins, and no
-component, however large, is gathered in one task.
+component, however large, is gathered in one task. As soon as no more than ONE_TASK edges are left, one task
+of that bounded size runs the waves that remain.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rastrum.functions.scalar import class_threshold
+from rastrum.operators.graph import ONE_TASK
 from rastrum.operators.spatial import overlap_pairs, radius_pairs
 from rastrum.session import checkpoint
 
@@ -35,17 +39,44 @@ def score_rank(group: str, key: str) -> Column:
     return F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), F.asc(key)))
 
 
+def dropped_at_once(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The nodes that the greedy rule drops, of all edges in one place."""
+    nodes, at = np.unique(np.concatenate((hi, lo)), return_inverse=True)
+    hi, lo = at[: len(hi)], at[len(hi) :]
+    gone = np.zeros(len(nodes), bool)
+    while len(hi):
+        below = np.zeros(len(nodes), bool)
+        below[lo] = True
+        gone[lo[~below[hi]]] = True
+        open_ = ~gone[hi] & ~gone[lo]
+        hi, lo = hi[open_], lo[open_]
+    return nodes[gone]
+
+
+def _in_one_task(df: DataFrame, f, names: tuple[str, ...], out: str) -> DataFrame:
+    """f over the columns of all rows of a small df, in one task."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            found = f(*(np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in held]) for n in names))
+            yield pa.RecordBatch.from_arrays([pa.array(found)], [out])
+
+    return checkpoint(df.select(*names).coalesce(1).mapInArrow(run, f"{out} long"))
+
+
 def dropped(edges: DataFrame) -> DataFrame:
     """(node): the lower ends that the greedy rule drops, of edges (hi, lo) from the higher-ranked to the lower-ranked item."""
-    edges = checkpoint(edges.select("hi", "lo").distinct())
+    edges = checkpoint(edges.select(F.col("hi").cast("long"), F.col("lo").cast("long")).distinct())
     gone = None
-    while not edges.isEmpty():
+    while edges.count() > ONE_TASK:
         lows = edges.select(F.col("lo").alias("hi")).distinct()
         roots = edges.select("hi").distinct().join(lows, "hi", "left_anti")
         now = checkpoint(edges.join(roots, "hi", "left_semi").select("lo").distinct())
         gone = now if gone is None else gone.union(now)
         edges = checkpoint(edges.join(now, "lo", "left_anti").join(now.select(F.col("lo").alias("hi")), "hi", "left_anti"))
-    return gone.select(F.col("lo").alias("node")) if gone is not None else edges.select(F.col("lo").alias("node"))
+    last = _in_one_task(edges, dropped_at_once, ("hi", "lo"), "node")
+    return last if gone is None else gone.select(F.col("lo").alias("node")).union(last)
 
 
 def _ranked_edges(pairs: DataFrame, ranked: DataFrame, key: str, rank: list[str]) -> DataFrame:
@@ -82,7 +113,7 @@ def nmm_merge(owned: DataFrame, group: str = "grp", key: str = "id") -> DataFram
 
 
 def greedy_nmm(det: DataFrame, group: str = "grp", key: str = "id", metric: str = "ios", least: float = 0.5, cell: float = 64.0) -> DataFrame:
-    """Greedy non-maximum merging. No boxes give no boxes; keys must be unique."""
+    """Greedy non-maximum merging. No boxes give no boxes; keys must be unique whole numbers, boxes with a null coordinate match none and stay."""
     return nmm_merge(greedy_owners(det, group, key, metric, least, cell), group, key)
 
 
@@ -100,16 +131,30 @@ def greedy_match(pairs: DataFrame, a: str = "a", b: str = "b", rank: tuple[str,
     """Pairs that are taken when they are visited by rank and, with consume, each end is used once only.
 
     In each wave the pairs that come first at both of their ends are taken and all pairs at these ends go.
+    The last ONE_TASK pairs are visited one after another in one task. Pairs of equal rank are taken in any order.
     """
     if not consume:
         return pairs
     left = checkpoint(pairs.withColumn("_rank", F.struct(*rank)))
     taken = None
-    while not left.isEmpty():
+    while left.count() > ONE_TASK:
         ends = left.select(F.col(a).alias("end"), "_rank").union(left.select(F.col(b).alias("end"), "_rank")).groupBy("end").agg(F.min("_rank").alias("best"))
         of = lambda c: ends.select(F.col("end").alias(c), F.col("best").alias(f"best_{c}"))
         now = checkpoint(left.join(of(a), a).join(of(b), b).where((F.col("_rank") == F.col(f"best_{a}")) & (F.col("_rank") == F.col(f"best_{b}"))).select(*pairs.columns))
         taken = now if taken is None else taken.union(now)
         used = now.select(F.col(a).alias("end")).union(now.select(F.col(b).alias("end")))
         left = checkpoint(left.join(used, F.col(a) == F.col("end"), "left_anti").join(used, F.col(b) == F.col("end"), "left_anti"))
-    return taken if taken is not None else pairs
+
+    def visit(batches):
+        batches = [x for x in batches if x.num_rows]
+        if not batches:
+            return
+        held, used, best = pa.Table.from_batches(batches), set(), []
+        for i, (x, y) in enumerate(zip(held.column(a).to_pylist(), held.column(b).to_pylist(), strict=True)):
+            if x not in used and y not in used:
+                used |= {x, y}
+                best.append(i)
+        yield from held.take(pa.array(best, pa.int64())).to_batches()
+
+    last = checkpoint(left.coalesce(1).sortWithinPartitions("_rank").select(*pairs.columns).mapInArrow(visit, pairs.schema))
+    return last if taken is None else taken.union(last)

@@ -72,17 +72,8 @@ def sort_score(spark, d):
     return D.det(spark, d).select("grp", "id", O.score_rank("grp", "id").cast("long").alias("r"))
 
 
-@query(f"with {D.POINTS} select id, x, y, row_number() over (order by y desc, id) as r from points qualify r <= 200")
+@query(f"with {D.POINTS} select id, x, y, row_number() over (order by y desc, id) as r from points")
 def sort_y_desc(spark, d):
-    p = D.points(spark, d).orderBy(F.desc("y"), "id").limit(200)
-    from pyspark.sql import Window
-
-    return p.select("id", "x", "y", F.row_number().over(Window.orderBy(F.desc("y"), "id")).cast("long").alias("r"))
-
-
-@query()
-def sort_y_desc_all(spark, d):
-    """Every point. The SQL of sort_y_desc holds the first 200 only, so this has none."""
     return ranked(D.points(spark, d).select("id", "x", "y"), F.desc("y"), "id")
 
 
@@ -142,21 +133,14 @@ def _on(a, b, c):
     return f"({_turn(a, b, c)} = 0 and {c}x between least({a}x, {b}x) and greatest({a}x, {b}x) and {c}y between least({a}y, {b}y) and greatest({a}y, {b}y))"
 
 
-TOUCH = f"""{D.VERTICES}, {D.AOI}, pts as (select line_id * 10 + n as id, x, y from vertices where line_id % 16 = 0), {D.INSIDE},
-legs as (select line_id, x as px, y as py, x2 as qx, y2 as qy from vertices where x2 is not null and line_id % 16 = 0), sides as (select ax as rx, ay as ry, bx as sx, by_ as sy from edges),
+TOUCH = f"""{D.VERTICES}, {D.AOI}, pts as (select line_id * 10 + n as id, x, y from vertices), {D.INSIDE},
+legs as (select line_id, x as px, y as py, x2 as qx, y2 as qy from vertices where x2 is not null), sides as (select ax as rx, ay as ry, bx as sx, by_ as sy from edges),
 touch as (select distinct line_id from legs, sides where ({_turn('p', 'q', 'r')} * {_turn('p', 'q', 's')} < 0 and {_turn('r', 's', 'p')} * {_turn('r', 's', 'q')} < 0) or {_on('r', 's', 'p')} or {_on('r', 's', 'q')} or {_on('p', 'q', 'r')} or {_on('p', 'q', 's')}
   union select id // 10 from inside)"""
 
 
 @query(f"with {TOUCH} select line_id from touch")
 def aoi_intersects(spark, d):
-    """Lines of every sixteenth order."""
-    return P.lines_intersecting(D.lines(spark, d).where("line_id % 16 = 0"), D.aoi(spark, d)).select("line_id")
-
-
-@query()
-def aoi_intersects_all(spark, d):
-    """Every line. The SQL of aoi_intersects holds every sixteenth order only, so this has none."""
     return P.lines_intersecting(D.lines(spark, d), D.aoi(spark, d)).select("line_id")
 
 

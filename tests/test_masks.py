@@ -166,7 +166,7 @@ def test_vector_iou_takes_every_line(spark, tmp_path):
 
     a, b = buffered(0), buffered(1.0)
     assert a.sum() > 1000
-    assert catalog.QUERIES["vector_iou_all"](spark, str(tmp_path)).first().iou == round((a & b).sum() / (a | b).sum(), 4)
+    assert catalog.QUERIES["vector_iou"](spark, str(tmp_path)).first().iou == round((a & b).sum() / (a | b).sum(), 4)
 
 
 def test_buffer_cells_of_any_direction(spark):
@@ -208,10 +208,10 @@ def test_paths_of_the_whole_map(spark, tmp_path):
 
 def test_sorts_number_every_row(spark):
     points = sorted((r.asDict() for r in D.points(spark, "/root/testdata/sf0.01").select("id", "x", "y").collect()), key=lambda p: (-p["y"], p["id"]))
-    got = catalog.QUERIES["sort_y_desc_all"](spark, "/root/testdata/sf0.01").collect()
+    got = catalog.QUERIES["sort_y_desc"](spark, "/root/testdata/sf0.01").collect()
     assert len(points) > 200 and sorted((r.r, r.id, r.x, r.y) for r in got) == [(i, p["id"], p["x"], p["y"]) for i, p in enumerate(points, 1)]
     ends = sorted((r.row, r.col) for r in M.endpoints(D.mask(spark, "/root/testdata/sf0.001")).collect())
-    got = catalog.QUERIES["sort_rowmajor_all"](spark, "/root/testdata/sf0.001").collect()
+    got = catalog.QUERIES["sort_rowmajor"](spark, "/root/testdata/sf0.001").collect()
     assert len(ends) > 500 and sorted((r.r, r.row, r.col) for r in got) == [(i, *e) for i, e in enumerate(ends, 1)]
     empty = spark.createDataFrame([], "a int")
     assert ranked(empty, "a").count() == 0
