@@ -1,4 +1,8 @@
-"""Probability maps and masks in the cell view: one row for each pixel, or for each set pixel."""
+"""Probability maps and masks in the cell view: one row for each pixel, or for each set pixel.
+
+Cells are known by row and col, and by raster_id before these where a table has it: rasters in one table are
+never mixed. raster_id, row and col must not be null. Repeated cells count as often as they occur.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +11,32 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rastrum.operators.graph import connected_components
-from rastrum.operators.spatial import neighbours8
+from rastrum.operators.rank import ranked
+from rastrum.operators.spatial import neighbours8, raster_of
 
 ID_SHIFT = 31  # a cell's id is row << ID_SHIFT | col
 
 
+RASTER_SHIFT = 21  # with raster_id rows and columns are below 2 ** RASTER_SHIFT in a node's number
+
+
 def cell_id() -> Column:
     return F.shiftleft(F.col("row").cast("long"), ID_SHIFT) + F.col("col").cast("long")
 
 
+def place(df: DataFrame) -> list[str]:
+    """The columns that tell a cell."""
+    return [*raster_of(df), "row", "col"]
+
+
 def overlap_mean(predictions: DataFrame) -> DataFrame:
-    """Mean of the probabilities that overlapping tiles give a pixel, in doubles."""
-    return predictions.groupBy("row", "col").agg((F.sum("p") / F.greatest(F.count("p"), F.lit(1))).alias("p"))
+    """Mean of the probabilities that overlapping tiles of a raster give a pixel, in doubles."""
+    return predictions.groupBy(*place(predictions)).agg((F.sum("p") / F.greatest(F.count("p"), F.lit(1))).alias("p"))
 
 
 def threshold(prob: DataFrame, t: float) -> DataFrame:
     """The set pixels: p above t, not equal."""
-    return prob.where(F.col("p") > t).select("row", "col")
+    return prob.where(F.col("p") > t).select(*place(prob))
 
 
 def _frame(k: int) -> tuple[int, int]:
@@ -34,7 +47,7 @@ def _frame(k: int) -> tuple[int, int]:
 def _pass(grid: DataFrame, col: str, k: int, f) -> DataFrame:
     lo, hi = _frame(k)
     for part, order in (("row", "col"), ("col", "row")):
-        grid = grid.withColumn(col, f(col).over(Window.partitionBy(part).orderBy(order).rangeBetween(lo, hi)))
+        grid = grid.withColumn(col, f(col).over(Window.partitionBy(*raster_of(grid), part).orderBy(order).rangeBetween(lo, hi)))
     return grid
 
 
@@ -60,7 +73,8 @@ def closing(grid: DataFrame, iterations: int, col: str = "v") -> DataFrame:
 
 def _moved(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     moves = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in offsets])
-    return mask.select(F.explode(moves).alias("o"), "row", "col").select((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
+    of = raster_of(mask)
+    return mask.select(*of, F.explode(moves).alias("o"), "row", "col").select(*of, (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
 
 
 def diamond(n: int) -> list[tuple[int, int]]:
@@ -75,7 +89,7 @@ def closing_cross(mask: DataFrame, iterations: int, height: Column, width: Colum
     offsets = diamond(iterations)
     inside = F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)
     grown = _moved(mask, offsets).where(inside).distinct()
-    return _moved(grown, offsets).where(inside).groupBy("row", "col").count().where(F.col("count") == len(offsets)).select("row", "col")
+    return _moved(grown, offsets).where(inside).groupBy(*place(mask)).count().where(F.col("count") == len(offsets)).select(*place(mask))
 
 
 def dilate_sparse(mask: DataFrame, k: int) -> DataFrame:
@@ -84,44 +98,57 @@ def dilate_sparse(mask: DataFrame, k: int) -> DataFrame:
 
 
 def label(mask: DataFrame, connectivity: int = 8) -> DataFrame:
-    """(row, col, label): connected components over the whole mask; the label is the smallest cell id of the component."""
-    links = neighbours8(mask)
+    """(row, col, label): connected components over each whole mask; the label is the smallest cell id of the component.
+
+    With raster_id the label tells components of one raster apart.
+    """
+    of, at = raster_of(mask), place(mask)
+    if of:  # rasters are numbered, so that a node's number holds the raster, the row and the column
+        mask = mask.select(*at).join(ranked(mask.select(*of).distinct(), *of, name="_raster"), of)
+        node = lambda r, c: F.shiftleft("_raster", 2 * RASTER_SHIFT) + F.shiftleft(F.col(r).cast("long"), RASTER_SHIFT) + F.col(c).cast("long")
+        links = neighbours8(mask).join(mask.select(*of, "_raster").distinct(), of)
+    else:
+        node = lambda r, c: F.shiftleft(F.col(r).cast("long"), ID_SHIFT) + F.col(c).cast("long")
+        links = neighbours8(mask)
     if connectivity == 4:
         links = links.where((F.col("row") == F.col("n_row")) | (F.col("col") == F.col("n_col")))
-    ids = lambda r, c: F.shiftleft(F.col(r).cast("long"), ID_SHIFT) + F.col(c).cast("long")
-    roots = connected_components(links.select(ids("row", "col").alias("src"), ids("n_row", "n_col").alias("dst")).where("src < dst"))
-    cells = mask.select("row", "col", cell_id().alias("node"))
-    return cells.join(roots, "node", "left").select("row", "col", F.coalesce("component", "node").alias("label"))
+    roots = connected_components(links.select(node("row", "col").alias("src"), node("n_row", "n_col").alias("dst")).where("src < dst"))
+    cells = mask.select(*at, node("row", "col").alias("node")).join(roots, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    if of:
+        low = (1 << RASTER_SHIFT) - 1
+        cells = cells.withColumn("label", F.shiftleft(F.shiftright("label", RASTER_SHIFT).bitwiseAND(F.lit(low)), ID_SHIFT) + F.col("label").bitwiseAND(F.lit(low)))
+    return cells.select(*at, "label")
 
 
 def component_area(mask: DataFrame, min_size: int, connectivity: int = 8) -> DataFrame:
     """(row, col, label, area) of the components of min_size pixels or more; all of them if min_size is not above 0."""
-    labelled = label(mask, connectivity)
-    areas = labelled.groupBy("label").agg(F.count("*").alias("area"))
-    return labelled.join(areas if min_size <= 0 else areas.where(F.col("area") >= min_size), "label").select("row", "col", "label", "area")
+    labelled, key = label(mask, connectivity), [*raster_of(mask), "label"]
+    areas = labelled.groupBy(*key).agg(F.count("*").alias("area"))
+    return labelled.join(areas if min_size <= 0 else areas.where(F.col("area") >= min_size), key).select(*place(mask), "label", "area")
 
 
 def neighbour_count(mask: DataFrame) -> DataFrame:
     """(row, col, n): set neighbours of each set pixel."""
-    found = neighbours8(mask).groupBy("row", "col").agg(F.count("*").alias("n"))
-    return mask.join(found, ["row", "col"], "left").select("row", "col", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    at = place(mask)
+    found = neighbours8(mask).groupBy(*at).agg(F.count("*").alias("n"))
+    return mask.join(found, at, "left").select(*at, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def without_junctions(mask: DataFrame) -> DataFrame:
     """The mask without pixels of more than two neighbours, counted before any is cleared."""
-    return neighbour_count(mask).where("n <= 2").select("row", "col")
+    return neighbour_count(mask).where("n <= 2").select(*place(mask))
 
 
 def endpoints(mask: DataFrame) -> DataFrame:
     """Pixels with one neighbour or none once the junctions are cleared; lone pixels are among them."""
-    return neighbour_count(without_junctions(mask)).where("n <= 1").select("row", "col")
+    return neighbour_count(without_junctions(mask)).where("n <= 1").select(*place(mask))
 
 
 def endpoints_of_degree_one(mask: DataFrame, orthogonal_only: bool = False) -> DataFrame:
     """Pixels with exactly one neighbour, junctions left in. orthogonal_only misses those whose one link is diagonal."""
     links = neighbours8(mask)
-    ends = links.groupBy("row", "col").agg(F.count("*").alias("n"), F.max(F.abs(F.col("row") - F.col("n_row")) + F.abs(F.col("col") - F.col("n_col"))).alias("d")).where("n = 1")
-    return (ends.where("d = 1") if orthogonal_only else ends).select("row", "col")
+    ends = links.groupBy(*place(mask)).agg(F.count("*").alias("n"), F.max(F.abs(F.col("row") - F.col("n_row")) + F.abs(F.col("col") - F.col("n_col"))).alias("d")).where("n = 1")
+    return (ends.where("d = 1") if orthogonal_only else ends).select(*place(mask))
 
 
 def union(*masks: DataFrame) -> DataFrame:
@@ -129,7 +156,11 @@ def union(*masks: DataFrame) -> DataFrame:
 
 
 def crop_to_common(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both cut to the smaller height and the smaller width of the two. Sizes are one row each and broadcast."""
-    size = lambda d, s: d.agg(F.max("row").alias(f"r{s}"), F.max("col").alias(f"c{s}"))
-    common = size(a, 1).crossJoin(size(b, 2)).select(F.least("r1", "r2").alias("rmax"), F.least("c1", "c2").alias("cmax"))
-    return tuple(d.join(F.broadcast(common), (F.col("row") <= F.col("rmax")) & (F.col("col") <= F.col("cmax"))).drop("rmax", "cmax") for d in (a, b))
+    """Both cut to the smaller height and the smaller width of the two, raster by raster; there is one row of sizes for each."""
+    of = raster_of(a)
+    size = lambda d, s: d.groupBy(*of).agg(F.max("row").alias(f"r{s}"), F.max("col").alias(f"c{s}"))
+    both = size(a, 1).join(size(b, 2), of) if of else size(a, 1).crossJoin(size(b, 2))
+    common = both.select(*of, F.least("r1", "r2").alias("rmax"), F.least("c1", "c2").alias("cmax"))
+    inside = (F.col("row") <= F.col("rmax")) & (F.col("col") <= F.col("cmax"))
+    cut = lambda d: d.join(common, of).where(inside) if of else d.join(F.broadcast(common), inside)
+    return tuple(cut(d).drop("rmax", "cmax") for d in (a, b))

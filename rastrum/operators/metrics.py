@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from rastrum.operators.spatial import raster_of
+
 
 def mask_pairs(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """(row, col, p, t): both masks aligned by pixel, 0 where one has none."""
-    a, b = pred.select("row", "col", F.lit(1).alias("p")), truth.select("row", "col", F.lit(1).alias("t"))
-    return a.join(b, ["row", "col"], "full").select("row", "col", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("t", F.lit(0)).alias("t"))
+    at = [*raster_of(pred), "row", "col"]
+    a, b = pred.select(*at, F.lit(1).alias("p")), truth.select(*at, F.lit(1).alias("t"))
+    return a.join(b, at, "full").select(*at, F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("t", F.lit(0)).alias("t"))
 
 
 def iou_of_pairs(pairs: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Line networks from masks: thinning, tracing, gap repair. Kernels see one block, branch or pair at a time."""
+"""Line networks from masks: thinning, tracing, gap repair. Kernels see one block, branch or pair at a time.
+
+Tables with raster_id hold several rasters, which are never mixed; raster_id leads the columns of the results.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from rastrum.functions.scalar import COST_SCALE
-from rastrum.operators.mask import endpoints, label, without_junctions
-from rastrum.operators.spatial import neighbours8, radius_pairs
+from rastrum.operators.mask import endpoints, label, place, without_junctions
+from rastrum.operators.spatial import neighbours8, radius_pairs, raster_of
 from rastrum.operators.tiling import halo_copies
 from rastrum.session import checkpoint
 
@@ -21,15 +24,21 @@ STEPS = tuple((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c)
 def in_blocks(cells: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], block: int, halo: int) -> DataFrame:
     """Apply a kernel from a mask array to a mask array in blocks with a halo; only the core of a block is kept."""
 
+    of = raster_of(cells)
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        top, left = int(key[0]) * block - halo, int(key[1]) * block - halo
+        top, left = int(key[-2]) * block - halo, int(key[-1]) * block - halo
         m = np.zeros((block + 2 * halo, block + 2 * halo), np.uint8)
         m[pdf["row"].to_numpy() - top, pdf["col"].to_numpy() - left] = 1
         r, c = np.nonzero(kernel(m)[halo : halo + block, halo : halo + block])
-        return pd.DataFrame({"row": r + top + halo, "col": c + left + halo})
+        return pd.DataFrame({o: key[0] for o in of} | {"row": r + top + halo, "col": c + left + halo}, columns=[*of, "row", "col"])
+
+    copies = halo_copies(cells.select(*of, "row", "col"), block, halo).select(*of, "row", "col", "block_row", "block_col")
+    return copies.groupBy(*of, "block_row", "block_col").applyInPandas(run, _with_raster(cells, "row int, col int"))
 
-    copies = halo_copies(cells.select("row", "col"), block, halo).select("row", "col", "block_row", "block_col")
-    return copies.groupBy("block_row", "block_col").applyInPandas(run, "row int, col int")
+
+def _with_raster(df: DataFrame, schema: str) -> str:
+    return "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in raster_of(df)) + schema
 
 
 def thin(m: np.ndarray) -> np.ndarray:
@@ -68,8 +77,8 @@ def walk(cells: set[tuple[int, int]], start: tuple[int, int], seen: set) -> list
 LINES = "label long, line int, pts array<struct<row:int,col:int>>"
 
 
-def _as_lines(label_: int, paths: list[list[tuple[int, int]]]) -> pd.DataFrame:
-    return pd.DataFrame({"label": [label_] * len(paths), "line": range(len(paths)), "pts": pd.Series([[{"row": r, "col": c} for r, c in p] for p in paths], dtype=object)})
+def _as_lines(key: tuple, of: list[str], paths: list[list[tuple[int, int]]]) -> pd.DataFrame:
+    return pd.DataFrame({o: [key[0]] * len(paths) for o in of} | {"label": [key[-1]] * len(paths), "line": range(len(paths)), "pts": pd.Series([[{"row": r, "col": c} for r, c in p] for p in paths], dtype=object)})
 
 
 def trace_paths(skeleton: DataFrame, min_pixels: int = 6) -> DataFrame:
@@ -80,16 +89,17 @@ def trace_paths(skeleton: DataFrame, min_pixels: int = 6) -> DataFrame:
     """
     simple = without_junctions(skeleton)
     ends = endpoints(skeleton).withColumn("is_end", F.lit(True))
-    cells = label(simple).join(ends, ["row", "col"], "left")
+    of = raster_of(skeleton)
+    cells = label(simple).join(ends, place(skeleton), "left")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         held = set(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))
         seen: set = set()
         starts = sorted(zip(*(pdf.loc[pdf["is_end"] == True, c].tolist() for c in ("row", "col")), strict=True))  # noqa: E712
         paths = [walk(held, s, seen) for s in starts if s not in seen]
-        return _as_lines(key[0], [p for p in paths if len(p) >= min_pixels])
+        return _as_lines(key, of, [p for p in paths if len(p) >= min_pixels])
 
-    return cells.groupBy("label").applyInPandas(run, LINES)
+    return cells.groupBy(*of, "label").applyInPandas(run, _with_raster(skeleton, LINES))
 
 
 def branches(skeleton: DataFrame) -> DataFrame:
@@ -97,10 +107,10 @@ def branches(skeleton: DataFrame) -> DataFrame:
 
     A branch takes the junction pixel next to each of its ends along, so branches meet there.
     """
-    simple = without_junctions(skeleton)
-    junctions = skeleton.join(simple, ["row", "col"], "left_anti").select(F.col("row").alias("n_row"), F.col("col").alias("n_col"))
-    near = neighbours8(skeleton).join(junctions, ["n_row", "n_col"]).groupBy("row", "col").agg(F.array_sort(F.collect_set(F.struct(F.col("n_row").alias("row"), F.col("n_col").alias("col")))).alias("near"))
-    cells = label(simple).join(near, ["row", "col"], "left")
+    simple, of, at = without_junctions(skeleton), raster_of(skeleton), place(skeleton)
+    junctions = skeleton.join(simple, at, "left_anti").select(*of, F.col("row").alias("n_row"), F.col("col").alias("n_col"))
+    near = neighbours8(skeleton).join(junctions, [*of, "n_row", "n_col"]).groupBy(*at).agg(F.array_sort(F.collect_set(F.struct(F.col("n_row").alias("row"), F.col("n_col").alias("col")))).alias("near"))
+    cells = label(simple).join(near, at, "left")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         at = list(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))
@@ -120,14 +130,14 @@ def branches(skeleton: DataFrame) -> DataFrame:
                 tail = [q for q in beside[p[-1]] if len(p) > 1 or q not in head][:1]
                 p = head + p + tail
             paths.append(p)
-        return _as_lines(key[0], [p for p in paths if len(p) >= 2])
+        return _as_lines(key, of, [p for p in paths if len(p) >= 2])
 
-    return cells.groupBy("label").applyInPandas(run, LINES)
+    return cells.groupBy(*of, "label").applyInPandas(run, _with_raster(skeleton, LINES))
 
 
 def gap_pairs(ends: DataFrame, max_gap: float) -> DataFrame:
-    """(a, b, distance) of endpoints (id, row, col) at most max_gap apart."""
-    points = ends.select(F.lit(0).alias("g"), "id", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    """(a, b, distance) of endpoints (id, row, col) of one raster at most max_gap apart; ids are unique over all rasters."""
+    points = ends.select((F.col("raster_id") if raster_of(ends) else F.lit(0)).alias("g"), "id", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
     return radius_pairs(points, "g", "id", max_gap).select("a", "b", "distance")
 
 
@@ -168,7 +178,8 @@ def least_cost_paths(pairs: DataFrame, ends: DataFrame, cost: DataFrame, padding
     that have no cost are barriers. A pair belongs to the tile of its box's first corner, which also gets the
     costs of as many tiles below and to the right as the largest box reaches, so a task holds a bounded map.
     """
-    of = lambda s: ends.select(F.col("id").alias(s), F.col("row").alias(f"row_{s}"), F.col("col").alias(f"col_{s}"))
+    rasters = raster_of(ends)
+    of = lambda s: ends.select(*(rasters if s == "a" else []), F.col("id").alias(s), F.col("row").alias(f"row_{s}"), F.col("col").alias(f"col_{s}"))
     low = lambda v: F.greatest(F.least(f"{v}_a", f"{v}_b") - padding, F.lit(0))
     high = lambda v: F.greatest(F.greatest(f"{v}_a", f"{v}_b") + padding - 1, F.lit(0))
     home = lambda v: F.floor(F.col(v) / tile).cast("int")
@@ -176,11 +187,12 @@ def least_cost_paths(pairs: DataFrame, ends: DataFrame, cost: DataFrame, padding
     boxes = boxes.withColumns({"tile_row": home("top"), "tile_col": home("left")})
     reach = boxes.agg(*[F.max(F.floor(F.col(end) / tile) - home(begin)).cast("int") for begin, end in (("top", "bottom"), ("left", "right"))]).first()
     tiles = lambda v, n: F.explode(F.sequence(home(v) - (n or 0), home(v)))
-    wanted = boxes.select("tile_row", "tile_col").distinct()
-    costs = cost.select("row", "col", "cost").withColumn("tile_row", tiles("row", reach[0])).withColumn("tile_col", tiles("col", reach[1])).join(wanted, ["tile_row", "tile_col"], "left_semi")
+    tile_key = [*rasters, "tile_row", "tile_col"]
+    wanted = boxes.select(*tile_key).distinct()
+    costs = cost.select(*rasters, "row", "col", "cost").withColumn("tile_row", tiles("row", reach[0])).withColumn("tile_col", tiles("col", reach[1])).join(wanted, tile_key, "left_semi")
 
     def run(key, held: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        origin = int(key[0]) * tile, int(key[1]) * tile
+        origin = int(key[-2]) * tile, int(key[-1]) * tile
         if not len(held) or not len(cells):
             return pd.DataFrame({c.split()[0]: [] for c in ("a", "b", "distance", "pts", "pixels", "mean_cost")})
         grid = np.full((int(max(cells["row"].max(), held["bottom"].max())) - origin[0] + 1, int(max(cells["col"].max(), held["right"].max())) - origin[1] + 1), np.inf)
@@ -205,7 +217,7 @@ def least_cost_paths(pairs: DataFrame, ends: DataFrame, cost: DataFrame, padding
             out.append((one.a, one.b, one.distance, [{"row": r + top, "col": c + left} for r, c in path], len(path), total / len(path) if path else None))
         return pd.DataFrame(out, columns=["a", "b", "distance", "pts", "pixels", "mean_cost"])
 
-    return boxes.groupBy("tile_row", "tile_col").cogroup(costs.groupBy("tile_row", "tile_col")).applyInPandas(run, PATHS)
+    return boxes.groupBy(*tile_key).cogroup(costs.groupBy(*tile_key)).applyInPandas(run, PATHS)
 
 
 def accept_paths(paths: DataFrame, max_gap: float, max_avg_cost: float) -> DataFrame:

@@ -45,14 +45,20 @@ def radius_pairs(points: DataFrame, group: str, key: str, radius: float, strict:
     return a.join(b, same & (F.col(f"a.{key}") < F.col(f"b.{key}")) & near).select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), d.alias("distance"))
 
 
+def raster_of(df: DataFrame) -> list[str]:
+    """The key of the raster in front of row and col: raster_id where df has it, else nothing (one raster). It is never null."""
+    return ["raster_id"] if "raster_id" in df.columns else []
+
+
 def neighbours8(cells: DataFrame) -> DataFrame:
-    """(row, col, n_row, n_col) of each set cell and each set one of its eight neighbours.
+    """(row, col, n_row, n_col) of each set cell and each set one of its eight neighbours; with raster_id, of the same raster.
 
     A cell is sent to its eight neighbours' places by an array of offsets and joined with the set cells there.
     """
+    of = raster_of(cells)
     offsets = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c])
-    sent = cells.select("row", "col", F.explode(offsets).alias("o")).select("row", "col", (F.col("row") + F.col("o.dr")).alias("n_row"), (F.col("col") + F.col("o.dc")).alias("n_col"))
-    return sent.join(cells.select(F.col("row").alias("n_row"), F.col("col").alias("n_col")), ["n_row", "n_col"]).select("row", "col", "n_row", "n_col")
+    sent = cells.select(*of, "row", "col", F.explode(offsets).alias("o")).select(*of, "row", "col", (F.col("row") + F.col("o.dr")).alias("n_row"), (F.col("col") + F.col("o.dc")).alias("n_col"))
+    return sent.join(cells.select(*of, F.col("row").alias("n_row"), F.col("col").alias("n_col")), [*of, "n_row", "n_col"]).select(*of, "row", "col", "n_row", "n_col")
 
 
 def dissolve(aoi: DataFrame) -> Column | None:

@@ -123,6 +123,41 @@ def remove_small_objects(spark, d):
     return M.component_area(D.mask(spark, d), 3, connectivity=4).select("row", "col")
 
 
+#: The map as three rasters that use the same rows and columns.
+SEVERAL = f"{D.PROB}, several as (select 'r' || row % 3 as raster_id, (row // 3)::int as row, col, p from prob)"
+
+
+def _several(spark, d):
+    return D.prob(spark, d).select(F.concat(F.lit("r"), (F.col("row") % 3).cast("string")).alias("raster_id"), F.floor(F.col("row") / 3).cast("int").alias("row"), "col", "p")
+
+
+@query(f"with {SEVERAL} select raster_id, row, col, round(avg(v), 6) as p from (select raster_id, row, col, p as v from several union all select raster_id, row, col, 1 - p from several where col >= 32) group by raster_id, row, col")
+def overlap_mean_of_rasters(spark, d):
+    p = _several(spark, d)
+    return M.overlap_mean(p.unionByName(p.where("col >= 32").withColumn("p", 1 - F.col("p")))).withColumn("p", F.round("p", 6))
+
+
+def _raster_pass(src: str, dst: str, f: str) -> str:
+    return f"""{dst}_rows as (select raster_id, row, col, {f}(v) over (partition by raster_id, row order by col range between 1 preceding and 1 following) as v from {src}),
+{dst} as (select raster_id, row, col, {f}(v) over (partition by raster_id, col order by row range between 1 preceding and 1 following) as v from {dst}_rows)"""
+
+
+@query(f"with {SEVERAL}, g as (select raster_id, row, col, (p > 0.5)::int as v from several), {_raster_pass('g', 'e', 'min')}, {_raster_pass('e', 'o', 'max')} select * from o")
+def morph_open_of_rasters(spark, d):
+    return M.opening(_several(spark, d).select("raster_id", "row", "col", (F.col("p") > 0.5).cast("int").alias("v")), 3)
+
+
+RASTER_COMPONENTS = f"""recursive {SEVERAL}, nodes as (select raster_id, row, col, row::bigint * 2147483648 + col as cell, row_number() over (order by raster_id, row, col) as id from several where p > 0.7),
+links as (select a.id as a, b.id as b from nodes a, {N8} join nodes b on b.raster_id = a.raster_id and b.row = a.row + dr and b.col = a.col + dc),
+comp(id, label) using key (id) as (select id, id from nodes union
+  select l.b, min(c.label) from comp c join links l on l.a = c.id join recurring.comp k on k.id = l.b where c.label < k.label group by l.b)"""
+
+
+@query(f"with {RASTER_COMPONENTS} select n.raster_id, n.row, n.col, k.cell as label, count(*) over (partition by label) as area from comp join nodes n using (id) join nodes k on k.id = label qualify area >= 4")
+def component_area_of_rasters(spark, d):
+    return M.component_area(_several(spark, d).where("p > 0.7").drop("p"), 4)
+
+
 TWO = f"{D.PROB}, {D.mask_sql(0.5, 'a')}, {D.mask_sql(0.6, 'b0')}, b as (select row, (col + 1) % 64 as col from b0)"
 
 
