@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from rastrum.functions.geometry import line_length, to_world_center
 from rastrum.functions.scalar import COST_SCALE
-from rastrum.operators.mask import endpoints, label, place, without_junctions
-from rastrum.operators.spatial import neighbours8, radius_pairs, raster_of
+from rastrum.operators.mask import closing, component_area, endpoints, label, opening, overlap_mean, place, without_junctions
+from rastrum.operators.spatial import lines_intersecting, neighbours8, radius_pairs, raster_of
 from rastrum.operators.tiling import halo_copies
 from rastrum.session import checkpoint
 
@@ -223,3 +224,25 @@ def least_cost_paths(pairs: DataFrame, ends: DataFrame, cost: DataFrame, padding
 def accept_paths(paths: DataFrame, max_gap: float, max_avg_cost: float) -> DataFrame:
     """Paths of some but less than 1.5 * max_gap pixels whose plain mean cost is below max_avg_cost of the scale."""
     return paths.where((F.col("pixels") > 0) & (F.col("pixels") < 1.5 * max_gap) & (F.col("mean_cost") < max_avg_cost * COST_SCALE))
+
+
+def road_mask(predictions: DataFrame, threshold: float, open_size: int, close_iterations: int, min_size: int) -> DataFrame:
+    """The set pixels of the road mask from the probabilities that overlapping tiles give each pixel of the rasters (dense): mean, threshold, opening, closing, then components of min_size pixels or more."""
+    mean = overlap_mean(predictions)
+    grid = checkpoint(mean.select(*place(mean), (F.col("p") > threshold).cast("int").alias("v")))
+    cleaned = checkpoint(closing(opening(grid, open_size), close_iterations).where("v = 1").drop("v"))
+    return component_area(cleaned, min_size).drop("label", "area") if min_size > 0 else cleaned
+
+
+def road_lines(
+    predictions: DataFrame, affine: Column, threshold: float, open_size: int = 3, close_iterations: int = 50, min_size: int = 0, min_length: float = 15.0, aoi: DataFrame | None = None, block: int = 4096, halo: int = 100
+) -> DataFrame:
+    """The road job after its model: (label, line, pts, length) of the centre lines in world coordinates.
+
+    The cleaned mask is thinned and traced; lines of more than five pixels, longer than min_length and, with
+    areas of interest, that intersect them stay. An AOI without rings keeps none. No predictions give no lines.
+    """
+    skeleton = checkpoint(skeletonize(road_mask(predictions, threshold, open_size, close_iterations, min_size), block, halo))
+    lines = trace_paths(skeleton).withColumn("pts", F.transform("pts", lambda p: to_world_center(affine, p["col"], p["row"])))
+    lines = lines.withColumn("length", line_length(F.col("pts"))).where(F.col("length") > min_length)
+    return lines if aoi is None else lines_intersecting(lines, aoi)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rastrum.operators import mask as M, metrics as X, roads as R
 from rastrum.operators.rank import ranked
-from rastrum.plans import catalog, derived as D
+from rastrum.plans import catalog, derived as D, networks
 
 
 def cells(spark, a):
@@ -215,3 +215,70 @@ def test_sorts_number_every_row(spark):
     assert len(ends) > 500 and sorted((r.r, r.row, r.col) for r in got) == [(i, *e) for i, e in enumerate(ends, 1)]
     empty = spark.createDataFrame([], "a int")
     assert ranked(empty, "a").count() == 0
+
+
+def test_road_pipeline_against_arrays(spark):
+    """The whole road job against plain loops over one array: mean, threshold, opening, closing, components, thinning, tracing, lengths, area."""
+    d = "/root/testdata/sf0.001"
+    cells_ = networks.dense_bars(spark, d).toPandas()
+    mean = cells_.groupby(["row", "col"])["p"].mean().reset_index()
+    m = np.zeros((mean["row"].max() + 1, mean["col"].max() + 1), int)
+    m[mean["row"], mean["col"]] = mean["p"] > 0.6919
+
+    def square(a, k, f, beyond):
+        lo, hi = k // 2, k - 1 - k // 2
+        w = np.pad(a, ((lo, hi), (lo, hi)), constant_values=beyond)
+        return f.reduce([w[i : i + a.shape[0], j : j + a.shape[1]] for i in range(k) for j in range(k)])
+
+    m = square(square(m, 3, np.minimum, 1), 3, np.maximum, 0)
+    m = square(square(m, 5, np.maximum, 0), 5, np.minimum, 1)
+    seen = np.zeros(m.shape, bool)
+    for start in zip(*np.nonzero(m), strict=True):
+        part, todo = [], [start] * (not seen[start])
+        seen[start] = True
+        while todo:
+            r, c = todo.pop()
+            part.append((r, c))
+            for q in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if 0 <= q[0] < m.shape[0] and 0 <= q[1] < m.shape[1] and m[q] and not seen[q]:
+                    seen[q] = True
+                    todo.append(q)
+        if part and len(part) < 35:
+            m[tuple(zip(*part, strict=True))] = 0
+    assert sorted((r.row, r.col) for r in R.road_mask(networks.dense_bars(spark, d), 0.6919, 3, 2, 35).collect()) == sorted(zip(*(v.tolist() for v in np.nonzero(m)), strict=True))
+    thin = R.thin(m)
+
+    def around(a):
+        w = np.pad(a, 1)
+        return sum(w[1 + i : 1 + i + a.shape[0], 1 + j : 1 + j + a.shape[1]] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
+
+    simple = thin * (around(thin) <= 2)
+    visited, lengths = set(), []
+    for start in zip(*(v.tolist() for v in np.nonzero((simple == 1) & (around(simple) <= 1))), strict=True):
+        path, here = [], start
+        while here is not None and here not in visited:
+            visited.add(here)
+            path.append(here)
+            here = next((q for q in ((here[0] + i, here[1] + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j) if 0 <= q[0] < m.shape[0] and 0 <= q[1] < m.shape[1] and simple[q] and q not in visited), None)
+        length = sum(0.05 * np.hypot(a[0] - b[0], a[1] - b[1]) for a, b in zip(path, path[1:], strict=False))
+        if len(path) > 5 and length > 0.5 and any((c + 0.5) * 0.05 < 10 and (r + 0.5) * 0.05 < 10 for r, c in path):
+            lengths.append(round(length, 6))
+    got = [r.length for r in catalog.QUERIES["road_pipeline"](spark, d).collect()]
+    assert np.allclose(sorted(got), sorted(lengths), atol=1e-5) and len(got) > 20
+
+
+def test_networks_of_two_rasters(spark):
+    """Two rasters that use the same cells give what each gives alone."""
+    a, b = np.zeros((40, 60), int), np.zeros((40, 60), int)
+    a[10:13, 5:50] = 1
+    b[5:35, 20:23] = 1
+    b[20:23, 5:50] = 1
+    of = lambda n, m: cells(spark, m).withColumn("raster_id", F.lit(n))
+    both = of("a", a).unionByName(of("b", b))
+    thin = R.skeletonize(both, 32, 8)
+    for name, m in (("a", a), ("b", b)):
+        alone = R.skeletonize(cells(spark, m), 32, 8)
+        assert sorted((r.row, r.col) for r in thin.where(F.col("raster_id") == name).collect()) == sorted((r.row, r.col) for r in alone.collect())
+        for f in (R.trace_paths, R.branches):
+            got = [[tuple(p) for p in r.pts] for r in f(thin).where(F.col("raster_id") == name).collect()]
+            assert sorted(got) == sorted([tuple(p) for p in r.pts] for r in f(alone).collect())
