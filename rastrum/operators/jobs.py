@@ -80,11 +80,34 @@ def now_utc() -> str:
     return datetime.now(UTC).isoformat()
 
 
+class JobCanceled(Exception):
+    """A job was canceled between two of its steps."""
+
+
+class UnavailableError(Exception):
+    """No place to run a job is ready."""
+
+
+class JobContext:
+    """What a job says while it runs. canceled is asked at each check, messages are (kind, value)."""
+
+    def __init__(self, canceled: Callable[[], bool] = lambda: False):
+        self.canceled = canceled
+        self.messages: list[tuple[str, str]] = []
+
+    def say(self, kind: str, value) -> None:
+        self.messages.append((kind, str(value)))
+
+    def check(self) -> None:
+        if self.canceled():
+            raise JobCanceled()
+
+
 _pipelines: dict[str, Callable] = {}
 
 
 def pipeline(*names: str):
-    """Register a function (spark, params) under job names."""
+    """Register a function (spark, params) or (spark, params, context) under job names."""
 
     def add(f):
         for n in names:
@@ -94,11 +117,22 @@ def pipeline(*names: str):
     return add
 
 
-def dispatch(name: str, spark: SparkSession, params: dict):
-    """Run a job by name; an unknown one is a ValueError."""
+def dispatch(name: str, spark: SparkSession, params: dict, context: JobContext | None = None):
+    """Run a job by name, with a context where one is given; an unknown job is a ValueError."""
     if name not in _pipelines:
         raise ValueError(f"unknown job: {name}")
-    return _pipelines[name](spark, params)
+    return _pipelines[name](spark, params, *([] if context is None else [context]))
+
+
+def outcome(name: str, spark: SparkSession, params: dict, context: JobContext) -> str:
+    """How a job ends: result, canceled, or the error's kind."""
+    try:
+        dispatch(name, spark, params, context)
+    except JobCanceled:
+        return "canceled"
+    except Exception as e:  # noqa: BLE001
+        return type(e).__name__
+    return "result"
 
 
 def cancel(spark: SparkSession, job_id: str) -> None:
@@ -119,38 +153,92 @@ def environment(modules: tuple[str, ...]) -> dict[str, str]:
     return found
 
 
-def ensure_file(path: str, fetch: Callable[[str], None], sha256: str | None, tries: int = 3, wait: float = 2.0) -> str:
-    """path, fetched if it is not there yet or not whole: into a .part file that is renamed only when its hash is right.
+def backend_of(asked: str, container: bool, environment_: bool, host: bool) -> str:
+    """Where a job runs, of what is ready: "auto" takes a container, else an environment of its own, else the host.
 
-    A file without a listed hash must not be empty. After tries failures the last error is raised and no
-    file is left behind.
+    A container that is asked for by name must be ready; the others are set up when they are first used.
+    Nothing ready is an UnavailableError, an unknown choice a ValueError.
     """
+    if asked not in ("auto", "docker", "venv", "local"):
+        raise ValueError(f"unknown backend: {asked}")
+    ready = {"docker": container, "venv": environment_, "local": host}
+    if asked in ("venv", "local") or (asked == "docker" and container):
+        return asked
+    found = next((name for name, ok in ready.items() if ok), None) if asked == "auto" else None
+    if found is None:
+        raise UnavailableError(asked)
+    return found
 
-    def whole(p: str) -> bool:
-        if not os.path.isfile(p) or not os.path.getsize(p):
-            return False
-        if sha256 is None:
-            return True
+
+def image_source(has_current: bool, has_older: bool, pulls_current: bool, pulls_older: bool, builds: bool) -> str:
+    """Which image a container job uses: one that is there before one that can be pulled before one that can be built."""
+    rules = ((has_current, "current"), (has_older, "older"), (pulls_current, "current, pulled"), (pulls_older, "older, pulled"), (builds, "current, built"))
+    for ok, name in rules:
+        if ok:
+            return name
+    raise UnavailableError("no image")
+
+
+class LocalFiles:
+    """The files of the driver's machine, as ensure_file uses them."""
+
+    def digest(self, path: str) -> str | None:
+        """The SHA-256 of a file, None if it is not there or empty."""
+        if not os.path.isfile(path) or not os.path.getsize(path):
+            return None
         digest = hashlib.sha256()
-        with open(p, "rb") as f:
+        with open(path, "rb") as f:
             while block := f.read(1 << 20):
                 digest.update(block)
-        return digest.hexdigest() == sha256.lower()
+        return digest.hexdigest()
+
+    def move(self, path: str, to: str) -> None:
+        os.replace(path, to)
+
+    def remove(self, path: str) -> None:
+        if os.path.exists(path):
+            os.remove(path)
+
+
+class MemoryFiles(dict):
+    """The same over a dict from paths to bytes, for stores that are not folders and for tests."""
+
+    def digest(self, path: str) -> str | None:
+        return hashlib.sha256(self[path]).hexdigest() if self.get(path) else None
+
+    def move(self, path: str, to: str) -> None:
+        self[to] = self.pop(path)
+
+    def remove(self, path: str) -> None:
+        self.pop(path, None)
+
+
+def ensure_file(path: str, fetch: Callable[[str], None], sha256: str | None, tries: int = 3, wait: float = 2.0, files=None) -> str:
+    """path, fetched if it is not there yet or not whole: into a .part file that is renamed only when its hash is right.
+
+    A file without a listed hash must not be empty. After tries failures the last error is raised and no
+    part is left behind.
+    """
+    files, part = LocalFiles() if files is None else files, path + ".part"
+
+    def whole(p: str) -> bool:
+        found = files.digest(p)
+        return found is not None and sha256 in (None, found)
 
+    sha256 = sha256.lower() if sha256 else None
     if whole(path):
         return path
-    part = path + ".part"
+    failed = OSError(path)
     for attempt in range(1, tries + 1):
         try:
             fetch(part)
-            if not whole(part):
-                raise OSError(f"{os.path.basename(path)} is not whole")
-            os.replace(part, path)
-            return path
-        except OSError:
-            if os.path.exists(part):
-                os.remove(part)
-            if attempt == tries:
-                raise
+            if whole(part):
+                files.move(part, path)
+                return path
+            failed = OSError(f"{os.path.basename(path)} is not whole")
+        except OSError as e:
+            failed = e
+        files.remove(part)
+        if attempt < tries:
             time.sleep(wait * attempt)
-    raise OSError(path)
+    raise failed

@@ -61,8 +61,8 @@ def batches(tiles: DataFrame, size: int, group: str, order: list[str]) -> DataFr
 
 
 def shuffled_limit(tiles: DataFrame, accept: Column, n: int, seed: int, key: str) -> DataFrame:
-    """n tiles in a seeded order among those that are accepted; a top-k, so only n rows of each task are kept."""
-    return tiles.where(accept).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n tiles in a seeded order, that of a hash of seed and key, among those that are accepted; a top-k, so only n rows of each task are kept."""
+    return tiles.where(accept).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary")), key).limit(n)
 
 
 def halo_copies(cells: DataFrame, block: int, halo: int) -> DataFrame:

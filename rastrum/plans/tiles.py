@@ -48,7 +48,7 @@ def tile_batch(spark, d):
     return T.batches(T.disjoint(D.rasters(spark, d), 600, 600), 4, "raster_id", ["y_off", "x_off"]).select("raster_id", "x_off", "y_off", "batch")
 
 
-@query()
+@query(f"with {D.RASTERS}, {_grid(400, 300)} select raster_id, x_off, y_off from (select *, concat_ws('/', raster_id, y_off, x_off) as key from t) where width - x_off >= 400 order by md5('5:' || key), key limit 300")
 def tile_shuffle_limit(spark, d):
     tiles = T.disjoint(D.rasters(spark, d), 400, 300).withColumn("key", F.concat_ws("/", "raster_id", "y_off", "x_off"))
     return T.shuffled_limit(tiles, F.col("w") == 400, 300, 5, "key").select("raster_id", "x_off", "y_off")
@@ -221,7 +221,13 @@ def crs_web_mercator(spark, d):
     return c.select("c_custkey", F.round(m["x"], 3).alias("x"), F.round(m["y"], 3).alias("y"), F.round(back["lon"], 6).alias("lon"), F.round(back["lat"], 6).alias("lat"))
 
 
-@query()
+@query(f"""with c as (select c_custkey, radians((c_custkey % 800) / 10.0) as phi, radians(102.0 + c_custkey % 60 / 10.0 - 105) as lam from customer),
+k as (select n, 6378137.0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) as radius, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 as a1, 13 * n * n / 48 - 3 * n * n * n / 5 as a2, 61 * n * n * n / 240 as a3, 2 * sqrt(n) / (1 + n) as e
+  from (select (1 / 298.257223563) / (2 - 1 / 298.257223563) as n)),
+t as (select *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) as t from c, k),
+x as (select *, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from t)
+select c_custkey, round(500000 + 0.9996 * radius * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) as x,
+  round(0.9996 * radius * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) as y from x""")
 def crs_utm(spark, d):
     u = G.to_utm(F.lit(102.0) + F.col("c_custkey") % 60 / 10, (F.col("c_custkey") % 800) / 10, 48)
     return D.table(spark, d, "customer").select("c_custkey", F.round(u["x"], 3).alias("x"), F.round(u["y"], 3).alias("y"))
