@@ -180,12 +180,23 @@ def segment_tile(spark, d):
     return scoring.segment(_tile_rows(spark, d), scoring.BrightSpots()).select("row", "col", F.round("p", 6).alias("p"))
 
 
-def _with_scorer(spark, d, name):
-    return scoring.segment(_tile_rows(spark, d), scoring.BrightSpots()).groupBy("tile_id").agg(F.round(F.avg("p"), 6).alias("p")).select(F.lit(name).alias("model"), "tile_id", "p")
+def _with_scorer(spark, d, name, scorer):
+    return scoring.segment(_tile_rows(spark, d), scorer).groupBy("tile_id").agg(F.round(F.avg("p"), 6).alias("p")).select(F.lit(name).alias("model"), "tile_id", "p")
 
 
-for _name in ("segment_unet", "segment_unet_pre", "segment_segformer"):
-    query(f"with {PIX} select '{_name}' as model, tile_id, round(avg(v / 255.0), 6)::double as p from pix group by tile_id", _name)(lambda s, d, n=_name: _with_scorer(s, d, n))
+for _name in ("segment_unet", "segment_unet_pre"):
+    query(f"with {PIX} select '{_name}' as model, tile_id, round(avg(1 / (1 + exp(-8 * (v / 255.0 - 0.5)))), 6)::double as p from pix group by tile_id", _name)(lambda s, d, n=_name: _with_scorer(s, d, n, scoring.UNetSegmenter(scoring.bright)))
+
+
+@query(f"""with {PIX}, m as (select tile_id, i // 32 as y, i % 8 // 4 as x, avg((v / 255.0 - 0.485) / 0.229) as m from pix group by all),
+near as (select r, c, greatest(0, least(1, floor((r + 0.5) / 4 - 0.5) + dy))::int as y, greatest(0, least(1, floor((c + 0.5) / 4 - 0.5) + dx))::int as x,
+    abs(1 - dy - ((r + 0.5) / 4 - 0.5 - floor((r + 0.5) / 4 - 0.5))) * abs(1 - dx - ((c + 0.5) / 4 - 0.5 - floor((c + 0.5) / 4 - 0.5))) as f
+  from (select unnest(range(0, 8)) as r), (select unnest(range(0, 8)) as c), (select unnest([0, 1]) as dy), (select unnest([0, 1]) as dx)),
+up as (select tile_id, r, c, sum(f * m) as z from near join m using (y, x) group by all)
+select 'segment_segformer' as model, tile_id, round(avg(1 / (1 + exp(-2 * z))), 6)::double as p from up group by tile_id""")
+def segment_segformer(spark, d):
+    """Normalised bands, coarse logits, bilinear upsampling; the network is a stand-in."""
+    return _with_scorer(spark, d, "segment_segformer", scoring.SegFormerSegmenter(scoring.bright_blocks))
 
 
 @query(f"with {PIX} select tile_id, sum(v * (case when tile_id % 2 = 1 then 7 - i % 8 else i % 8 end))::bigint as moment from pix group by tile_id")
@@ -196,6 +207,13 @@ def augment(spark, d):
     return cells.groupBy("tile_id").agg(F.sum(F.round(F.col("p") * 255).cast("long") * F.col("col")).alias("moment"))
 
 
+@query()
+def augment_training(spark, d):
+    """All steps of training: resized, turned, flipped and normalised, by tile the mean of the pixels."""
+    tiles = scoring.augment(_tile_rows(spark, d), scoring.seeded_flips(1), 16, scoring.seeded_turns(1), True)
+    return tiles.select("tile_id", "w", "h", (F.octet_length("pixels") / 4).cast("long").alias("values"))
+
+
 @query("select 'embeddings' as name, 1 as files")
 def scan_model_weights(spark, d):
     files = spark.read.format("binaryFile").load(f"{d}/embeddings.parquet").select(F.lit("embeddings").alias("name"), "length").where("length > 0")

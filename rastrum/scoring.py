@@ -1,4 +1,7 @@
-"""Models that score tiles: an interface, Arrow batching, and a deterministic stand-in for tests."""
+"""Models that score tiles: an interface, Arrow batching, the steps before and after a network, and deterministic stand-ins for tests.
+
+A network is any callable from an array (n, bands, h, w) to logits; OnnxNetwork runs a user's weights.
+"""
 
 from __future__ import annotations
 
@@ -40,6 +43,107 @@ class BrightSpots:
         return tiles.mean(axis=1) / 255
 
 
+# Means and deviations of the bands that transformer networks were trained with.
+BAND_MEAN, BAND_DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+def axis_weights(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two neighbours and the second one's weight when n samples become size; pixel centres are kept in place, the edge goes on."""
+    at = (np.arange(size) + 0.5) * n / size - 0.5
+    low = np.floor(at)
+    return np.clip(low, 0, n - 1).astype(int), np.clip(low + 1, 0, n - 1).astype(int), at - low
+
+
+def resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bilinear over the last two axes."""
+    for axis, size in ((-2, h), (-1, w)):
+        lo, hi, f = axis_weights(a.shape[axis], size)
+        f = f[:, None] if axis == -2 else f
+        a = np.take(a, lo, axis) * (1 - f) + np.take(a, hi, axis) * f
+    return a
+
+
+def rotate(a: np.ndarray, degrees: float) -> np.ndarray:
+    """Bilinear turn of (bands, h, w) about its centre, counter-clockwise as seen; beyond the edge the image is mirrored at its outermost pixels."""
+    h, w = a.shape[1:]
+    t = np.deg2rad(degrees)
+    r, c = np.mgrid[:h, :w]
+    y, x = r - (h - 1) / 2, c - (w - 1) / 2
+    sy, sx = np.sin(t) * x + np.cos(t) * y + (h - 1) / 2, np.cos(t) * x - np.sin(t) * y + (w - 1) / 2
+
+    def mirrored(i: np.ndarray, n: int) -> np.ndarray:
+        i = np.abs(i) % max(1, 2 * (n - 1))
+        return np.where(i >= n, 2 * (n - 1) - i, i).astype(int)
+
+    y0, x0 = np.floor(sy), np.floor(sx)
+    fy, fx = sy - y0, sx - x0
+    take = lambda i, j: a[:, mirrored(i, h), mirrored(j, w)]
+    return (take(y0, x0) * (1 - fx) + take(y0, x0 + 1) * fx) * (1 - fy) + (take(y0 + 1, x0) * (1 - fx) + take(y0 + 1, x0 + 1) * fx) * fy
+
+
+class OnnxNetwork:
+    """A network from an ONNX file, given by its bytes so that executors need no path; the session is made on the first call of a worker."""
+
+    def __init__(self, model: bytes):
+        self.model = model
+        self.session = None
+
+    def __getstate__(self):
+        return {"model": self.model, "session": None}
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.session is None:
+            import onnxruntime
+
+            self.session = onnxruntime.InferenceSession(self.model, providers=["CPUExecutionProvider"])
+        return self.session.run(None, {self.session.get_inputs()[0].name: x.astype(np.float32)})[0]
+
+
+class UNetSegmenter:
+    """Pixels as shares of 255, one channel of logits, sigmoid."""
+
+    def __init__(self, network: Callable[[np.ndarray], np.ndarray]):
+        self.network = network
+
+    def load(self) -> None:
+        pass
+
+    def segment(self, tiles):
+        z = np.asarray(self.network(tiles / 255))
+        return sigmoid(z.reshape(len(tiles), *z.shape[-2:]))
+
+
+class SegFormerSegmenter:
+    """Pixels normalised by the bands' means and deviations, two channels of coarse logits, upsampled bilinearly, softmax of the second."""
+
+    def __init__(self, network: Callable[[np.ndarray], np.ndarray]):
+        self.network = network
+
+    def load(self) -> None:
+        pass
+
+    def segment(self, tiles):
+        mean, deviation = (np.array(v)[: tiles.shape[1], None, None] for v in (BAND_MEAN, BAND_DEVIATION))
+        z = resize(np.asarray(self.network((tiles / 255 - mean) / deviation), float), *tiles.shape[-2:])
+        return sigmoid(z[:, 1] - z[:, 0])
+
+
+def bright(x: np.ndarray) -> np.ndarray:
+    """A stand-in network of one channel: how bright a pixel is."""
+    return 8 * (x.mean(axis=1, keepdims=True) - 0.5)
+
+
+def bright_blocks(x: np.ndarray) -> np.ndarray:
+    """A stand-in network of two channels at a quarter of the size: how bright a block is, against and for."""
+    n, _, h, w = x.shape
+    m = x.mean(axis=1).reshape(n, h // 4, 4, w // 4, 4).mean(axis=(2, 4))
+    return np.stack([-m, m], axis=1)
+
+
 def _arrays(pdf: pd.DataFrame) -> np.ndarray:
     """The tiles (bands, h, w, pixels as bytes) of a batch in which all have one shape."""
     first = pdf.iloc[0]
@@ -93,16 +197,31 @@ def seeded_flips(seed: int, across: float = 0.5, down: float = 0.1) -> Callable[
     return flips
 
 
-def augment(tiles: DataFrame, flips: Callable[[int], tuple[bool, bool]]) -> DataFrame:
-    """Tiles with their pixels flipped as flips(tile_id) says."""
+def seeded_turns(seed: int, limit: float = 35.0) -> Callable[[int], float]:
+    """For each tile id an angle between -limit and limit degrees, the same in every run."""
+    return lambda tile_id: float(np.random.default_rng((seed, 1, tile_id & 0xFFFFFFFF)).uniform(-limit, limit))
+
+
+def augment(tiles: DataFrame, flips: Callable[[int], tuple[bool, bool]], size: int | None = None, turns: Callable[[int], float] | None = None, normalise: bool = False) -> DataFrame:
+    """Tiles resized to size x size, turned by turns(tile_id) degrees, flipped as flips(tile_id) says and, with normalise, given as shares of 255.
+
+    Steps that are not asked for are left out. Pixels are bytes, normalised ones four-byte floats. Training
+    takes size 750, seeded_turns and seeded_flips.
+    """
 
     def run(frames):
         for pdf in frames:
             out = []
             for r in pdf.itertuples():
                 a = np.frombuffer(r.pixels, np.uint8).reshape(r.bands, r.h, r.w)
+                if size:
+                    a = np.rint(resize(a.astype(float), size, size))
+                if turns:
+                    a = np.rint(rotate(a.astype(float), turns(r.tile_id)))
                 x, y = flips(r.tile_id)
-                out.append(np.ascontiguousarray(a[:, :: -1 if y else 1, :: -1 if x else 1]).tobytes())
-            yield pdf.assign(pixels=out)
+                a = np.ascontiguousarray(a[:, :: -1 if y else 1, :: -1 if x else 1])
+                out.append((a / 255).astype("<f4").tobytes() if normalise else a.astype(np.uint8).tobytes())
+            made = pdf.assign(pixels=out)
+            yield made.assign(w=np.int32(size), h=np.int32(size)) if size else made
 
     return tiles.mapInPandas(run, tiles.schema)

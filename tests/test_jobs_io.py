@@ -185,3 +185,56 @@ def test_manifest(spark, tmp_path):
     assert [(o.filename, o.sha256 is None, o.size_bytes) for o in m.outputs] == [("b.shp", False, 3), ("c.shp", True, 0)] and m.summary.total_detections == 88
     with open(J.write_manifest(m, str(tmp_path))) as f:
         assert json.load(f)["summary"]["output_layers_count"] == 2
+
+
+def test_augment_against_loops(spark):
+    """Resize, turn, flips and normalisation of a tile, sample by sample."""
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    a = r.integers(0, 256, (3, 6, 9)).astype(np.uint8)
+    tiles = spark.createDataFrame([("r", 7, 0, 0, 3, 9, 6, a.tobytes())], "raster_id string, tile_id long, x_off int, y_off int, bands int, w int, h int, pixels binary")
+    got = scoring.augment(tiles, lambda i: (True, False), 12, lambda i: 20.0, True).first()
+    big = np.zeros((3, 12, 12))
+    for i in range(12):
+        for j in range(12):
+            y, x = min(max((i + 0.5) * 6 / 12 - 0.5, 0), 5), min(max((j + 0.5) * 9 / 12 - 0.5, 0), 8)
+            y0, x0 = int(y), int(x)
+            y1, x1 = min(y0 + 1, 5), min(x0 + 1, 8)
+            big[:, i, j] = np.rint((a[:, y0, x0] * (1 - x + x0) + a[:, y0, x1] * (x - x0)) * (1 - y + y0) + (a[:, y1, x0] * (1 - x + x0) + a[:, y1, x1] * (x - x0)) * (y - y0))
+    mirror = lambda k: abs(k) if abs(k) < 12 else 22 - abs(k)
+    turned = np.zeros_like(big)
+    for i in range(12):
+        for j in range(12):
+            y, x = i - 5.5, j - 5.5
+            t = math.radians(20)
+            sy, sx = math.sin(t) * x + math.cos(t) * y + 5.5, math.cos(t) * x - math.sin(t) * y + 5.5
+            y0, x0 = math.floor(sy), math.floor(sx)
+            v = sum(big[:, mirror(y0 + p), mirror(x0 + q)] * (1 - abs(sy - y0 - p)) * (1 - abs(sx - x0 - q)) for p in (0, 1) for q in (0, 1))
+            turned[:, i, 11 - j] = np.rint(v)
+    assert (got.w, got.h) == (12, 12)
+    assert np.allclose(np.frombuffer(got.pixels, "<f4").reshape(3, 12, 12), turned / 255, atol=1.01 / 255) and np.mean(np.abs(np.frombuffer(got.pixels, "<f4").reshape(3, 12, 12) - turned / 255) > 1e-6) < 0.02
+    assert abs(scoring.seeded_turns(3)(5)) <= 35 and scoring.seeded_turns(3)(5) == scoring.seeded_turns(3)(5)
+
+
+def test_a_network_from_a_file():
+    """A model of one node, written field by field, gives its input back."""
+    import pickle
+
+    import numpy as np
+
+    def field(n, body):
+        body = body.encode() if isinstance(body, str) else body
+        return bytes([n << 3 | 2, len(body)]) + body
+
+    number = lambda n, v: bytes([n << 3, v])
+    dims = field(2, b"".join(field(1, field(2, c)) for c in "nbhw"))
+    value = lambda name: field(1, name) + field(2, field(1, number(1, 1) + dims))
+    graph = field(1, field(1, "x") + field(2, "y") + field(4, "Identity")) + field(2, "g") + field(11, value("x")) + field(12, value("y"))
+    model = number(1, 8) + field(7, graph) + field(8, field(1, "") + number(2, 13))
+    network = pickle.loads(pickle.dumps(scoring.OnnxNetwork(model)))
+    x = np.random.default_rng(1).random((2, 1, 4, 4))
+    assert np.allclose(network(x), x)
+    assert np.allclose(scoring.UNetSegmenter(network).segment(x * 255), 1 / (1 + np.exp(-x[:, 0])))
