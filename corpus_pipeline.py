@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, mixing and packing."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, mixing and packing.
+
+Each stage takes documents (doc_id, text, lang, source, n_chars, and any other columns, which are carried
+along) and works on all rows that the stage before it kept. An empty table gives an empty result in every
+stage. Texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +19,46 @@ from rastrum.session import checkpoint
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go.
+
+    Null, empty and blank texts go, as they have fewer than ten words. Null ids and metadata don't matter;
+    repeated rows are judged each for itself, so all of them stay or go.
+    """
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
+    """One document of each group of near-duplicates stays, that of the smallest id.
+
+    A null id comes after all others; of a tie the smaller hash of the text decides, and of rows equal in id
+    and text one stays. All null, empty and blank texts are one group.
+    """
     return keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; all documents stay."""
+    """Passages that an earlier document has are cut out; all documents stay.
+
+    A null id sorts before all others; rows with equal ids don't cut each other; null texts become empty, as do
+    texts of which nothing is left. n_chars is made anew.
+    """
     return without_repeats(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are taken in part, once or up to twice, to meet the weights."""
+    """Sources are taken in part, once or up to twice, to meet the weights.
+
+    Null is a source of its own. Documents without words, null and empty texts among them, take no part and
+    go. Repeated rows and null ids are documents like any other. n_chars is made anew.
+    """
     return mixed(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 2048 tokens."""
+    """The pieces of the documents and their places in sequences of 2048 tokens.
+
+    A null text is empty and gives the end id alone; rows with equal or null ids are packed each for itself.
+    """
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

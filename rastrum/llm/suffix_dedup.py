@@ -454,7 +454,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", min_len: int = 50) -> DataFrame:
     """docs with their texts cut as by cut_repeats and the column of lengths made anew; all rows and columns stay.
 
-    A text of which nothing is left becomes empty.
+    A text of which nothing is left becomes empty, as does a null text. Null and repeated ids and empty tables
+    are as in cut_repeats; columns may have any names.
     """
     rest = tuple(c for c in docs.columns if c not in (id_col, text_col))
     found = cut_repeats(docs, id_col, text_col, min_len, with_text=True, carry=rest)
