@@ -129,3 +129,38 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in mixed.select("doc_id").distinct().collect()} <= {r.doc_id for r in kept[names[2]].select("doc_id").collect()}
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {r.doc_id for r in mixed.select("doc_id").distinct().collect()}
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null columns, empty and very long texts, repeated rows and clashing columns through all five stages, and an empty table."""
+    good = table(spark, SF, "documents").orderBy("doc_id").limit(60)
+    rows = [tuple(r) for r in good.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    prose = max((r[1] for r in rows), key=len)
+    words = prose.split()
+    rows += [rows[0], rows[1], (None, rows[2][1], None, None, None), (None, None, None, None, None), (7, "", "", "", 0), (8, " \n ", None, None, 3)]
+    # varied prose of half a megabyte, which the rules keep
+    pick = np.random.default_rng(1).integers(0, len(words), 60_000)
+    rows += [(9_000, " ".join(words[i] for i in pick), "en", "src0", 1), (None, "x " * 400_000, None, "s", 1)]
+    odd = [r + (1, 2, "h", "k", 5, 6) for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size int, row int, h string, key string, tag int, copy int"
+    docs = spark.createDataFrame(odd, schema).repartition(4)
+    columns = docs.columns
+    for part in (docs, docs.limit(0)):
+        given, seen = part, []
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = str(tmp_path / f"{part is docs}{k}")
+            stage(spark, given, SF).write.parquet(out)
+            given = spark.read.parquet(out)
+            seen.append(given)
+            assert k == 4 or given.columns == columns
+        if part is not docs:
+            assert all(d.count() == 0 for d in seen)
+            continue
+        kept = seen[0].collect()
+        assert all(r.text and len(r.text.split()) >= 10 for r in kept) and sum(r.doc_id == rows[0][0] for r in kept) == 2
+        assert any(r.doc_id == 9_000 for r in kept) and seen[1].count() < seen[0].count()
+        assert len({r.doc_id for r in seen[1].collect()}) == seen[1].count()
+        assert seen[2].count() == seen[1].count() and all(r.n_chars == len(r.text) for r in seen[2].collect())
+        assert all(r.n_chars == len(r.text) > 0 and r.h == "h" and r.copy == 6 for r in seen[3].collect())
+        pieces = seen[4].collect()
+        assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces) and max(r.offset + r.length for r in pieces) <= 2048
