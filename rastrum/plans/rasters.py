@@ -42,10 +42,18 @@ def _tiles(spark, d, h: int):
     return files, tiles.select("raster_id", (F.col("y_off") * 64 + F.col("x_off")).cast("long").alias("tile_id"), "x_off", "y_off", F.lit(32).alias("w"), F.lit(h).alias("h"))
 
 
+def _stored(spark, d):
+    """The same files written to a shared folder: raster_id, path."""
+    folder = scratch(spark)
+    R.write_files(_tiffs(spark, d).withColumnRenamed("raster_id", "name"), folder)
+    return R.list_files(spark, folder)
+
+
 @query(f"with {BLOCKS} select block::varchar as raster_id, ((row % 64) // 16 * 16 * 64 + col // 32 * 32)::bigint as tile_id, (row % 64)::int as row, col, v from blocks")
 def scan_raster_window(spark, d):
-    files, tiles = _tiles(spark, d, 16)
-    return R.scan_windows(files, tiles, 1).withColumnRenamed("b1", "v")
+    """Windows of files in a folder, by seeking their strips."""
+    _, tiles = _tiles(spark, d, 16)
+    return R.scan_windows(_stored(spark, d), tiles, 1).withColumnRenamed("b1", "v")
 
 
 @query(f"with {BLOCKS} select block::varchar as raster_id, (row % 64)::int as row, col, v as b1, v as b2, v as b3 from blocks")

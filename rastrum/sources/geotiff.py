@@ -1,6 +1,7 @@
 """GeoTIFF bytes to arrays and back: strips or tiles, uncompressed, LZW or deflate, with affine and CRS.
 
-The codec works on bytes that Spark has read, so a file may be in any store that Spark can read.
+The codec works on bytes that Spark has read, so a file may be in any store that Spark can read, or on anything
+that gives bytes for a slice, such as FileBytes, of which only the header and the strips of a window are read.
 """
 
 from __future__ import annotations
@@ -99,19 +100,42 @@ def lzw_decode(data: bytes) -> bytes:
             width += 1
 
 
-def _entries(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+class FileBytes:
+    """Slices of an open file with seek and read; small reads are served from the last block of BLOCK bytes."""
+
+    BLOCK = 1 << 16
+
+    def __init__(self, file):
+        self.file, self.at, self.held = file, 0, b""
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop = part.start or 0, part.stop
+        if self.at <= start and stop <= self.at + len(self.held):
+            return self.held[start - self.at : stop - self.at]
+        self.file.seek(start)
+        if stop - start >= self.BLOCK:
+            return bytes(self.file.read(stop - start))
+        self.at, self.held = start, bytes(self.file.read(self.BLOCK))
+        return self.held[: stop - start]
+
+
+def _unpack_at(form: str, data, at: int) -> tuple:
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
+
+def _entries(data) -> tuple[str, dict[int, tuple]]:
+    order = {b"II": "<", b"MM": ">"}.get(data[0:2])
+    if order is None or _unpack_at(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    at = struct.unpack_from(order + "I", data, 4)[0]
+    at = _unpack_at(order + "I", data, 4)[0]
     found = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+    for i in range(_unpack_at(order + "H", data, at)[0]):
+        tag, kind, n = _unpack_at(order + "HHI", data, at + 2 + 12 * i)
         code, size = TYPE_SIZE.get(kind, ("B", 1))
         place = at + 10 + 12 * i
         if n * size > 4:
-            place = struct.unpack_from(order + "I", data, place)[0]
-        found[tag] = (data[place : place + n].rstrip(b"\0").decode("latin-1"),) if kind == 2 else struct.unpack_from(f"{order}{n * len(code)}{code[0]}", data, place)
+            place = _unpack_at(order + "I", data, place)[0]
+        found[tag] = (data[place : place + n].rstrip(b"\0").decode("latin-1"),) if kind == 2 else _unpack_at(f"{order}{n * len(code)}{code[0]}", data, place)
     return order, found
 
 

@@ -238,3 +238,41 @@ def test_a_network_from_a_file():
     x = np.random.default_rng(1).random((2, 1, 4, 4))
     assert np.allclose(network(x), x)
     assert np.allclose(scoring.UNetSegmenter(network).segment(x * 255), 1 / (1 + np.exp(-x[:, 0])))
+
+
+def test_windows_of_a_file_read_only_their_strips(spark, tmp_path):
+    """Of a raster by path the header and the strips of a window are read, in any slice the bytes of the file; files are written whole."""
+    import numpy as np
+
+    from rastrum.sources import geotiff, raster
+
+    a = np.random.default_rng(1).integers(0, 255, (1500, 300)).astype("u1")
+    data = geotiff.write(a, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 32648, geotiff.NONE, None)
+    raster.write_files(spark.createDataFrame([("a.tif", data), ("b.tif", data[:100])], "name string, content binary"), str(tmp_path / "f"))
+    assert sorted(p.name for p in (tmp_path / "f").iterdir()) == ["a.tif", "b.tif"]
+    files = raster.list_files(spark, str(tmp_path / "f"), "a*")
+    tiles = spark.createDataFrame([("a.tif", 1, 10, 20, 7, 5), ("a.tif", 2, 290, 1490, 20, 20), ("none", 3, 0, 0, 2, 2)], "raster_id string, tile_id long, x_off int, y_off int, w int, h int")
+    got = raster.scan_windows(files, tiles, 1).collect()
+    assert {(r.row, r.col, r.b1) for r in got} == {(r, c, int(a[r, c])) for y, x, h, w in ((20, 10, 5, 7), (1490, 290, 10, 10)) for r in range(y, y + h) for c in range(x, x + w)}
+    assert [(r.width, r.height) for r in raster.scan_meta(files).collect()] == [(300, 1500)]
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.n = file, 0
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            out = self.file.read(n)
+            self.n += len(out)
+            return out
+
+    with open(tmp_path / "f" / "a.tif", "rb") as f:
+        counted = Counted(f)
+        geotiff.read_window(geotiff.FileBytes(counted), 0, 700, 10, 4)
+        assert counted.n < len(data) / 2
+        r, slices = np.random.default_rng(2), geotiff.FileBytes(f)
+        for _ in range(300):
+            s, n = int(r.integers(0, len(data))), int(r.choice([3, 50, 70_000]))
+            assert slices[s : min(len(data), s + n)] == data[s : s + n]
