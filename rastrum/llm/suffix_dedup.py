@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rastrum.session import checkpoint, partitions_of
 
-NULL_ID = -(1 << 63)
+NULL_ID = -(1 << 63)  # where a null id sorts
 BATCH_BYTES = 4 << 20
 CHUNK = 1 << 20
 PAD = 0xFF  # never occurs in UTF-8
@@ -143,7 +143,7 @@ def _get(blob: bytes, *dtypes: str) -> list[np.ndarray]:
 
 def _buffer(blob: bytes, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, lengths and starts of a batch's texts, and the padded buffer."""
-    ids, lens, data = _get(blob, "<i8", "<i8", "u1")
+    ids, lens, data, _ = _get(blob, "<i8", "<i8", "u1", "u1")
     starts = np.cumsum(np.concatenate(([gap], lens[:-1] + gap))).astype(np.int64) if len(lens) else np.zeros(0, np.int64)
     buf = np.full(int(lens.sum()) + gap * (len(lens) + 1), PAD, np.uint8)
     src = 0
@@ -176,14 +176,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out.getvalue().to_pybytes()
 
     def flush():
-        order = sorted(range(len(ids)), key=ids.__getitem__)
+        order = sorted(range(len(ids)), key=lambda i: NULL_ID if ids[i] is None else ids[i])
         data = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
-        return _rows(PACKED, [(number, _put(np.array([ids[i] for i in order], "<i8"), np.array([len(texts[i]) for i in order], "<i8"), data, level=6), carried(order) if others and others[0].num_columns else None)])
+        null = np.array([ids[i] is None for i in order], np.uint8)
+        return _rows(PACKED, [(number, _put(np.array([NULL_ID if ids[i] is None else ids[i] for i in order], "<i8"), np.array([len(texts[i]) for i in order], "<i8"), data, null, level=6), carried(order) if others and others[0].num_columns else None)])
 
     for batch in batches:
         rest, begun = batch.select(range(2, batch.num_columns)), 0
         for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-            ids.append(NULL_ID if i is None else i)
+            ids.append(i)
             texts.append(t.as_py() or b"")
             size += len(texts[-1])
             if size >= BATCH_BYTES:
@@ -399,7 +400,7 @@ def _cut(min_len: int, with_text: bool):
     def run(batches):
         for b in batches:
             for blob, answers, carried in zip(b.column("blob"), b.column("answers"), b.column("carried"), strict=True):
-                ids, lens, data = _get(blob.as_py(), "<i8", "<i8", "u1")
+                ids, lens, data, null = _get(blob.as_py(), "<i8", "<i8", "u1", "u1")
                 starts = np.cumsum(np.concatenate(([min_len], lens[:-1] + min_len)))
                 got = [_get(x, "<i8", "<i8") for x in answers.as_py() or []]
                 s, e = _spans(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (np.zeros(0, np.int64),) * 2
@@ -411,7 +412,7 @@ def _cut(min_len: int, with_text: bool):
                     src += n
                     a, z = s[cuts[i] : cuts[i + 1]] - at, e[cuts[i] : cuts[i + 1]] - at
                     kept = b"".join(text[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), n], strict=True)) if len(a) else text
-                    row = (None if d == NULL_ID else d, n, n - len(kept), len(a), hashlib.sha256(kept).hexdigest())
+                    row = (None if null[i] else d, n, n - len(kept), len(a), hashlib.sha256(kept).hexdigest())
                     if with_text:
                         keep = np.ones(n, np.uint8)
                         for x, y in zip(a.tolist(), z.tolist(), strict=True):
@@ -433,8 +434,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, on request,
     kept_text (a character is dropped only if all its bytes are), one row for each row of docs. Columns
     named in carry come along as c0, c1 and so on.
-    A null text is empty; a null id sorts before all others; rows with equal ids do not remove each
-    other's bytes; texts shorter than min_len stay whole; overlaps count; strings are judged on the
+    A null text is empty; a null id sorts before all others, beside the smallest long; rows with equal ids do
+    not remove each other's bytes; texts shorter than min_len stay whole; overlaps count; strings are judged on the
     input. An empty table gives an empty result; other columns are ignored. Texts are valid UTF-8.
     """
     parts = partitions_of(docs.sparkSession)

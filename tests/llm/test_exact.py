@@ -576,3 +576,57 @@ def test_segments_of_shards():
         if sum(quotas) <= 2 * blocks:
             assert [sum(z - a for k, a, z in found if k == s) for s in range(6)] == quotas
     assert mixing.segments("=s", 20, [3, 3], 17) != mixing.segments("=s", 20, [3, 3], 18)
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte through every operator that reads texts, against SQL or brute force."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    long = " ".join(r.choice(words) for _ in range(160_000))
+    rows = [(1, long, "en", "a", 1), (2, long[:600_000] + " under the MIT license " + long[600_000:], "en", "b", 2), (3, "short", "en", "a", 3), (-(1 << 63), "\n".join([long[:50_000]] * 3), None, None, 4), (None, "z" * 200_000, None, "a", 5)]
+    df = spark.createDataFrame([x + (1, "s", 2, "h", "k", 3) for x in rows], DOCS).repartition(2).cache()
+    counts = {x.doc_id: x for x in quality.quality(df).collect()}
+    found = {x.doc_id: x for x in licenses.scan(df).collect()}
+    sizes = {x.doc_id: x for x in mixing.mixture(df).collect()}
+    for d, t in py(rows):
+        w = t.split()
+        windows, inside = {}, set()
+        for i in range(len(w) - 4):
+            windows.setdefault(tuple(w[i : i + 5]), []).append(i)
+        for places in windows.values():
+            if len(places) > 1:
+                inside.update(p + k for p in places for k in range(5))
+        assert (counts[d].n_words, counts[d].word_chars, counts[d].n_repeat_words) == (len(w), sum(map(len, w)), len(inside))
+        assert (found[d].n_words, found[d].n_base) == (len(w), int(d == 2)) and sizes[d].size == len(w) and sizes[d].taken <= 2 * len(w)
+    assert found[2].first_word == len(long[:600_000].split()) and found[2].base_labels == "mit"
+    got = {x.doc_id: simhash.shingle_hashes(x.text.encode(), 3) for x in df.collect()}
+    for d, t in py(rows):
+        w = t.lower().split()
+        assert got[d].tolist() == [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
+    assert {x.doc_id: x.fp for x in simhash.fingerprints(df).where("doc_id = 1").collect()}[1] % (1 << 64) == fingerprint(long)
+    assert simhash.keep_one(df).count() == 4  # the second is a near copy of the first
+    removed = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.cut_repeats(df).collect()}
+    assert removed[1][1] == 50_000 and removed[-(1 << 63)][1] == 0 and removed[None][1] == 0 and removed[2][1] > 900_000
+    t = Tokenizer.from_file(BPE)
+    t.encode_special_tokens = True
+    pieces = {}
+    for x in packing.pack(df, BPE, with_ids=True).collect():
+        pieces.setdefault(x.doc_id, {})[x.piece] = bytes(x.ids)
+    for d, text in py(rows):
+        ids = t.encode(text, add_special_tokens=False).ids + [0]
+        assert b"".join(pieces[d][k] for k in sorted(pieces[d])) == struct.pack(f"<{len(ids)}I", *ids)
+    edited = {x.doc_id: x for x in spotsigs.edit_robustness(df).collect()}
+    whole = rows[0][1][: len(long) - len(long) // 2] + rows[1][1][: len(long) // 2]
+    assert edited[1].n_chars == len(long) and edited[1].edited_sha256 == hashlib.sha256(whole.encode()).hexdigest() and len(edited) == 5
+    assert sorted(x.slot for x in sharding.shard(df, 1).collect()) == list(range(5))
+
+
+def test_sequences_over_many_partitions(spark):
+    """As few sequences as one best-fit over all pieces needs, or the bound of the sum, from many small partitions."""
+    r = random.Random(13)
+    texts = [" ".join("w" for _ in range(r.choice([3, 40, 150, 300, 500]))) for _ in range(600)]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(37), BPE, capacity=512).collect()
+    lengths = [x.length for x in got]
+    assert len({x.sequence_id for x in got}) <= max(len(packing.best_fit([(n, None) for n in lengths], 512)), -(-sum(lengths) // 512)) * 1.05 + 1
