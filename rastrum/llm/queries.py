@@ -16,6 +16,7 @@ from rastrum.llm.sharding import shard
 from rastrum.llm.simhash import hex_of, near_duplicates
 from rastrum.llm.spotsigs import edit_robustness
 from rastrum.llm.suffix_dedup import cut_repeats
+from rastrum.llm.yinyang import compress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +93,8 @@ ORACLES["op9_licenses"] = licenses.oracle()
 @_query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
