@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rastrum.llm import fixity, licenses
+from rastrum.llm.conversations import damaged, repair
 from rastrum.llm.cotraining import score
 from rastrum.llm.mixing import ORACLE as MIXING_SQL, mixture
 from rastrum.llm.packing import pack
@@ -95,6 +96,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair of all conversations after planted faults."""
+    return repair(damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
 @_query
 def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"))
