@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rastrum.llm import fixity, licenses
+from rastrum.llm import chosenpath, fixity, licenses
 from rastrum.llm.conversations import damaged, repair
 from rastrum.llm.cotraining import score
 from rastrum.llm.mixing import ORACLE as MIXING_SQL, mixture
@@ -102,6 +102,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
 
 
+@_query
+def op12_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op13_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"))
