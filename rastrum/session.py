@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "rastrum", cores: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -18,6 +18,7 @@ def local_session(app: str = "rastrum", cores: int | str = 8, partitions: int =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -45,3 +46,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="rastrum-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its columns computed once, whatever is done with them.
+
+    The optimizer pushes a filter below the projections that make its columns and repeats their expressions for
+    each use, which for chains of expressions over lambdas grows without end. It does not push one below a generator;
+    this one gives each row again, in the JVM and without a shuffle.
+    """
+    return df.select(F.inline(F.array(F.struct(*[df[c] for c in df.columns]))))
