@@ -94,8 +94,8 @@ def tree(records: DataFrame, depth: int = DEPTH, digits: int = 1) -> list[DataFr
         if level:
             child = F.struct(F.col("scope"), F.col("node"), F.concat_ws(":", "scope", "node", "n_bytes", "hash").alias("says"))
             up = levels[-1].groupBy(F.col("up_scope").alias("scope"), F.col("up_node").alias("node")).agg(F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"), _hash(F.collect_list(child)).alias("hash"))
-            # a level has a FAN-th of the nodes below it, so it needs a FAN-th of the partitions
-            up = up.withColumn("file", F.col("scope")).coalesce(max(1, cores >> (FAN_BITS * level)))
+            # all partitions read the level below; the nodes, a FAN-th as many, are then written by a FAN-th of the tasks
+            up = up.withColumn("file", F.col("scope")).repartition(max(1, cores >> (FAN_BITS * level)))
         if level < depth:
             above = [F.col("scope"), F.shiftright("node", FAN_BITS)]
         elif level == depth:

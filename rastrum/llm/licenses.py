@@ -17,6 +17,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rastrum.session import settled
+
 LEAST = 0.8
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after A-Z became a-z
 PARAGRAPH = r"\n[ \t\r]*\n"
@@ -141,7 +143,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     best = lambda ms: F.filter(ms, lambda m: ~F.exists(ms, lambda o: F.array_contains(m["rivals"], o["i"]) & ((o["c"] > m["c"]) | ((o["c"] == m["c"]) & (o["n"] > m["n"])))))
     df = df.withColumn("kept", F.flatten("found")).withColumn("best", F.flatten(F.transform("found", best)))
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    return df.select(
+    out = df.select(
         "doc_id",
         "n_words",
         F.size("starts").cast("long").alias("n_base"),
@@ -152,6 +154,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.when(F.size("starts") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("kept", lambda m: m["c"])), F.lit(0.0))).alias("score"),
         join(F.concat("base", F.transform("best", lambda m: m["label"]))).alias("best_labels"),
     )
+    return settled(out)
 
 
 def oracle() -> str:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rastrum.session import checkpoint
+from rastrum.session import checkpoint, settled
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -156,7 +156,7 @@ def cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
     order = ordered(estimate(sampled(docs, text_col), rules, features(F.col("text"), F.col("words"))))
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = docs.withColumn("_words_of_text", words_of(text))
-    return held.withColumn(reason, rejected_by(order, features(text, F.col("_words_of_text")))).drop("_words_of_text")
+    return settled(held.withColumn(reason, rejected_by(order, features(text, F.col("_words_of_text")))).drop("_words_of_text"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -176,16 +176,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     df = df.select("*", *[f(s).alias(s) for s in stats])
     df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     verdict = rejected_by(order, late).isNull()
-    return df.select("doc_id", *stats, "n_repeat_words", "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict).alias("kept"))
-
-
-def _where_late(df: DataFrame, condition: Column) -> DataFrame:
-    """Filter df where it stands.
-
-    Pushed below the projections that make its columns, a condition would repeat their expressions once
-    for each use; the optimizer doesn't push through a projection that isn't deterministic.
-    """
-    return df.withColumn("_late", F.rand(0)).where(condition & (F.col("_late") >= 0)).drop("_late")
+    return settled(df.select("doc_id", *stats, "n_repeat_words", "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict).alias("kept")))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -194,9 +185,10 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     Null and empty texts go. Null and repeated ids and equal rows are judged each for itself; texts of any
     length are judged whole; columns may have any names. An empty table gives an empty result.
     """
-    rows = _where_late(cascade(docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", rules), F.col("rejected_by").isNull())
+    rows = cascade(docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", rules).where("rejected_by is null")
     rows = with_repeat_words(rows.select("row", words_of(F.col("text")).alias("words")), "words", "n_repeat_words")
-    return _where_late(rows, (F.size("words") >= 10) & (100 * F.col("n_repeat_words") <= 20 * F.size("words"))).select("row.*")
+    rows = settled(rows.select("row", F.size("words").alias("n"), "n_repeat_words"))
+    return rows.where("n >= 10 and 100 * n_repeat_words <= 20 * n").select("row.*")
 
 
 ORACLE = r"""

@@ -18,12 +18,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from rastrum.session import checkpoint, partitions_of
+from rastrum.session import checkpoint, partitions_of, settled
 
 CHAIN = 3
 RUN = 8
 HEX = 12
-LEAST = 0.2  # likeness below this counts as none where sizes show it
+LEAST = 0.2  # likeness below this counts as none
 # The anchors, common words of English, German, French and Spanish.
 ANCHORS = tuple(
     (
@@ -68,11 +68,12 @@ def size_partition(n: Column, least: float) -> Column:
 
 
 def likeness(a: Column, b: Column, least: float) -> Column:
-    """Jaccard similarity of two signature sets; 1 for two empty ones; 0 without intersecting where the partitions or the sizes rule out least."""
+    """Jaccard similarity of two signature sets, 0 if it is below least; 1 for two empty ones. Where the partitions or the sizes rule out least the sets are not intersected."""
     m, n = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     apart = F.abs(size_partition(F.size(a), least) - size_partition(F.size(b), least)) > 1
     shared = F.size(F.array_intersect(a, b))
-    return F.when(n == 0, F.lit(1.0)).when((m == 0) | apart | (m < (least - 1e-9) * n), F.lit(0.0)).otherwise(shared / (m + n - shared).cast("double"))
+    jaccard = shared / (m + n - shared).cast("double")
+    return F.when(n == 0, F.lit(1.0)).when((m == 0) | apart | (m < (least - 1e-9) * n), F.lit(0.0)).otherwise(F.when(jaccard >= least - 1e-9, jaccard).otherwise(F.lit(0.0)))
 
 
 def in_ranges(df: DataFrame, id_col: str, text_col: str, ranges: int) -> tuple[DataFrame, WindowSpec]:
@@ -112,8 +113,7 @@ def edit_robustness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The edited text keeps all but the last floor(n / 2) code points and goes on with as many of the next
     document by ascending id (all, if it has fewer); after the last comes the first. Null ids come first;
     rows with equal ids follow each other by text; a single row is followed by itself. A null text is
-    empty; two empty fingerprints are alike (1), and fingerprints whose sizes rule out a likeness of least are
-    not alike (0). size_partition is the partition of the fingerprint by its size. An empty table gives an
+    empty; two empty fingerprints are alike (1), and fingerprints with a likeness below least are not alike (0). size_partition is the partition of the fingerprint by its size. An empty table gives an
     empty result; other columns are ignored.
     """
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -124,7 +124,7 @@ def edit_robustness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", 1, n - half), F.substring("next_text", 1, half)))
     rows = with_signatures(rows, "edited", "edited_sigs")
-    return rows.select(
+    out = rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -135,6 +135,7 @@ def edit_robustness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.size("sigs").alias("n_signatures"),
         size_partition(F.size("sigs"), least).alias("size_partition"),
     )
+    return settled(out)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> tuple[DataFrame, DataFrame]:
