@@ -9,7 +9,7 @@ from rastrum import scoring
 from rastrum.plans import derived as D
 from rastrum.plans.catalog import query
 from rastrum.session import checkpoint
-from rastrum.sources import image, raster as R, vector
+from rastrum.sources import image, raster as R, tiffsource as T, vector
 
 
 def scratch(spark) -> str:
@@ -31,35 +31,38 @@ def _tiffs(spark, d):
     return R.encode(blocks(spark, d), "block", "v", R.as_geotiff(D.AFFINE, 32648), "u1").select(F.col("name").alias("raster_id"), "content")
 
 
-@query(f"with {BLOCKS}, {HEIGHTS} select block::varchar as raster_id, 'EPSG:32648' as crs, 0.05::double as a, 500000.0::double as c, -0.05::double as e, 100000.0::double as f, 64 as width, h::int as height, 1 as bands, 'uint8' as dtype from h")
-def scan_raster_meta(spark, d):
-    return R.scan_meta(_tiffs(spark, d)).drop("b", "d")
+def _stored(spark, d):
+    """The files of the blocks in a shared folder."""
+    folder = scratch(spark)
+    R.write_files(_tiffs(spark, d).withColumnRenamed("raster_id", "name"), folder)
+    return folder
 
 
-def _tiles(spark, d, h: int):
-    files = _tiffs(spark, d)
-    tiles = R.scan_meta(files).select("raster_id", F.explode(F.sequence(F.lit(0), F.lit(63), F.lit(32))).alias("x_off"), "height").withColumn("y_off", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(h))))
-    return files, tiles.select("raster_id", (F.col("y_off") * 64 + F.col("x_off")).cast("long").alias("tile_id"), "x_off", "y_off", F.lit(32).alias("w"), F.lit(h).alias("h"))
+@query(f"with {BLOCKS}, {HEIGHTS} select block::varchar as raster_id, 'EPSG:32648' as crs, 0.05::double as a, 500000.0::double as c, -0.05::double as e, 100000.0::double as f, 64 as width, h::int as height, 1 as bands, 'uint8' as dtype from h")
+def scan_raster_meta(spark, d):
+    return T.read_raster_meta(spark, _stored(spark, d)).drop("b", "d")
 
 
-def _stored(spark, d):
-    """The same files written to a shared folder: raster_id, path."""
-    folder = scratch(spark)
-    R.write_files(_tiffs(spark, d).withColumnRenamed("raster_id", "name"), folder)
-    return R.list_files(spark, folder)
+def _map_file(spark, d, cells, **options):
+    """The whole map as one file that many tasks write."""
+    path = f"{scratch(spark)}/map.tif"
+    T.write_raster(cells, path, 64, D.prob(spark, d).agg(F.max("row")).first()[0] + 1, affine=D.AFFINE, epsg=32648, **options)
+    return path
 
 
 @query(f"with {BLOCKS} select block::varchar as raster_id, ((row % 64) // 16 * 16 * 64 + col // 32 * 32)::bigint as tile_id, (row % 64)::int as row, col, v from blocks")
 def scan_raster_window(spark, d):
-    """Windows of files in a folder, by seeking their strips."""
-    _, tiles = _tiles(spark, d, 16)
-    return R.scan_windows(_stored(spark, d), tiles, 1).withColumnRenamed("b1", "v")
+    """Two windows, side by side, of one file of the whole map."""
+    path = _map_file(spark, d, blocks(spark, d).select("row", "col", "v"), strip_rows=16)
+    block, row = F.floor(F.col("row") / 64).cast("string"), (F.col("row") % 64).cast("int")
+    tile = (F.floor(row / 16) * 16 * 64 + F.floor(F.col("col") / 32) * 32).cast("long")
+    halves = [T.read_raster(spark, path, 1, 1 << 16, cols=(x, x + 31)) for x in (0, 32)]
+    return halves[0].union(halves[1]).select(block.alias("raster_id"), tile.alias("tile_id"), row.alias("row"), "col", F.col("b1").alias("v"))
 
 
 @query(f"with {BLOCKS} select block::varchar as raster_id, (row % 64)::int as row, col, v as b1, v as b2, v as b3 from blocks")
 def scan_raster_band_fallback(spark, d):
-    files, tiles = _tiles(spark, d, 64)
-    return R.scan_windows(files, tiles, 3).drop("tile_id")
+    return T.read_raster(spark, _stored(spark, d), 3)
 
 
 @query(f"with {D.PROB} select (row // 64)::varchar as raster_id, (row % 64)::int as row, col, p from prob")
@@ -76,14 +79,10 @@ def sink_npy(spark, d):
 
 
 def _sink(spark, d, t: float):
-    """Masks written as GeoTIFF files in a folder and read back from there."""
-    folder = scratch(spark)
-    cells = blocks(spark, d).withColumn("v", (F.col("v") > t * 255).cast("int"))
-    files = R.encode(cells, "block", "v", R.as_geotiff(D.AFFINE, 32648, 0.0), "u1")
-    R.write_files(files.withColumn("name", F.concat("name", F.lit(".tif"))), folder)
-    read = R.read_files(spark, folder, "*.tif")
-    tiles = R.scan_meta(read).select("raster_id", F.lit(0).cast("long").alias("tile_id"), F.lit(0).alias("x_off"), F.lit(0).alias("y_off"), F.col("width").alias("w"), F.col("height").alias("h"))
-    return R.scan_windows(read, tiles, 1).where("b1 = 1").select(F.regexp_replace("raster_id", r"\.tif$", "").alias("block"), "row", "col")
+    """The mask of the whole map written as one file by many tasks, and read back."""
+    cells = blocks(spark, d).where(F.col("v") > t * 255).select("row", "col", F.lit(1).alias("v"))
+    path = _map_file(spark, d, cells, nodata=0.0)
+    return T.read_raster(spark, path, 1, 1 << 16).where("b1 = 1").select(F.floor(F.col("row") / 64).cast("string").alias("block"), (F.col("row") % 64).cast("int").alias("row"), "col")
 
 
 @query(f"with {BLOCKS} select block::varchar as block, (row % 64)::int as row, col from blocks where v > 0.7 * 255")

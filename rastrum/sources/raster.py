@@ -131,7 +131,7 @@ def encode(cells: DataFrame, group: str, value: str, to_bytes: Callable[[np.ndar
 
 
 def as_geotiff(affine: tuple, epsg: int | None = None, nodata: float | None = 0.0) -> Callable[[np.ndarray], bytes]:
-    return lambda a: geotiff.write(a, affine, epsg, geotiff.LZW, nodata)
+    return lambda a: geotiff.write(a, affine, epsg, geotiff.DEFLATE, nodata)
 
 
 def chip_name(stem, row, col, h: int, w: int) -> F.Column:
