@@ -11,8 +11,8 @@ In each node, every class is first compared with two of it, the smallest and the
 pairs, which settles nodes of up to three classes and groups around one text. Of the other nodes, those whose
 members outside the largest component found so far are few are compared exhaustively, in cells of bounded size
 and across components only; larger ones branch, as long as that lowers the number of comparisons. Where it does not,
-the members are much alike, and the node is compared exhaustively too. Candidates agree in the low bits of most
-tokens, a filter that loses a pair with a probability of 0.00000003; each link is confirmed on the whole sets.
+the members are much alike, and the node is compared exhaustively too. Candidates agree in the low four bits of most
+tokens, a filter that loses a pair with a probability below LOST; each link is confirmed on the whole sets.
 Links of a cell are a spanning forest, never all pairs.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,11 @@ from rastrum.session import checkpoint
 POSITIONS, BRANCHES = 96, 2
 SEED = 12
 BLOCK = 100_000  # hashes whose tokens are made at once
-FEW = 512  # members outside the largest component with which a node is compared exhaustively at once
-CELL = 256  # members of each side of a cell
-DIFFER = 24  # low bits of tokens in which candidates may differ; a pair at 0.85 differs in 7 on average
+FEW = 1024  # members outside the largest component with which a node is compared exhaustively at once
+CELL = 512  # members of each side of a cell
+LOST = 3e-8  # the probability that the filter by the low bits of tokens loses a pair at the least similarity
+WORDS = tuple(f"b{i}" for i in range(POSITIONS * 4 // 64))  # columns of those bits
+LIKELY_SMALL = 200_000  # classes whose names, some 24 bytes each, are sent to all tasks
 NULL_ID = -(1 << 63)
 CELL_ID = ("node", "kind", "i", "j")
 
@@ -52,6 +55,35 @@ def trees_for(least: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(expected_miss(least))))
 
 
+@lru_cache
+def allowed(least: float) -> int:
+    """Positions in which the low four bits of the tokens of a pair at this similarity differ, but for a probability of LOST."""
+    p, tail, k = (1 - least) * 15 / 16, 1.0, -1
+    while tail > LOST:
+        k += 1
+        tail = sum(math.comb(POSITIONS, i) * p**i * (1 - p) ** (POSITIONS - i) for i in range(k + 1, POSITIONS + 1))
+    return k
+
+
+ONES = 0x1111111111111111
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions in which the low bits (rows of words) differ."""
+    x = a ^ b
+    x = x | (x >> np.uint64(1))
+    return np.bitwise_count((x | (x >> np.uint64(2))) & np.uint64(ONES)).sum(axis=-1)
+
+
+def _differ(a: str, b: str) -> Column:
+    def one(w: str) -> Column:
+        x = F.col(f"{w}_{a}").bitwiseXOR(F.col(f"{w}_{b}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(ONES)))
+
+    return sum((one(w) for w in WORDS), F.lit(0))
+
+
 def _described(width: int):
     """Each document's set as a 128-bit name, its size, minwise tokens and their low bits."""
     rng = np.random.default_rng(SEED)
@@ -70,16 +102,15 @@ def _described(width: int):
         kept, n = part.take(pa.array(rows, pa.int64())), len(rows)
         mixed = ((low ^ (low >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
         tokens = mixed.astype(np.uint32).view(np.int32)
-        bits = np.zeros((n, 128), np.uint8)
-        bits[:, :POSITIONS] = tokens & 1
-        words = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+        low = (tokens & 15).astype(np.uint8)
+        words = np.ascontiguousarray(low[:, ::2] << 4 | low[:, 1::2]).view(">i8").astype(np.int64)
         own = np.frombuffer(b"".join(names), ">i8").astype(np.int64).reshape(n, 2)
         full = np.array(sizes) > 0
         offsets = np.concatenate(([0], np.cumsum(np.where(full, POSITIONS, 0)))).astype(np.int32)
-        columns = [kept.column(0), kept.column(1), own[:, 0], own[:, 1], np.array(sizes, np.int64), words[:, 0], words[:, 1]]
+        columns = [kept.column(0), kept.column(1), own[:, 0], own[:, 1], np.array(sizes, np.int64), *words.T]
         arrays = [c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns]
         arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[full].ravel())))
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "tag", "hi", "lo", "n", "b0", "b1", "tokens"])
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "tag", "hi", "lo", "n", *WORDS, "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +142,7 @@ def _described(width: int):
     return run
 
 
-_DESCRIBED = "doc_id long, tag long, hi long, lo long, n long, b0 long, b1 long, tokens array<int>"
+_DESCRIBED = "doc_id long, tag long, hi long, lo long, n long, " + ", ".join(f"{w} long" for w in WORDS) + ", tokens array<int>"
 
 
 def _shingles(width: int):
@@ -138,7 +169,9 @@ class _Sets:
     def of(self, cids: DataFrame) -> DataFrame:
         """(cid, shingles) of at least the classes in cids, which has distinct ones."""
         new = cids if self.made is None else cids.join(self.made.select("cid"), "cid", "left_anti")
-        named = self.classes.join(new, "cid", "left_semi").select("cid", "id", "tag")
+        named = checkpoint(self.classes.join(new, "cid", "left_semi").select("cid", "id", "tag"))
+        if named.count() <= LIKELY_SMALL:  # else the texts are dealt by their names
+            named = F.broadcast(named)
         texts = self.rows.join(named, ["id", "tag"]).select("cid", "text")
         # rows with equal ids and texts give the same set again
         sets = checkpoint(texts.mapInArrow(_shingles(self.width), "cid long, shingles array<bigint>").groupBy("cid").agg(F.any_value("shingles").alias("shingles")))
@@ -153,50 +186,55 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """The pairs (src, dst) that are candidates by their bits and links by their whole sets."""
-    bits = lambda e: classes.select(F.col("cid").alias(e), *[F.col(b).alias(f"{b}_{e}") for b in ("b0", "b1")], F.col("n").alias(f"n_{e}"))
-    differ = sum((F.bit_count(F.col(f"{b}_src").bitwiseXOR(F.col(f"{b}_dst"))) for b in ("b0", "b1")), F.lit(0))
+    bits = lambda e: classes.select(F.col("cid").alias(e), *[F.col(w).alias(f"{w}_{e}") for w in WORDS], F.col("n").alias(f"n_{e}"))
     sizes = 100 * F.least("n_src", "n_dst") >= percent * F.greatest("n_src", "n_dst")
-    near = checkpoint(pairs.join(bits("src"), "src").join(bits("dst"), "dst").where(sizes & (differ <= DIFFER)).select("src", "dst"))
+    alike = _differ("src", "dst") <= allowed(percent / 100)
+    near = checkpoint(pairs.join(bits("src"), "src").join(bits("dst"), "dst").where(sizes & alike).select("src", "dst"))
     whole = sets.of(near.select(F.explode(F.array("src", "dst")).alias("cid")).distinct())
     a, b = (whole.select(F.col("cid").alias(e), F.col("shingles").alias(f"set_{e}")) for e in ("src", "dst"))
     return checkpoint(near.join(a, "src").join(b, "dst").where(_alike(F.col("set_src"), F.col("set_dst"), percent)).select("src", "dst"))
 
 
-def _near(i: int, comp: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The members after member i of a cell in other components whose bits are near."""
+def _near(i: int, comp: np.ndarray, bits: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """The members after member i of a cell in other components whose sizes and bits are near."""
     other = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-    return other[np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1) <= DIFFER]
+    other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
+    return other[_differing(bits[other], bits[i]) <= allowed(percent / 100)]
 
 
-def _members(m) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cid, comp, b0, b1 = (np.asarray(m(c)).astype(np.int64) for c in ("cid", "comp", "b0", "b1"))
-    return cid, comp.copy(), np.stack((b0, b1), axis=1).view(np.uint64)
+def _members(m) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    cid, comp, size, *bits = (np.asarray(m(c)).astype(np.int64) for c in ("cid", "comp", "size", *WORDS))
+    return cid, comp.copy(), size, np.stack(bits, axis=1).view(np.uint64)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(percent: int):
     """The members of each cell that have a candidate in it."""
-    for batch in batches:
-        rows = []
-        for *cell, members in zip(*(batch.column(k).to_pylist() for k in range(len(CELL_ID))), batch.column(len(CELL_ID)), strict=True):
-            cid, comp, bits = _members(members.values.field)
-            used = np.zeros(len(cid), bool)
-            for i in range(len(cid) - 1):
-                other = _near(i, comp, bits)
-                used[other] = True
-                used[i] |= len(other) > 0
-            rows += [(*cell, *map(int, x)) for x in zip(cid[used], comp[used], *bits[used].view(np.int64).T, strict=True)]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [*CELL_ID, "cid", "comp", "b0", "b1"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * (3 + len(WORDS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for *cell, members in zip(*(batch.column(k).to_pylist() for k in range(len(CELL_ID))), batch.column(len(CELL_ID)), strict=True):
+                cid, comp, size, bits = _members(members.values.field)
+                used = np.zeros(len(cid), bool)
+                for i in range(len(cid) - 1):
+                    other = _near(i, comp, bits, size, percent)
+                    used[other] = True
+                    used[i] |= len(other) > 0
+                rows += [(*cell, *map(int, x)) for x in zip(cid[used], comp[used], size[used], *bits[used].view(np.int64).T, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [*CELL_ID, "cid", "comp", "size", *WORDS])
+
+    return run
 
 
 def _cell_links(percent: int):
     def run(cell: pa.Table) -> pa.Table:
         """Links of a cell's candidates, one at most for each pair of components that they join."""
-        cid, comp, bits = _members(cell.column)
+        cid, comp, size, bits = _members(cell.column)
         sets = [np.array(x.values) for x in cell.column("shingles")]
         found = []
         for i in range(len(cid) - 1):
-            for j in _near(i, comp, bits):
+            for j in _near(i, comp, bits, size, percent):
                 if comp[i] == comp[j]:
                     continue
                 at = np.minimum(np.searchsorted(sets[j], sets[i]), len(sets[j]) - 1)
@@ -225,9 +263,10 @@ def _exhausted(placed: DataFrame, nodes: DataFrame, classes: DataFrame, sets: _S
         F.transform(upto(F.col("many")), lambda j: cell(1, own(F.col("few")), j)),
     )
     major = F.transform(upto(F.col("few")), lambda i: cell(1, i, own(F.col("many"))))
-    dealt = split.withColumn("cell", F.explode(F.when(F.col("major"), major).otherwise(minor))).select("node", "cell.*", "cid", "comp").join(classes.select("cid", "b0", "b1"), "cid")
-    cells = dealt.groupBy(*CELL_ID).agg(F.collect_list(F.struct("cid", "comp", "b0", "b1")).alias("members")).where(F.size("members") > 1)
-    used = checkpoint(cells.mapInArrow(_candidates, "node long, kind int, i int, j int, cid long, comp long, b0 long, b1 long"))
+    dealt = split.withColumn("cell", F.explode(F.when(F.col("major"), major).otherwise(minor))).select("node", "cell.*", "cid", "comp").join(classes.select("cid", F.col("n").alias("size"), *WORDS), "cid")
+    traits = ["cid", "comp", "size", *WORDS]
+    cells = dealt.groupBy(*CELL_ID).agg(F.collect_list(F.struct(*traits)).alias("members")).where(F.size("members") > 1)
+    used = checkpoint(cells.mapInArrow(_candidates(percent), "node long, kind int, i int, j int, " + ", ".join(f"{c} long" for c in traits)))
     whole = sets.of(used.select("cid").distinct())
     return checkpoint(used.join(whole, "cid").groupBy(*CELL_ID).applyInArrow(_cell_links(percent), "src long, dst long"))
 
@@ -292,8 +331,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     given = docs.select(own.alias("doc_id"), text_tag(text_col), F.col(text_col).cast("binary").alias("text"))
     rows = checkpoint(given.mapInArrow(_described(width), _DESCRIBED))
     key = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "tag")
-    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.min(key).alias("key"), *[F.any_value(c).alias(c) for c in ("n", "b0", "b1", "tokens")])
-    classes = checkpoint(classes.select("hi", "lo", "least", "key.*", "n", "b0", "b1", "tokens", F.monotonically_increasing_id().alias("cid")))
+    classes = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.min(key).alias("key"), *[F.any_value(c).alias(c) for c in ("n", *WORDS, "tokens")])
+    classes = checkpoint(classes.select("hi", "lo", "least", "key.*", "n", *WORDS, "tokens", F.monotonically_increasing_id().alias("cid")))
     texts = given.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "tag", "text")
     roots = connected_components(links_of(texts, classes, width, percent, recall))
     rooted = classes.select("hi", "lo", "least", "cid").join(roots, F.col("cid") == roots["node"], "left").select("hi", "lo", "least", F.coalesce("component", "cid").alias("root"))
