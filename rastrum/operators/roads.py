@@ -1,4 +1,4 @@
-"""Line networks from masks: thinning, tracing, gap repair. Kernels see one block, branch or pair at a time.
+"""Line networks from masks: thinning, tracing, gap repair. Kernels see one block or pair at a time.
 
 Tables with raster_id hold several rasters, which are never mixed; raster_id leads the columns of the results.
 """
@@ -6,15 +6,17 @@ Tables with raster_id hold several rasters, which are never mixed; raster_id lea
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rastrum.functions.geometry import line_length, to_world_center
 from rastrum.functions.scalar import COST_SCALE
-from rastrum.operators.mask import closing, component_area, endpoints, label, opening, overlap_mean, place, without_junctions
+from rastrum.operators.mask import ID_SHIFT, closing, component_area, label, opening, overlap_mean, place, without_junctions
 from rastrum.operators.spatial import lines_intersecting, neighbours8, radius_pairs, raster_of
 from rastrum.operators.tiling import halo_copies
 from rastrum.session import checkpoint
@@ -42,10 +44,10 @@ def _with_raster(df: DataFrame, schema: str) -> str:
     return "".join(f"{c} {df.schema[c].dataType.simpleString()}, " for c in raster_of(df)) + schema
 
 
-def thin(m: np.ndarray) -> np.ndarray:
-    """Zhang-Suen thinning to lines of one pixel."""
+def thin(m: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """Zhang-Suen thinning to lines of one pixel, or so many rounds of it."""
     m = np.pad(m.astype(np.uint8), 1)
-    while True:
+    while rounds is None or rounds > 0:
         before = m.copy()
         for half in (0, 1):
             n, ne, e, se, s, sw, w, nw = (np.roll(m, d, (0, 1)) for d in ((1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1)))
@@ -54,86 +56,218 @@ def thin(m: np.ndarray) -> np.ndarray:
             turns = sum((a == 0) & (b == 1) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
             ends = (n & e & s, e & s & w) if half == 0 else (n & e & w, n & s & w)
             m = np.where((m == 1) & (count >= 2) & (count <= 6) & (turns == 1) & (ends[0] == 0) & (ends[1] == 0), 0, m).astype(np.uint8)
+        rounds = None if rounds is None else rounds - 1
         if (m == before).all():
-            return m[1:-1, 1:-1]
+            break
+    return m[1:-1, 1:-1]
 
 
-def skeletonize(mask: DataFrame, block: int = 512, halo: int = 64) -> DataFrame:
-    """The mask thinned to one pixel, in blocks. Exact where no part of the mask is thicker than the halo."""
-    return in_blocks(mask, thin, block, halo)
+def _packed(m: np.ndarray) -> bytes:
+    return zlib.compress(np.packbits(m.astype(bool)).tobytes(), 1)
 
 
-def walk(cells: set[tuple[int, int]], start: tuple[int, int], seen: set) -> list[tuple[int, int]]:
-    """From start always to the first neighbour, by rows and then columns, that was not visited, until there is none."""
-    path, here = [start], start
-    seen.add(start)
-    while True:
-        here = next(((here[0] + r, here[1] + c) for r, c in STEPS if (here[0] + r, here[1] + c) in cells and (here[0] + r, here[1] + c) not in seen), None)
-        if here is None:
-            return path
-        seen.add(here)
-        path.append(here)
+def _unpacked(raw: bytes, block: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8), count=block * block).reshape(block, block)
 
 
-LINES = "label long, line int, pts array<struct<row:int,col:int>>"
+def skeletonize(mask: DataFrame, block: int = 512, halo: int = 64) -> DataFrame:
+    """The mask thinned to one pixel, equal to thinning each raster as one image, whatever its thickness.
 
+    The mask is a table of packed blocks. In a pass each block gets a border of halo pixels from its eight neighbours and
+    goes through as many rounds of thinning as the border allows (a round looks two pixels far), so all blocks
+    have gone through the same rounds of the whole image. Only blocks that changed in the last pass, and their
+    neighbours, take part in the next; the passes end when no pixel changes. Repeated cells count once; rows and columns
+    are not null and not negative.
+    """
+    if halo < 2 or halo > block:
+        raise ValueError("the halo is from 2 pixels to a block")
+    of, rounds = raster_of(mask), halo // 2
+    at = [*of, "block_row", "block_col"]
+    schema = _with_raster(mask, "block_row int, block_col int, bits binary, changed boolean")
+    home = lambda v: F.floor(F.col(v) / block).cast("int")
+
+    def made(key, rows: list[tuple[bytes, bool]]) -> pa.Table:
+        columns = [pa.array([k.as_py()] * len(rows), k.type) for k in key]
+        return pa.table([*columns, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.bool_())], [*at, "bits", "changed"])
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        m = np.zeros((block, block), np.uint8)
+        m[table.column("row").to_numpy() % block, table.column("col").to_numpy() % block] = 1
+        return made(key, [(_packed(m), True)])
+
+    def thinned(key: tuple, table: pa.Table) -> pa.Table:
+        whole = np.zeros((block + 2 * halo,) * 2, np.uint8)
+        own = None
+        for dr, dc, bits in zip(*(table.column(c).to_pylist() for c in ("dr", "dc", "bits")), strict=True):
+            part = _unpacked(bits, block)
+            own = part if dr == dc == 0 else own
+            # where the neighbour's pixels begin and end, in it and around this block
+            (a, b, x), (c, d, y) = ((block - halo, block, 0) if v < 0 else (0, halo, halo + block) if v > 0 else (0, block, halo) for v in (dr, dc))
+            whole[x : x + b - a, y : y + d - c] = part[a:b, c:d]
+        if own is None:
+            return made(key, [])
+        out = thin(whole, rounds)[halo : halo + block, halo : halo + block]
+        return made(key, [(_packed(out), bool((out != own).any()))])
+
+    def cells(batches):
+        for b in batches:
+            for i, (row, col, bits) in enumerate(zip(*(b.column(c).to_pylist() for c in ("block_row", "block_col", "bits")), strict=True)):
+                r, c = np.nonzero(_unpacked(bits, block))
+                where = [pa.array([b.column(o)[i].as_py()] * len(r), b.column(o).type) for o in of]
+                yield pa.RecordBatch.from_arrays([*where, pa.array((r + row * block).astype(np.int32)), pa.array((c + col * block).astype(np.int32))], [*of, "row", "col"])
+
+    blocks = checkpoint(mask.select(*of, "row", "col", home("row").alias("block_row"), home("col").alias("block_col")).groupBy(*at).applyInArrow(packed, schema))
+    around = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (-1, 0, 1) for c in (-1, 0, 1)]))
+    moved = lambda df, sign: df.withColumn("o", around).select(*of, (F.col("block_row") + sign * F.col("o.dr")).alias("block_row"), (F.col("block_col") + sign * F.col("o.dc")).alias("block_col"), F.col("o.dr").alias("dr"), F.col("o.dc").alias("dc"), *(["bits"] if "bits" in df.columns else []))
+    while not (open_ := blocks.where("changed")).isEmpty():
+        asked = moved(open_.select(*at), 1).select(*at).distinct()
+        sent = moved(blocks.select(*at, "bits"), -1).join(asked, at, "left_semi")
+        done = sent.groupBy(*at).applyInArrow(thinned, schema)
+        rest = blocks.join(asked, at, "left_anti").withColumn("changed", F.lit(False))
+        blocks = checkpoint(done.unionByName(rest))
+    return blocks.select(*at, "bits").mapInArrow(cells, _with_raster(mask, "row int, col int"))
+
+
+ARC_BLOCK = 1024  # side of the blocks in which chains are followed at once
+
+
+def _followed(of: list[str]):
+    """In a block: for each arc (u, v) how far it leads, to the arc that leaves the block (next_u, next_v) or to the last one."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        u, v, w = (table.column(c).to_numpy() for c in ("u", "v", "w"))
+        n = len(u)
+        order = np.lexsort((v, u))
+        # the arc (v, w) by its place among the sorted ones; -1 where it is in another block, or there is none
+        pairs = np.stack((u[order], v[order]), axis=1).astype(">i8").view("S16").ravel()
+        wanted = np.ascontiguousarray(np.stack((v, w), axis=1).astype(">i8")).view("S16").ravel()
+        at = np.minimum(np.searchsorted(pairs, wanted), n - 1)
+        found = (w >= 0) & (u[order][at] == v) & (v[order][at] == w)
+        nxt = np.where(found, order[at], -1)
+        to, steps = np.arange(n), np.zeros(n, np.int64)
+        jump, hop = np.where(found, nxt, np.arange(n)), found.astype(np.int64)
+        for _ in range(n.bit_length() + 1):
+            steps, to = steps + hop[to], jump[to]
+            hop, jump = hop + hop[jump], jump[jump]
+        last, ring = w[to] < 0, found[to]  # a ring never leaves and never ends
+        columns = {"u": u, "v": v, "steps": np.where(last, steps, steps + 1)}
+        columns |= {"next_u": np.where(last, -1, v[to]), "next_v": np.where(last, -1, w[to]), "last_u": np.where(last, u[to], -1), "last_v": np.where(last, v[to], -1)}
+        kept = int((~ring).sum())
+        return pa.table([*(pa.array([key[0].as_py()] * kept, key[0].type) for _ in of), *(pa.array(c[~ring]) for c in columns.values())], [*of, *columns])
+
+    return run
+
+
+def ranked_arcs(arcs: DataFrame, block: int = ARC_BLOCK) -> DataFrame:
+    """(u, v, last_u, last_v, steps) of arcs (u, v, w), cells by their ids, where w is the cell that follows v, -1 if there is none.
+
+    List ranking: steps is the number of arcs after this one up to the last of its chain. Chains are followed inside
+    blocks first; then the arcs at which chains enter a block double their reach in each round, which takes as many rounds
+    as the logarithm of the blocks on the longest chain. Arcs of rings, which have no last one, are left out.
+    """
+    of = raster_of(arcs)
+    low = (1 << ID_SHIFT) - 1
+    home = [F.floor(F.shiftright("u", ID_SHIFT) / block).cast("int").alias("block_row"), F.floor(F.col("u").bitwiseAND(F.lit(low)) / block).cast("int").alias("block_col")]
+    schema = _with_raster(arcs, "u long, v long, steps long, next_u long, next_v long, last_u long, last_v long")
+    local = checkpoint(arcs.select(*of, "u", "v", "w", *home).groupBy(*of, "block_row", "block_col").applyInArrow(_followed(of), schema))
+    key, ends = [*of, "u", "v"], ["last_u", "last_v"]
+    entered = local.where("next_u >= 0").select(*of, F.col("next_u").alias("u"), F.col("next_v").alias("v")).distinct()
+    reach = checkpoint(local.join(entered, key, "left_semi"))
+    on = lambda df: df.select(*of, F.col("u").alias("next_u"), F.col("v").alias("next_v"), F.col("steps").alias("more"), F.col("next_u").alias("then_u"), F.col("next_v").alias("then_v"), F.col("last_u").alias("end_u"), F.col("last_v").alias("end_v"))
+    step = lambda a, b: a.join(on(b), [*of, "next_u", "next_v"]).select(*key, (F.col("steps") + F.col("more")).alias("steps"), F.col("then_u").alias("next_u"), F.col("then_v").alias("next_v"), F.col("end_u").alias("last_u"), F.col("end_v").alias("last_v"))
+    for _ in range(max(1, reach.count()).bit_length() + 1):
+        open_ = reach.where("next_u >= 0")
+        if open_.isEmpty():
+            break
+        reach = checkpoint(reach.where("next_u < 0").unionByName(step(open_, reach)))
+    done = reach.where("next_u < 0")
+    return local.where("next_u < 0").select(*key, *ends, "steps").unionByName(step(local.where("next_u >= 0"), done).select(*key, *ends, "steps"))
 
-def _as_lines(key: tuple, of: list[str], paths: list[list[tuple[int, int]]]) -> pd.DataFrame:
-    return pd.DataFrame({o: [key[0]] * len(paths) for o in of} | {"label": [key[-1]] * len(paths), "line": range(len(paths)), "pts": pd.Series([[{"row": r, "col": c} for r, c in p] for p in paths], dtype=object)})
 
+def _cell_id(row: str, col: str) -> Column:
+    return F.shiftleft(F.col(row).cast("long"), ID_SHIFT) + F.col(col).cast("long")
 
-def trace_paths(skeleton: DataFrame, min_pixels: int = 6) -> DataFrame:
-    """(label, line, pts): paths from end to end of a skeleton whose junctions are cleared, of min_pixels or more.
 
-    Cleared of junctions a skeleton falls into branches, so a group is one branch. Endpoints are visited by
-    rows; what one walk has visited no other visits again; rings without an end are lost.
+def traced_pixels(skeleton: DataFrame, rings: bool = False, block: int = ARC_BLOCK) -> DataFrame:
+    """(start, rank, id, n): the cells of each path of a skeleton whose junctions are cleared, numbered from its start.
+
+    Cleared of junctions, a skeleton falls into paths and rings. A path starts at the smaller of its ends (by rows, then
+    columns); n is its number of cells. With rings, a ring starts at its smallest cell and goes on with the smaller of that
+    one's neighbours; without, rings are lost. A line of any length is numbered by as many tasks as it spans blocks.
     """
-    simple = without_junctions(skeleton)
-    ends = endpoints(skeleton).withColumn("is_end", F.lit(True))
     of = raster_of(skeleton)
-    cells = label(simple).join(ends, place(skeleton), "left")
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        held = set(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))
-        seen: set = set()
-        starts = sorted(zip(*(pdf.loc[pdf["is_end"] == True, c].tolist() for c in ("row", "col")), strict=True))  # noqa: E712
-        paths = [walk(held, s, seen) for s in starts if s not in seen]
-        return _as_lines(key, of, [p for p in paths if len(p) >= min_pixels])
+    simple = checkpoint(without_junctions(skeleton))
+    links = checkpoint(neighbours8(simple).select(*of, _cell_id("row", "col").alias("u"), _cell_id("n_row", "n_col").alias("v")))
+    cells = simple.select(*of, _cell_id("row", "col").alias("u"))
+    after = links.select(*of, F.col("u").alias("v"), F.col("v").alias("w"))
+    arcs = checkpoint(links.join(after, [*of, "v"]).groupBy(*of, "u", "v").agg(F.max(F.when(F.col("w") != F.col("u"), F.col("w"))).alias("w")).select(*of, "u", "v", F.coalesce("w", F.lit(-1)).alias("w")))
+    ranked = checkpoint(ranked_arcs(arcs, block))
+    reached = ranked.groupBy(*of, "u").agg(F.min(F.struct(F.col("last_v").alias("end"), (F.col("steps") + 1).alias("far"))).alias("a"), F.max(F.struct(F.col("last_v").alias("end"), (F.col("steps") + 1).alias("far"))).alias("b"))
+    inner = F.col("a.end") != F.col("b.end")  # else the cell is an end itself
+    first = F.least("u", "a.end")
+    n = F.when(inner, F.col("a.far") + F.col("b.far") + 1).otherwise(F.col("a.far") + 1)
+    rank = F.when(inner, F.col("a.far")).otherwise(F.when(F.col("u") == first, 0).otherwise(F.col("a.far")))
+    start = F.when(inner, F.col("a.end")).otherwise(first)
+    paths = reached.select(*of, start.alias("start"), rank.cast("long").alias("rank"), F.col("u").alias("id"), n.cast("long").alias("n"))
+    lone = cells.join(links.select(*of, "u"), [*of, "u"], "left_anti")
+    paths = paths.unionByName(lone.select(*of, F.col("u").alias("start"), F.lit(0).cast("long").alias("rank"), F.col("u").alias("id"), F.lit(1).cast("long").alias("n")))
+    if not rings:
+        return paths
+    on_ring = checkpoint(arcs.join(ranked.select(*of, "u"), [*of, "u"], "left_anti"))
+    low = (1 << ID_SHIFT) - 1
+    named = label(on_ring.select(*of, F.shiftright("u", ID_SHIFT).cast("int").alias("row"), F.col("u").bitwiseAND(F.lit(low)).cast("int").alias("col")).distinct())
+    named = checkpoint(named.select(*of, _cell_id("row", "col").alias("u"), F.col("label").alias("start")))
+    cut = on_ring.join(named, [*of, "u"])
+    second = cut.where(F.col("u") == F.col("start")).groupBy(*of, "start").agg(F.min("v").alias("second"))
+    # cut open at the start, the chain that comes back by way of the second cell counts the steps from the start
+    opened = cut.select(*of, "u", "v", F.when(F.col("v") == F.col("start"), -1).otherwise(F.col("w")).alias("w"))
+    back = ranked_arcs(opened, block).join(named, [*of, "u"]).join(second, [*of, "start"]).where("last_u = second and u <> start")
+    sizes = named.groupBy(*of, "start").agg(F.count("*").alias("n"))
+    turned = back.select(*of, "start", (F.col("steps") + 1).alias("rank"), F.col("u").alias("id"))
+    turned = turned.unionByName(named.where(F.col("u") == F.col("start")).select(*of, "start", F.lit(0).cast("long").alias("rank"), F.col("u").alias("id")))
+    return paths.withColumn("ring", F.lit(False)).unionByName(turned.join(sizes, [*of, "start"]).select(*of, "start", "rank", "id", "n").withColumn("ring", F.lit(True)))
+
+
+def _points(cells: Column) -> Column:
+    """Structs (rank, id) as (row, col) in the order of their ranks."""
+    return F.transform(F.array_sort(cells), lambda c: F.struct(F.shiftright(c["id"], ID_SHIFT).cast("int").alias("row"), c["id"].bitwiseAND(F.lit((1 << ID_SHIFT) - 1)).cast("int").alias("col")))
+
+
+def trace_paths(skeleton: DataFrame, min_pixels: int = 6, block: int = ARC_BLOCK) -> DataFrame:
+    """(label, line, pts): paths from end to end of a skeleton whose junctions are cleared, of min_pixels or more.
 
-    return cells.groupBy(*of, "label").applyInPandas(run, _with_raster(skeleton, LINES))
+    label is the smallest cell id of the path; line is 0, as a cleared path has one walk. Paths start at the smaller end, by
+    rows; rings without an end are lost. Cells are numbered by traced_pixels; only the row of a path holds it whole.
+    """
+    of = raster_of(skeleton)
+    lines = traced_pixels(skeleton, block=block).where(F.col("n") >= min_pixels).groupBy(*of, "start")
+    lines = lines.agg(F.min("id").alias("label"), F.collect_list(F.struct("rank", "id")).alias("cells"))
+    return lines.select(*of, "label", F.lit(0).alias("line"), _points(F.col("cells")).alias("pts"))
 
 
-def branches(skeleton: DataFrame) -> DataFrame:
+def branches(skeleton: DataFrame, block: int = ARC_BLOCK) -> DataFrame:
     """(label, line, pts): every branch between junctions or ends, rings included, of two pixels or more.
 
-    A branch takes the junction pixel next to each of its ends along, so branches meet there.
+    A branch takes the junction pixel next to each of its ends along, so branches meet there; a ring ends where it
+    starts. label is the smallest cell id of the branch without these; line is 0.
     """
-    simple, of, at = without_junctions(skeleton), raster_of(skeleton), place(skeleton)
+    of, at = raster_of(skeleton), place(skeleton)
+    simple = without_junctions(skeleton)
     junctions = skeleton.join(simple, at, "left_anti").select(*of, F.col("row").alias("n_row"), F.col("col").alias("n_col"))
-    near = neighbours8(skeleton).join(junctions, [*of, "n_row", "n_col"]).groupBy(*at).agg(F.array_sort(F.collect_set(F.struct(F.col("n_row").alias("row"), F.col("n_col").alias("col")))).alias("near"))
-    cells = label(simple).join(near, at, "left")
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        at = list(zip(pdf["row"].tolist(), pdf["col"].tolist(), strict=True))
-        held, beside = set(at), {p: [(q["row"], q["col"]) for q in n] if n is not None else [] for p, n in zip(at, pdf["near"], strict=True)}
-        degree = {p: sum((p[0] + r, p[1] + c) in held for r, c in STEPS) for p in at}
-        seen: set = set()
-        paths = []
-        for s in sorted(at, key=lambda p: (degree[p] > 1, p)):
-            if s in seen:
-                continue
-            p = walk(held, s, seen)
-            ring = len(p) > 2 and degree[s] > 1 and max(abs(p[-1][0] - s[0]), abs(p[-1][1] - s[1])) == 1
-            if ring:
-                p.append(s)
-            else:
-                head = [q for q in beside[p[0]][:1]]
-                tail = [q for q in beside[p[-1]] if len(p) > 1 or q not in head][:1]
-                p = head + p + tail
-            paths.append(p)
-        return _as_lines(key, of, [p for p in paths if len(p) >= 2])
-
-    return cells.groupBy(*of, "label").applyInPandas(run, _with_raster(skeleton, LINES))
+    near = neighbours8(skeleton).join(junctions, [*of, "n_row", "n_col"]).groupBy(*at).agg(F.array_sort(F.collect_set(_cell_id("n_row", "n_col"))).alias("near"))
+    near = near.select(*of, _cell_id("row", "col").alias("id"), "near")
+    pixels = checkpoint(traced_pixels(skeleton, True, block))
+    ends = pixels.where("not ring and (rank = 0 or rank = n - 1)").join(near, [*of, "id"]).groupBy(*of, "start")
+    ends = ends.agg(F.max(F.when(F.col("rank") == 0, F.col("near"))).alias("before"), F.max(F.when(F.col("rank") == F.col("n") - 1, F.col("near"))).alias("behind"))
+    lines = pixels.groupBy(*of, "start").agg(F.min("id").alias("label"), F.any_value("ring").alias("ring"), F.any_value("n").alias("n"), F.collect_list(F.struct("rank", "id")).alias("cells"))
+    lines = lines.join(ends, [*of, "start"], "left")
+    none = F.array().cast("array<bigint>")
+    head = F.slice(F.coalesce("before", none), 1, 1)
+    tail = F.slice(F.filter(F.coalesce("behind", none), lambda q: (F.col("n") > 1) | ~F.array_contains(head, q)), 1, 1)
+    ids = lambda c, first: F.transform(c, lambda q: F.struct(F.lit(first).cast("long").alias("rank"), q.alias("id")))
+    closing_ = F.when(F.col("ring"), F.array(F.col("start"))).otherwise(tail)
+    cells = F.concat(ids(F.when(F.col("ring"), none).otherwise(head), -1), F.col("cells"), F.transform(closing_, lambda q: F.struct(F.col("n").alias("rank"), q.alias("id"))))
+    return lines.select(*of, "label", F.lit(0).alias("line"), _points(cells).alias("pts")).where(F.size("pts") >= 2)
 
 
 def gap_pairs(ends: DataFrame, max_gap: float) -> DataFrame:
