@@ -11,7 +11,8 @@ In each node, every class is first compared with two of it, the smallest and the
 pairs, which settles nodes of up to three classes and groups around one text. Of the other nodes, those whose
 members outside the largest component found so far are few are compared exhaustively, in cells of bounded size
 and across components only; larger ones branch, as long as that lowers the number of comparisons. Where it does not,
-the members are much alike, and the node is compared exhaustively too. Candidates agree in the low four bits of most
+the members are much alike, and the node is compared exhaustively too. Two classes that share several such nodes are
+compared in the first of them. Candidates agree in the low four bits of most
 tokens, a filter that loses a pair with a probability below LOST; each link is confirmed on the whole sets.
 Links of a cell are a spanning forest, never all pairs.
 """
@@ -34,13 +35,14 @@ from rastrum.session import checkpoint
 POSITIONS, BRANCHES = 96, 2
 SEED = 12
 BLOCK = 100_000  # hashes whose tokens are made at once
-FEW = 1024  # members outside the largest component with which a node is compared exhaustively at once
-CELL = 512  # members of each side of a cell
+FEW = 2048  # members outside the largest component with which a node is compared exhaustively at once
+CELL = 1024  # members of each side of a cell
 LOST = 3e-8  # the probability that the filter by the low bits of tokens loses a pair at the least similarity
 WORDS = tuple(f"b{i}" for i in range(POSITIONS * 4 // 64))  # columns of those bits
-LIKELY_SMALL = 200_000  # classes whose names, some 24 bytes each, are sent to all tasks
+SMALL = 200_000  # rows of some 24 bytes that are sent to all tasks; more are dealt by their keys
 NULL_ID = -(1 << 63)
 CELL_ID = ("node", "kind", "i", "j")
+TRAITS = ("cid", "comp", "size", *WORDS, "nodes")
 
 
 def expected_miss(least: float) -> float:
@@ -160,6 +162,11 @@ def _shingles(width: int):
     return run
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, of a few longs a row and with its lineage cut, to be sent to all tasks if it has SMALL rows at most."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 class _Sets:
     """The whole sets of the classes asked for, each made once."""
 
@@ -167,16 +174,15 @@ class _Sets:
         self.rows, self.classes, self.width, self.made = rows, classes, width, None
 
     def of(self, cids: DataFrame) -> DataFrame:
-        """(cid, shingles) of at least the classes in cids, which has distinct ones."""
+        """(cid, shingles) of the classes in cids, which has distinct ones."""
+        cids = checkpoint(cids)
         new = cids if self.made is None else cids.join(self.made.select("cid"), "cid", "left_anti")
-        named = checkpoint(self.classes.join(new, "cid", "left_semi").select("cid", "id", "tag"))
-        if named.count() <= LIKELY_SMALL:  # else the texts are dealt by their names
-            named = F.broadcast(named)
-        texts = self.rows.join(named, ["id", "tag"]).select("cid", "text")
+        named = checkpoint(self.classes.join(_small(checkpoint(new)), "cid", "left_semi").select("cid", "id", "tag"))
+        texts = self.rows.join(_small(named), ["id", "tag"]).select("cid", "text")
         # rows with equal ids and texts give the same set again
         sets = checkpoint(texts.mapInArrow(_shingles(self.width), "cid long, shingles array<bigint>").groupBy("cid").agg(F.any_value("shingles").alias("shingles")))
         self.made = sets if self.made is None else self.made.union(sets)
-        return self.made
+        return self.made.join(_small(cids), "cid", "left_semi")
 
 
 def _alike(a: Column, b: Column, percent: int) -> Column:
@@ -189,40 +195,55 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: _Sets, percent: int)
     bits = lambda e: classes.select(F.col("cid").alias(e), *[F.col(w).alias(f"{w}_{e}") for w in WORDS], F.col("n").alias(f"n_{e}"))
     sizes = 100 * F.least("n_src", "n_dst") >= percent * F.greatest("n_src", "n_dst")
     alike = _differ("src", "dst") <= allowed(percent / 100)
-    near = checkpoint(pairs.join(bits("src"), "src").join(bits("dst"), "dst").where(sizes & alike).select("src", "dst"))
+    near = checkpoint(_small(pairs).join(bits("src"), "src").join(bits("dst"), "dst").where(sizes & alike).select("src", "dst"))
     whole = sets.of(near.select(F.explode(F.array("src", "dst")).alias("cid")).distinct())
     a, b = (whole.select(F.col("cid").alias(e), F.col("shingles").alias(f"set_{e}")) for e in ("src", "dst"))
     return checkpoint(near.join(a, "src").join(b, "dst").where(_alike(F.col("set_src"), F.col("set_dst"), percent)).select("src", "dst"))
 
 
-def _near(i: int, comp: np.ndarray, bits: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """The members after member i of a cell in other components whose sizes and bits are near."""
-    other = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-    other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
-    return other[_differing(bits[other], bits[i]) <= allowed(percent / 100)]
+class _Members:
+    """The members of a cell: class, component, size, low bits, and the nodes of this level that a class is compared in, ascending."""
 
+    def __init__(self, column, percent: int):
+        self.cid, comp, self.size, *bits = (np.asarray(column(c)).astype(np.int64) for c in TRAITS[:-1])
+        self.comp, self.bits, self.percent = comp.copy(), np.stack(bits, axis=1).view(np.uint64), percent
+        lists = [np.asarray(x.values) for x in column("nodes")]
+        self.there = np.arange(max(map(len, lists), default=1))[None, :] < np.array([len(x) for x in lists])[:, None]
+        self.nodes = np.zeros(self.there.shape, np.int64)
+        self.nodes[self.there] = np.concatenate(lists) if lists else []
 
-def _members(m) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    cid, comp, size, *bits = (np.asarray(m(c)).astype(np.int64) for c in ("cid", "comp", "size", *WORDS))
-    return cid, comp.copy(), size, np.stack(bits, axis=1).view(np.uint64)
+    def near(self, i: int, node: int) -> np.ndarray:
+        """The members after member i in other components whose sizes and bits are near and that share no earlier node."""
+        other = i + 1 + np.flatnonzero(self.comp[i + 1 :] != self.comp[i])
+        other = other[100 * np.minimum(self.size[other], self.size[i]) >= self.percent * np.maximum(self.size[other], self.size[i])]
+        other = other[_differing(self.bits[other], self.bits[i]) <= allowed(self.percent / 100)]
+        earlier = self.nodes[i][self.there[i] & (self.nodes[i] < node)]
+        if len(other) and len(earlier):
+            shared = (self.nodes[other][:, :, None] == earlier) & self.there[other][:, :, None]
+            other = other[~shared.any(axis=(1, 2))]
+        return other
 
 
 def _candidates(percent: int):
     """The members of each cell that have a candidate in it."""
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * (3 + len(WORDS)))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * (len(TRAITS) - 1), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            out = [[] for _ in kinds]
             for *cell, members in zip(*(batch.column(k).to_pylist() for k in range(len(CELL_ID))), batch.column(len(CELL_ID)), strict=True):
-                cid, comp, size, bits = _members(members.values.field)
-                used = np.zeros(len(cid), bool)
-                for i in range(len(cid) - 1):
-                    other = _near(i, comp, bits, size, percent)
+                m = _Members(members.values.field, percent)
+                used = np.zeros(len(m.cid), bool)
+                for i in range(len(used) - 1):
+                    other = m.near(i, cell[0])
                     used[other] = True
                     used[i] |= len(other) > 0
-                rows += [(*cell, *map(int, x)) for x in zip(cid[used], comp[used], size[used], *bits[used].view(np.int64).T, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [*CELL_ID, "cid", "comp", "size", *WORDS])
+                kept = pa.array(np.flatnonzero(used))
+                for k, v in enumerate(cell):
+                    out[k] += [v] * len(kept)
+                for k, c in enumerate(TRAITS):
+                    out[len(cell) + k] += members.values.field(c).take(kept).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], [*CELL_ID, *TRAITS])
 
     return run
 
@@ -230,18 +251,19 @@ def _candidates(percent: int):
 def _cell_links(percent: int):
     def run(cell: pa.Table) -> pa.Table:
         """Links of a cell's candidates, one at most for each pair of components that they join."""
-        cid, comp, size, bits = _members(cell.column)
+        m = _Members(lambda c: cell.column(c).combine_chunks(), percent)
+        node = cell.column("node")[0].as_py()
         sets = [np.array(x.values) for x in cell.column("shingles")]
         found = []
-        for i in range(len(cid) - 1):
-            for j in _near(i, comp, bits, size, percent):
-                if comp[i] == comp[j]:
+        for i in range(len(sets) - 1):
+            for j in m.near(i, node):
+                if m.comp[i] == m.comp[j]:
                     continue
                 at = np.minimum(np.searchsorted(sets[j], sets[i]), len(sets[j]) - 1)
                 both = int((sets[j][at] == sets[i]).sum())
                 if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    found.append((int(cid[i]), int(cid[j])))
-                    comp[comp == comp[j]] = comp[i]
+                    found.append((int(m.cid[i]), int(m.cid[j])))
+                    m.comp[m.comp == m.comp[j]] = m.comp[i]
         return pa.table({e: pa.array([f[k] for f in found], pa.int64()) for k, e in enumerate(("src", "dst"))})
 
     return run
@@ -254,7 +276,10 @@ def _exhausted(placed: DataFrame, nodes: DataFrame, classes: DataFrame, sets: _S
     a candidate, and only their sets are sent to it.
     """
     chunks = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
-    split = placed.join(nodes, "node").select("node", "cid", "comp", (F.col("comp") == F.col("main")).alias("major"), chunks(F.col("few")).alias("few"), chunks(F.col("n") - F.col("few")).alias("many"))
+    here = checkpoint(placed.join(nodes, "node").select("node", "cid", "comp", "main", "few", "n"))
+    if here.isEmpty():
+        return here.select(F.col("cid").alias("src"), F.col("cid").alias("dst"))
+    split = here.select("node", "cid", "comp", (F.col("comp") == F.col("main")).alias("major"), chunks(F.col("few")).alias("few"), chunks(F.col("n") - F.col("few")).alias("many"))
     own = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -263,10 +288,11 @@ def _exhausted(placed: DataFrame, nodes: DataFrame, classes: DataFrame, sets: _S
         F.transform(upto(F.col("many")), lambda j: cell(1, own(F.col("few")), j)),
     )
     major = F.transform(upto(F.col("few")), lambda i: cell(1, i, own(F.col("many"))))
-    dealt = split.withColumn("cell", F.explode(F.when(F.col("major"), major).otherwise(minor))).select("node", "cell.*", "cid", "comp").join(classes.select("cid", F.col("n").alias("size"), *WORDS), "cid")
-    traits = ["cid", "comp", "size", *WORDS]
-    cells = dealt.groupBy(*CELL_ID).agg(F.collect_list(F.struct(*traits)).alias("members")).where(F.size("members") > 1)
-    used = checkpoint(cells.mapInArrow(_candidates(percent), "node long, kind int, i int, j int, " + ", ".join(f"{c} long" for c in traits)))
+    own_nodes = here.groupBy("cid").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    known = classes.select("cid", F.col("n").alias("size"), *WORDS).join(own_nodes, "cid")
+    dealt = split.withColumn("cell", F.explode(F.when(F.col("major"), major).otherwise(minor))).select("node", "cell.*", "cid", "comp").join(known, "cid")
+    cells = dealt.groupBy(*CELL_ID).agg(F.collect_list(F.struct(*TRAITS)).alias("members")).where(F.size("members") > 1)
+    used = checkpoint(cells.mapInArrow(_candidates(percent), "node long, kind int, i int, j int, " + ", ".join(f"{c} {'array<bigint>' if c == 'nodes' else 'long'}" for c in TRAITS)))
     whole = sets.of(used.select("cid").distinct())
     return checkpoint(used.join(whole, "cid").groupBy(*CELL_ID).applyInArrow(_cell_links(percent), "src long, dst long"))
 
@@ -309,7 +335,8 @@ def links_of(rows: DataFrame, classes: DataFrame, width: int, percent: int, reca
         large = open_.where(F.col("few") > FEW)
         if large.isEmpty():
             return found.union(_exhausted(placed, open_, classes, sets, percent))
-        below = placed.join(large.select("node"), "node").join(classes.select("cid", "tokens"), "cid").select(F.col("node").alias("parent"), "cid", F.explode(_children(F.col("node"))).alias("node"))
+        hot = checkpoint(placed.join(large.select("node"), "node").select("node", "cid"))
+        below = _small(hot).join(classes.select("cid", "tokens"), "cid").select(F.col("node").alias("parent"), "cid", F.explode(_children(F.col("node"))).alias("node"))
         below = checkpoint(below)
         work = below.groupBy("parent", "node").agg(F.count("*").alias("c")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("work"))
         pays = checkpoint(large.join(work, large["node"] == work["parent"]).where(F.col("work") < F.col("n") * F.col("n")).select("parent"))

@@ -63,7 +63,7 @@ def near_copies(seed=3):
     return rows
 
 
-@pytest.mark.parametrize(("few", "cell"), [(1024, 512), (6, 8), (0, 4)])
+@pytest.mark.parametrize(("few", "cell"), [(2048, 1024), (6, 8), (0, 4)])
 def test_against_all_pairs(spark, monkeypatch, few, cell):
     """With nodes compared at once, and with nodes that branch to any depth and cells of a few members."""
     monkeypatch.setattr(chosenpath, "FEW", few)
