@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rastrum.functions.geometry import in_ring, ios, iou
+from rastrum.functions.geometry import in_ring, ios, iou, segments_touch
+from rastrum.session import checkpoint
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -61,33 +62,81 @@ def neighbours8(cells: DataFrame) -> DataFrame:
     return sent.join(cells.select(*of, F.col("row").alias("n_row"), F.col("col").alias("n_col")), [*of, "n_row", "n_col"]).select(*of, "row", "col", "n_row", "n_col")
 
 
-def dissolve(aoi: DataFrame) -> Column | None:
-    """All rings of the areas of interest as one literal array; None if there are none.
-
-    Areas of interest are drawn by hand: more than MAX_RINGS rings are refused, so what goes into the plan
-    has a bound. "In any part" is enough for the predicates here; no polygon is unioned.
-    """
-    rings = _rings(aoi)
-    if not rings:
-        return None
-    point = lambda p: F.struct(F.lit(float(p["x"])).alias("x"), F.lit(float(p["y"])).alias("y"))
-    return F.array(*[F.array(*[point(p) for p in ring]) for ring in rings])
+def dissolve(aoi: DataFrame) -> DataFrame:
+    """(ring, pts): the rings of all areas of interest as one table. "In any part" is enough for the predicates here; no polygon is unioned."""
+    return checkpoint(aoi.select(F.explode("rings").alias("pts")).where(F.size("pts") > 0).withColumn("ring", F.monotonically_increasing_id())).select("ring", "pts")
 
 
-MAX_RINGS = 1000
+MAX_RINGS = 1000  # rings that are sent to all tasks, some 100 bytes a point; more are joined by cells
 
 
-def _rings(aoi: DataFrame) -> list:
+def _rings(aoi: DataFrame) -> list | None:
+    """The rings, or None if there are more than MAX_RINGS."""
     rings = [r[0] for r in aoi.select(F.explode("rings")).limit(MAX_RINGS + 1).collect()]
-    if len(rings) > MAX_RINGS:
-        raise ValueError(f"more than {MAX_RINGS} rings")
-    return rings
+    return rings if len(rings) <= MAX_RINGS else None
+
+
+def _sides(rings: DataFrame) -> DataFrame:
+    """(ring, px, py, qx, qy) of the sides of (ring, pts), the last one back to the first point."""
+    n = F.size("pts")
+    side = F.transform("pts", lambda p, i: F.struct(p["x"].alias("px"), p["y"].alias("py"), F.get("pts", (i + 1) % n)["x"].alias("qx"), F.get("pts", (i + 1) % n)["y"].alias("qy")))
+    return rings.select("ring", n.alias("n"), F.explode(side).alias("s")).select("ring", "n", "s.*")
+
+
+def _in_cells(segments: DataFrame, cell: float) -> DataFrame:
+    """Segments (px, py, qx, qy) in each grid cell that they pass (cx, cy), by bands of rows and the columns that they cross there."""
+    at = lambda v: F.floor(v / cell).cast("long")
+    dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+    bands = segments.withColumn("cy", F.explode(F.sequence(at(F.least("py", "qy") - cell * 1e-6), at(F.greatest("py", "qy") + cell * 1e-6))))
+    share = lambda y, level: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((y - F.col("py")) / F.nullif(dy, F.lit(0.0)), F.lit(level))))
+    x = lambda y, level: F.col("px") + share(y, level) * dx
+    ends = [x(F.col("cy") * cell - cell * 1e-6, 0.0), x((F.col("cy") + 1) * cell + cell * 1e-6, 1.0)]
+    return bands.withColumn("cx", F.explode(F.sequence(at(F.least(*ends) - cell * 1e-6), at(F.greatest(*ends) + cell * 1e-6))))
+
+
+def _cell_side(sides: DataFrame) -> float:
+    """A cell of which there are about as many in the rings' extent as they have sides, and in all rings' boxes 16 times as many at most."""
+    rings = sides.groupBy("ring").agg(*[f(c).alias(f"{n}{a}") for n, f in (("lo", lambda c: F.min(c)), ("hi", lambda c: F.max(c))) for a, c in (("x", F.least("px", "qx") if n == "lo" else F.greatest("px", "qx")), ("y", F.least("py", "qy") if n == "lo" else F.greatest("py", "qy")))], F.count("*").alias("n"))
+    found = rings.agg(F.sum((F.col("hix") - F.col("lox")) * (F.col("hiy") - F.col("loy"))).alias("boxes"), F.sum("n").alias("n"), ((F.max("hix") - F.min("lox")) * (F.max("hiy") - F.min("loy"))).alias("extent"), F.max(F.greatest(F.col("hix") - F.col("lox"), F.col("hiy") - F.col("loy"))).alias("widest")).first()
+    n = max(1, found["n"] or 0)
+    return max((found["extent"] or 0.0) / n, (found["boxes"] or 0.0) / (16 * n)) ** 0.5 or found["widest"] or 1.0
+
+
+def _inside_by_cells(places: DataFrame, rings: DataFrame) -> DataFrame:
+    """The distinct (x, y) of places that are strictly inside a ring of (ring, pts), by an index of cells.
+
+    A place meets the rings whose boxes reach its cell, and of these the sides that reach its band of cells: only
+    they can cross the ray from it or hold it, so counting them gives what counting all sides would.
+    """
+    sides = checkpoint(_sides(rings).where("n >= 3"))
+    cell = _cell_side(sides)
+    at = lambda v: F.floor(v / cell).cast("long")
+    boxes = sides.groupBy("ring").agg(F.min(F.least("px", "qx")).alias("x1"), F.min(F.least("py", "qy")).alias("y1"), F.max(F.greatest("px", "qx")).alias("x2"), F.max(F.greatest("py", "qy")).alias("y2"))
+    cells = boxes.withColumn("cy", F.explode(F.sequence(at(F.col("y1")), at(F.col("y2"))))).withColumn("cx", F.explode(F.sequence(at(F.col("x1")), at(F.col("x2"))))).select("ring", "cx", "cy")
+    bands = sides.withColumn("cy", F.explode(F.sequence(at(F.least("py", "qy")), at(F.greatest("py", "qy"))))).select("ring", "cy", "px", "py", "qx", "qy")
+    given = places.where("x is not null and y is not null").select("x", "y").distinct().select("x", "y", at(F.col("x")).alias("cx"), at(F.col("y")).alias("cy"))
+    met = given.join(cells, ["cx", "cy"]).join(bands, ["ring", "cy"])
+    dx, dy = F.col("qx") - F.col("px"), F.col("qy") - F.col("py")
+    crosses = ((F.col("py") > F.col("y")) != (F.col("qy") > F.col("y"))) & (F.col("x") < F.col("px") + dx * (F.col("y") - F.col("py")) / F.nullif(dy, F.lit(0.0)))
+    on = (dx * (F.col("y") - F.col("py")) - dy * (F.col("x") - F.col("px")) == 0) & F.col("x").between(F.least("px", "qx"), F.greatest("px", "qx")) & F.col("y").between(F.least("py", "qy"), F.greatest("py", "qy"))
+    told = met.groupBy("x", "y", "ring").agg(F.count_if(crosses).alias("n"), F.max(on).alias("on"))
+    return told.where((F.col("n") % 2 == 1) & ~F.col("on")).select("x", "y").distinct()
 
 
 def points_within(points: DataFrame, aoi: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Points strictly inside the areas of interest; an empty AOI keeps all."""
-    rings = dissolve(aoi)
-    return points if rings is None else points.where(F.exists(rings, lambda r: in_ring(F.col(x), F.col(y), r)))
+    """Points strictly inside the areas of interest; an empty AOI keeps all. Points with a null coordinate are in none.
+
+    Up to MAX_RINGS rings go to all tasks as literals; more, in any number, are joined by an index of cells.
+    """
+    rings = _rings(aoi)
+    if rings is None:
+        inside = _inside_by_cells(points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), dissolve(aoi)).select(F.col("x").alias("_x"), F.col("y").alias("_y"))
+        return points.join(inside, (F.col(x).cast("double") == inside["_x"]) & (F.col(y).cast("double") == inside["_y"]), "left_semi")
+    if not rings:
+        return points
+    point = lambda p: F.struct(F.lit(float(p["x"])).alias("x"), F.lit(float(p["y"])).alias("y"))
+    literal = F.array(*[F.array(*[point(p) for p in ring]) for ring in rings])
+    return points.where(F.exists(literal, lambda r: in_ring(F.col(x), F.col(y), r)))
 
 
 def _inside(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
@@ -133,11 +182,31 @@ def _touching(rings: list[np.ndarray], points: str):
     return run
 
 
+def _touching_by_cells(lines: DataFrame, rings: DataFrame, points: str) -> DataFrame:
+    """The distinct lines (column points) that have a point in common with a ring of (ring, pts): legs meet sides in the cells that both pass."""
+    sides = checkpoint(_sides(rings))
+    cell = _cell_side(sides)
+    own = lines.select(F.col(points).alias("line")).distinct()
+    p = lambda i: F.get("line", i)
+    legs = own.where(F.size("line") >= 2).withColumn("s", F.explode(F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: F.struct(p(i - 1)["x"].alias("px"), p(i - 1)["y"].alias("py"), p(i)["x"].alias("qx"), p(i)["y"].alias("qy")))))
+    legs = _in_cells(legs.select("line", "s.*"), cell)
+    walls = _in_cells(sides.select("px", "py", "qx", "qy"), cell).select("cx", "cy", F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("r"), F.struct(F.col("qx").alias("x"), F.col("qy").alias("y")).alias("t"))
+    legs = legs.select("line", "cx", "cy", F.struct(F.col("px").alias("x"), F.col("py").alias("y")).alias("p"), F.struct(F.col("qx").alias("x"), F.col("qy").alias("y")).alias("q"))
+    cut = legs.join(walls, ["cx", "cy"]).where(segments_touch(F.col("p"), F.col("q"), F.col("r"), F.col("t"))).select("line")
+    vertices = own.select("line", F.explode("line").alias("p")).select("line", F.col("p.x").cast("double").alias("x"), F.col("p.y").cast("double").alias("y"))
+    within = vertices.join(_inside_by_cells(vertices, rings), ["x", "y"]).select("line")
+    return cut.union(within).distinct()
+
+
 def lines_intersecting(lines: DataFrame, aoi: DataFrame, points: str = "pts") -> DataFrame:
     """Lines that have a point in common with the areas of interest, boundaries included; an empty AOI keeps none.
 
-    A kernel on batches of lines tests the points and legs that a ring's box reaches against its sides, with
-    the arithmetic of line_touches_ring.
+    Up to MAX_RINGS rings go to all tasks, where a kernel on batches of lines tests the points and legs that a ring's box
+    reaches against its sides, with the arithmetic of line_touches_ring; more, in any number, are joined by cells.
     """
-    rings = [np.array([(p["x"], p["y"]) for p in ring], float) for ring in _rings(aoi) if ring]
+    found = _rings(aoi)
+    if found is None:
+        touched = _touching_by_cells(lines, dissolve(aoi), points)
+        return lines.join(touched, F.col(points) == touched["line"], "left_semi")
+    rings = [np.array([(p["x"], p["y"]) for p in ring], float) for ring in found if ring]
     return lines.mapInArrow(_touching(rings, points), lines.schema) if rings else lines.where(F.lit(False))

@@ -146,8 +146,7 @@ def aoi_intersects(spark, d):
 
 @query(f"with {D.AOI} select count(distinct ring) as rings, count(*) as points from edges")
 def dissolve(spark, d):
-    rings = P.dissolve(D.aoi(spark, d))
-    return spark.range(1).select(F.size(rings).cast("long").alias("rings"), F.aggregate(rings, F.lit(0).cast("long"), lambda s, r: s + F.size(r)).alias("points"))
+    return P.dissolve(D.aoi(spark, d)).agg(F.count("*").alias("rings"), F.sum(F.size("pts")).alias("points"))
 
 
 FLAGSHIP = f"""{D.DET}, conf as (select * from det where score >= 5), good as (select * from conf where score >= case category when 'view' then 100 when 'signup' then 50 when 'purchase' then 20 when 'error' then 200 else 0.01 end), {FOLD}, {MERGED},

@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from rastrum.operators import detect, spatial
 from rastrum.plans import catalog, derived
@@ -108,3 +109,40 @@ def test_lines_of_all_orders_are_tested(spark):
     want = {i for i, pts in lines.items() if any(crossed(pts, ring) for ring in rings)}
     got = [r.line_id for r in catalog.QUERIES["aoi_intersects"](spark, d).collect()]
     assert sorted(got) == sorted(want) and any(i % 16 for i in got)
+
+
+@pytest.mark.parametrize("kind", ["lattice", "random"])
+def test_areas_by_cells_are_areas_by_literals(spark, monkeypatch, kind):
+    """More rings than go to all tasks, against the literals: points on corners and sides, rings of all sizes, of two points, long legs, nulls."""
+    r = random.Random(7)
+    v = (lambda n: float(r.randrange(n))) if kind == "lattice" else (lambda n: r.random() * n)
+    rings = []
+    for k in range(60):
+        x, y, w = v(200), v(200), 3 + v(150 if k % 15 == 0 else 20)
+        rings.append([(x + v(int(w) + 1), y + v(int(w) + 1)) for _ in range(r.choice([2, 3, 4, 7]))])
+    rings += [[(0.0, 0.0), (40.0, 0.0), (40.0, 40.0), (0.0, 40.0)], [(5.0, 5.0)], []]
+    aoi = spark.createDataFrame([(i, [ring, rings[-1 - i]]) for i, ring in enumerate(rings[:20])] + [(99, rings[20:])], "aoi_id long, rings array<array<struct<x:double,y:double>>>")
+    corners = [p for ring in rings for p in ring]
+    pts = [(i, *p, "k") for i, p in enumerate(corners + [((a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for a, b in zip(corners, corners[1:], strict=False)] + [(v(250), v(250)) for _ in range(600)])]
+    pts += [pts[0], pts[70], (9000, None, 1.0, "k"), (9001, 2.0, None, "k")]
+    points = spark.createDataFrame(pts, "id long, x double, y double, ring string").repartition(3)
+    legs = [(i, [(v(260) - 5, v(260) - 5) for _ in range(r.choice([0, 1, 2, 2, 5]))]) for i in range(300)] + [(400 + i, [p, (p[0] - 30, p[1])]) for i, p in enumerate(corners)]
+    legs += [(800, [(-500.0, 3.0), (900.0, 3.0)]), (801, [(7.0, -900.0), (7.0, 900.0)]), legs[5]]
+    lines = spark.createDataFrame(legs, "line_id long, pts array<struct<x:double,y:double>>").repartition(3)
+    want = sorted(x.id for x in spatial.points_within(points, aoi).collect()), sorted(x.line_id for x in spatial.lines_intersecting(lines, aoi).collect())
+    monkeypatch.setattr(spatial, "MAX_RINGS", 5)
+    assert sorted(x.id for x in spatial.points_within(points, aoi).collect()) == want[0] and 50 < len(want[0]) < len(pts) - 50
+    got = spatial.lines_intersecting(lines, aoi)
+    assert got.columns == lines.columns and sorted(x.line_id for x in got.collect()) == want[1]
+    assert spatial.points_within(points.limit(0), aoi).count() == 0 == spatial.lines_intersecting(lines.limit(0), aoi).count()
+
+
+def test_a_hundred_thousand_rings(spark):
+    """Small squares on a lattice, joined by cells; nothing of them goes to the driver but their number and extent."""
+    ids = spark.range(100_000).select((F.col("id") % 400 * 10).cast("double").alias("x"), F.floor(F.col("id") / 400).cast("double").alias("r"))
+    p = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("r") * 10 + dy).alias("y"))
+    aoi = ids.select(F.array(F.array(p(0, 0), p(6, 0), p(6, 6), p(0, 6))).alias("rings"))
+    points = spark.range(200_000).select("id", (F.col("id") % 4000).cast("double").alias("x"), (F.floor(F.col("id") / 4000) * 17 + 3).cast("double").alias("y"))
+    inside = spatial.points_within(points, aoi)
+    want = points.where("x % 10 > 0 and x % 10 < 6 and y % 10 > 0 and y % 10 < 6 and y < 2500")
+    assert inside.count() == want.count() == inside.join(want, "id").count() > 0

@@ -282,3 +282,23 @@ def test_networks_of_two_rasters(spark):
         for f in (R.trace_paths, R.branches):
             got = [[tuple(p) for p in r.pts] for r in f(thin).where(F.col("raster_id") == name).collect()]
             assert sorted(got) == sorted([tuple(p) for p in r.pts] for r in f(alone).collect())
+
+
+@pytest.mark.parametrize("k", [8, 9, 20, 101, 400])
+def test_running_extrema(spark, k):
+    """Large squares against loops, on lines shorter and longer than a window and origins that are not zero, two rasters."""
+    a = RNG.integers(0, 50, (37, 211))
+    lo, hi = k // 2, k - 1 - k // 2
+    rows = [(n, r + 5, c + 3, int(v)) for n, m in (("a", a), ("b", 50 - a)) for (r, c), v in np.ndenumerate(m)]
+    grid = spark.createDataFrame(rows, "raster_id string, row int, col int, v int").repartition(4)
+
+    def around(m, f):
+        m = np.array([[f(r[max(0, c - lo) : c + hi + 1]) for c in range(m.shape[1])] for r in m])
+        return np.array([[f(m[max(0, r - lo) : r + hi + 1, c]) for c in range(m.shape[1])] for r in range(m.shape[0])])
+
+    for made, f in ((M.erode, np.min), (M.dilate, np.max)):
+        want = {(n, r + 5, c + 3): int(v) for n, m in (("a", a), ("b", 50 - a)) for (r, c), v in np.ndenumerate(around(m, f))}
+        assert {(x.raster_id, x.row, x.col): x.v for x in made(grid, k).collect()} == want
+    assert M.erode(grid.limit(0), k).count() == 0
+    with pytest.raises(Exception, match="holes"):
+        M.erode(grid.where("col <> 100"), k).collect()
