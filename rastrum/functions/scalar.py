@@ -80,3 +80,9 @@ def resolve_device(asked: str, cuda: bool = False, mps: bool = False) -> str:
     if name == "gpu":
         return "cuda:0" if cuda else "mps" if mps else "cpu"
     return name
+
+
+def device(asked: Column, cuda: bool = False, mps: bool = False) -> Column:
+    """resolve_device for a column; a null is cpu."""
+    name = F.lower(F.trim(F.coalesce(asked, F.lit(""))))
+    return F.when(name == "", "cpu").when(name == "gpu", "cuda:0" if cuda else "mps" if mps else "cpu").otherwise(name)

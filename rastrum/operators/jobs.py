@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rastrum.functions.scalar import basename, dirname, file_state, private_params
 
@@ -179,6 +179,28 @@ def image_source(has_current: bool, has_older: bool, pulls_current: bool, pulls_
     raise UnavailableError("no image")
 
 
+def step_under_way(job: Column, percent: Column) -> Column:
+    """The step that a job of a kind is at when it has come so far: the first that ends there or later. Null for an unknown kind or more than all."""
+    out = F.lit(None).cast("string")
+    for kind, steps in PROGRESS_BANDS.items():
+        name = F.lit(None).cast("string")
+        for step, end in reversed(steps):
+            name = F.when(percent <= end, step).otherwise(name)
+        out = F.when(job == kind, name).otherwise(out)
+    return out
+
+
+def backend(asked: Column, container: Column, environment_: Column, host: Column) -> Column:
+    """backend_of for a table of requests; null where it is an error. A null flag is not ready."""
+    ready = F.when(container, "docker").when(environment_, "venv").when(host, "local")
+    return F.when(asked.isin("venv", "local"), asked).when((asked == "docker") & container, asked).when(asked == "auto", ready)
+
+
+def image(has_current: Column, has_older: Column, pulls_current: Column, pulls_older: Column, builds: Column) -> Column:
+    """image_source for a table of requests; null where there is none."""
+    return F.when(has_current, "current").when(has_older, "older").when(pulls_current, "current, pulled").when(pulls_older, "older, pulled").when(builds, "current, built")
+
+
 class LocalFiles:
     """The files of the driver's machine, as ensure_file uses them."""
 

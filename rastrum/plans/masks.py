@@ -236,9 +236,12 @@ def mean_iou(spark, d):
 SEARCH = {"threshold": [0.4, 0.5, 0.6], "kernel": [3, 5, 7], "min_size": [250, 450, 750]}
 
 
-@query("select row_number() over (order by i, j, l) - 1 as ordinal, t::double as threshold, k::int as kernel, m::int as min_size from (values (0, 0.4), (1, 0.5), (2, 0.6)) a(i, t), (values (0, 3), (1, 5), (2, 7)) b(j, k), (values (0, 250), (1, 450), (2, 750)) c(l, m)")
+@query(f"""with {D.PROB}, params as (select row_number() over (order by i, j, l) - 1 as ordinal, t::double as threshold, k::int as kernel, m::int as min_size from (values (0, 0.4), (1, 0.5), (2, 0.6)) a(i, t), (values (0, 3), (1, 5), (2, 7)) b(j, k), (values (0, 250), (1, 450), (2, 750)) c(l, m))
+select ordinal, threshold, kernel, min_size, count(*) filter (p > threshold) as pixels from prob, params group by all""")
 def param_cross(spark, d):
-    return X.parameters(spark, **SEARCH)
+    """All combinations of the lists, each with the pixels of the map above its threshold."""
+    both = D.prob(spark, d).crossJoin(F.broadcast(X.parameters(spark, **SEARCH)))  # a fixed list of parameters
+    return both.groupBy("ordinal", "threshold", "kernel", "min_size").agg(F.count_if(F.col("p") > F.col("threshold")).alias("pixels"))
 
 
 SCORES = f"""{D.PROB}, params as (select row_number() over (order by t, s) - 1 as ordinal, t, s from (values (0.4), (0.5), (0.6)) a(t), (values (0.45), (0.55)) b(s)),

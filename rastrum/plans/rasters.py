@@ -221,12 +221,6 @@ def augment_training(spark, d):
     return tiles.select("tile_id", "w", "h", (F.octet_length("pixels") / 4).cast("long").alias("values"))
 
 
-@query("select 'embeddings' as name, 1 as files")
-def scan_model_weights(spark, d):
-    files = spark.read.format("binaryFile").load(f"{d}/embeddings.parquet").select(F.lit("embeddings").alias("name"), "length").where("length > 0")
-    return files.groupBy("name").agg(F.lit(1).alias("files"))
-
-
 @query("select event_id as job_id, json_extract_string(props, '$.k')::int as k from events")
 def scan_job_json(spark, d):
     return D.table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.from_json("props", "k int")["k"].alias("k"))

@@ -1,8 +1,5 @@
 """Queries on jobs: paths, privacy, manifests, integrity, the worker protocol."""
 
-import hashlib
-import itertools
-
 from pyspark.sql import functions as F
 
 from rastrum.functions import scalar as S
@@ -130,20 +127,26 @@ def sink_manifest(spark, d):
     return text.select("job_id", back["parameters"]["tile_size"].alias("tile_size"), back["input_metadata"]["crs"].alias("crs"))
 
 
-@query("select 'detect' as job, unnest(['start', 'tiles', 'merge', 'save', 'done']) as step, unnest([5, 82, 94, 95, 100]) as percent union all select 'road', unnest(['start', 'tiles', 'clean', 'skeleton', 'vectors', 'done']), unnest([5, 55, 92, 94, 99, 100])")
+@query("""select event_id, case when event_id % 2 = 0 then case when k <= 5 then 'start' when k <= 82 then 'tiles' when k <= 94 then 'merge' when k <= 95 then 'save' when k <= 100 then 'done' end
+  else case when k <= 5 then 'start' when k <= 55 then 'tiles' when k <= 92 then 'clean' when k <= 94 then 'skeleton' when k <= 99 then 'vectors' when k <= 100 then 'done' end end as step from (select event_id, event_id % 103 as k from events)""")
 def progress_bands(spark, d):
-    return spark.createDataFrame([(j, s, p) for j, steps in J.PROGRESS_BANDS.items() for s, p in steps], "job string, step string, percent int")
+    """The step of each of the table's jobs, half of them detections, from how far it has come."""
+    i = F.col("event_id")
+    return D.table(spark, d, "events").select("event_id", J.step_under_way(F.when(i % 2 == 0, "detect").otherwise("road"), i % 103).alias("step"))
+
 
+ASKED = "case event_type when 'view' then ' GPU' when 'click' then 'cuda:1' when 'error' then '' when 'signup' then null else 'cpu' end"
 
-@query("select asked, device from (values ('cpu', 'cpu'), ('gpu', 'cuda:0'), ('cuda:1', 'cuda:1'), ('', 'cpu')) v(asked, device)")
+
+@query(f"select event_id, case when a is null or trim(a) = '' then 'cpu' when lower(trim(a)) = 'gpu' then 'cuda:0' else lower(trim(a)) end as device from (select event_id, {ASKED} as a from events)")
 def device_resolve(spark, d):
-    return spark.createDataFrame([(a, S.resolve_device(a, cuda=True)) for a in ("cpu", "gpu", "cuda:1", "")], "asked string, device string")
+    return D.table(spark, d, "events").select("event_id", S.device(F.expr(ASKED), cuda=True).alias("device"))
 
 
-@query("select key, value::int as value from (values ('a', 1), ('b', 2), ('c', -1)) v(key, value)")
+@query("select event_id, coalesce(case event_type when 'view' then 1 when 'error' then 2 end, -1)::int as value from events")
 def scalar_map(spark, d):
-    m = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
-    return spark.createDataFrame([("a",), ("b",), ("c",)], "key string").select("key", F.coalesce(F.try_element_at(m, F.col("key")), F.lit(-1)).alias("value"))
+    m = F.create_map(F.lit("view"), F.lit(1), F.lit("error"), F.lit(2))
+    return D.table(spark, d, "events").select("event_id", F.coalesce(F.try_element_at(m, F.col("event_type")), F.lit(-1)).alias("value"))
 
 
 @query("select vec_id, embedding[1] as first, len(embedding[1:3]) as n, list_sum(embedding[1:3])::double as s from embeddings")
@@ -157,106 +160,22 @@ def scalar_date(spark, d):
     return D.table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-@query("select job, checks, case when job not in ('detect', 'road') then 'ValueError' when checks < 5 then 'canceled' else 'result' end as outcome from (values ('detect'), ('road'), ('other')) j(job), (values (0), (3), (9)) c(checks)")
-def dispatch(spark, d):
-    """Jobs of five steps by name, canceled after so many checks; an unknown name is an error."""
-
-    @J.pipeline("detect", "road")
-    def steps(spark, params, context):
-        for _, percent in J.PROGRESS_BANDS[params["job"]][:5]:
-            context.check()
-            context.say("progress", percent)
-
-    rows = []
-    for job in ("detect", "road", "other"):
-        for at in (0, 3, 9):
-            asked = iter(range(100))
-            rows.append((job, at, J.outcome(job, spark, {"job": job}, J.JobContext(lambda asked=asked, at=at: next(asked) >= at))))
-    return spark.createDataFrame(rows, "job string, checks int, outcome string")
+def _flags(n: int):
+    """Readiness of a request, by the bits of its number."""
+    return [F.shiftright("event_id", k).bitwiseAND(F.lit(1)) == 1 for k in range(n)]
 
 
-@query("select checks, percent, outcome from (values (0, null, 'canceled'), (1, 5, 'canceled'), (4, 95, 'canceled'), (9, 100, 'result')) v(checks, percent, outcome)")
-def cancel(spark, d):
-    """How far a detection job has come when it is canceled at its checks."""
+BITS = ", ".join(f"(event_id >> {k}) & 1 = 1 as b{k}" for k in range(5))
 
-    @J.pipeline("cancelable")
-    def steps(spark, params, context):
-        for _, percent in J.PROGRESS_BANDS["detect"]:
-            context.check()
-            context.say("progress", percent)
 
-    rows = []
-    for at in (0, 1, 4, 9):
-        asked = iter(range(100))
-        context = J.JobContext(lambda asked=asked, at=at: next(asked) >= at)
-        ends = J.outcome("cancelable", spark, {}, context)
-        rows.append((at, int(context.messages[-1][1]) if context.messages else None, ends))
-    return spark.createDataFrame(rows, "checks int, percent int, outcome string")
-
-
-@query("select module, found from (values ('numpy', true), ('pyarrow', true), ('pyspark', true), ('no_such_module', false)) v(module, found)")
-def env_check(spark, d):
-    found = J.environment(("numpy", "pyarrow", "pyspark", "no_such_module"))
-    return spark.createDataFrame([(m, v != "MISSING") for m, v in found.items()], "module string, found boolean")
-
-
-@query("""select asked, container, environment, host, case when asked in ('venv', 'local') then asked when container then 'docker' when asked = 'docker' then 'unavailable' when environment then 'venv' when host then 'local' else 'unavailable' end as backend
-from (values ('auto'), ('docker'), ('venv'), ('local')) a(asked), (values (true), (false)) c(container), (values (true), (false)) e(environment), (values (true), (false)) h(host)""")
+@query(f"""select event_id, case when asked in ('venv', 'local') then asked when asked = 'docker' and b0 then asked when asked = 'auto' then case when b0 then 'docker' when b1 then 'venv' when b2 then 'local' end end as backend
+from (select event_id, case event_type when 'view' then 'auto' when 'click' then 'docker' when 'error' then 'venv' when 'signup' then 'local' else 'auto' end as asked, {BITS} from events)""")
 def backend_choice(spark, d):
-    def chosen(*given):
-        try:
-            return J.backend_of(*given)
-        except J.UnavailableError:
-            return "unavailable"
-
-    cases = itertools.product(("auto", "docker", "venv", "local"), *[(True, False)] * 3)
-    return spark.createDataFrame([(*c, chosen(*c)) for c in cases], "asked string, container boolean, environment boolean, host boolean, backend string")
+    """Where each request of the table runs, null where nothing is ready for it."""
+    asked = F.expr("case event_type when 'view' then 'auto' when 'click' then 'docker' when 'error' then 'venv' when 'signup' then 'local' else 'auto' end")
+    return D.table(spark, d, "events").select("event_id", J.backend(asked, *_flags(3)).alias("backend"))
 
 
-@query("""select a, b, c, d, e, case when a then 'current' when b then 'older' when c then 'current, pulled' when d then 'older, pulled' when e then 'current, built' else 'unavailable' end as image
-from (values (true), (false)) v1(a), (values (true), (false)) v2(b), (values (true), (false)) v3(c), (values (true), (false)) v4(d), (values (true), (false)) v5(e)""")
+@query(f"select event_id, case when b0 then 'current' when b1 then 'older' when b2 then 'current, pulled' when b3 then 'older, pulled' when b4 then 'current, built' end as image from (select event_id, {BITS} from events)")
 def image_resolve(spark, d):
-    def chosen(*given):
-        try:
-            return J.image_source(*given)
-        except J.UnavailableError:
-            return "unavailable"
-
-    return spark.createDataFrame([(*c, chosen(*c)) for c in itertools.product((True, False), repeat=5)], "a boolean, b boolean, c boolean, d boolean, e boolean, image string")
-
-
-ENSURE = "ensured as (select doc_id, sha256(text) as sha256, length(text) > 0 as filled, doc_id % 5 as state, doc_id % 3 as fails from documents)"
-
-
-@query(f"""with {ENSURE} select doc_id, case when filled and state = 0 then 0 when filled and state <> 4 then fails + 1 else 3 end as fetches,
-  filled and (state = 0 or state <> 4) as there, false as part_left from ensured""")
-def ensure_model(spark, d):
-    """Files that are cached whole (state 0), cached broken, not there, or never whole (4), from a source that fails so many times first."""
-    docs = D.table(spark, d, "documents").select("doc_id", "text")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                body = (text or "").encode()
-                files, fetched = J.MemoryFiles(), []
-                if i % 5 in (0, 1):
-                    files["m"] = body if i % 5 == 0 else body + b"?"
-
-                def fetch(part, i=i, body=body, files=files, fetched=fetched):
-                    fetched.append(part)
-                    files[part] = body + b"?" if i % 5 == 4 else body
-                    if len(fetched) <= i % 3:
-                        raise OSError("broken off")
-
-                try:
-                    J.ensure_file("m", fetch, hashlib.sha256(body).hexdigest(), wait=0.0, files=files)
-                    there = True
-                except OSError:
-                    there = False
-                rows.append((i, len(fetched), there, "m.part" in files))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.bool_(), pa.bool_()))], ["doc_id", "fetches", "there", "part_left"])
-
-    return docs.mapInArrow(run, "doc_id long, fetches int, there boolean, part_left boolean")
+    return D.table(spark, d, "events").select("event_id", J.image(*_flags(5)).alias("image"))

@@ -276,3 +276,33 @@ def test_windows_of_a_file_read_only_their_strips(spark, tmp_path):
         for _ in range(300):
             s, n = int(r.integers(0, len(data))), int(r.choice([3, 50, 70_000]))
             assert slices[s : min(len(data), s + n)] == data[s : s + n]
+
+
+def test_choices_for_tables_are_those_of_single_requests(spark):
+    """The column forms against the functions of one request."""
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from rastrum.functions import scalar as S
+    from rastrum.operators import jobs as J
+
+    def single(f, *given):
+        try:
+            return f(*given)
+        except (J.UnavailableError, ValueError):
+            return None
+
+    cases = [(a, *b) for a in ("auto", "docker", "venv", "local", "other") for b in itertools.product((True, False), repeat=5)]
+    df = spark.createDataFrame(cases, "asked string, a boolean, b boolean, c boolean, d boolean, e boolean")
+    flags = [F.col(c) for c in "abcde"]
+    got = df.select("*", J.backend(F.col("asked"), *flags[:3]).alias("backend"), J.image(*flags).alias("image")).collect()
+    for r in got:
+        assert r.backend == single(J.backend_of, r.asked, r.a, r.b, r.c) and r.image == single(J.image_source, r.a, r.b, r.c, r.d, r.e)
+    names = ["cpu", " GPU ", "cuda:1", "", None, "MPS"]
+    asked = spark.createDataFrame([(n,) for n in names], "n string")
+    for given in ({}, {"cuda": True}, {"mps": True}):
+        assert [r.d for r in asked.select(S.device(F.col("n"), **given).alias("d")).collect()] == [S.resolve_device(n, **given) for n in names]
+    steps = spark.createDataFrame([(j, p) for j in ("detect", "road", "none") for p in (0, 5, 6, 94, 95, 100, 101)], "j string, p int")
+    for r in steps.select("j", "p", J.step_under_way(F.col("j"), F.col("p")).alias("s")).collect():
+        assert r.s == next((s for s, end in J.PROGRESS_BANDS.get(r.j, ()) if r.p <= end), None)
