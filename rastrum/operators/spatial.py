@@ -14,20 +14,51 @@ from rastrum.session import checkpoint
 BOX = ("x1", "y1", "x2", "y2")
 
 
+DENSE = 20_000  # boxes of a cell from which it is cut into smaller ones
+FINEST = 1 << 10  # parts of a cell's side at most
+
+
+def _parts(boxes: DataFrame, group: str, cell: float) -> DataFrame:
+    """boxes with their grid cells (cx, cy) and parts, the number of parts that the side of a dense cell is cut into; 1 elsewhere.
+
+    Cells are counted first. A dense one is cut so far that its parts would hold DENSE boxes if these lay evenly, but
+    no part gets smaller than the mean box in it, or boxes would have to be copied many times.
+    """
+    low = lambda v: F.floor(F.col(v) / cell).cast("long")
+    cells = boxes.withColumn("cx", F.explode(F.sequence(low("x1"), low("x2")))).withColumn("cy", F.explode(F.sequence(low("y1"), low("y2"))))
+    side = F.greatest(F.avg(F.least(F.col("x2") - F.col("x1"), F.lit(cell))), F.avg(F.least(F.col("y2") - F.col("y1"), F.lit(cell))))
+    dense = cells.groupBy(group, "cx", "cy").agg(F.count("*").alias("n"), side.alias("side")).where(F.col("n") > DENSE)
+    cut = F.least(F.ceil(F.sqrt(F.col("n") / F.lit(DENSE))), F.floor(F.lit(cell) / F.greatest("side", F.lit(cell / FINEST))))
+    dense = checkpoint(dense.select(F.col(group).alias("g"), F.col("cx").alias("dx"), F.col("cy").alias("dy"), F.greatest(cut, F.lit(1)).cast("int").alias("parts")).where("parts > 1"))
+    if dense.isEmpty():
+        return cells.withColumn("parts", F.lit(1))
+    found = cells.join(dense, cells[group].eqNullSafe(dense["g"]) & (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy")), "left")
+    return found.withColumn("parts", F.coalesce("parts", F.lit(1))).drop("g", "dx", "dy")
+
+
 def overlap_pairs(boxes: DataFrame, group: str, key: str, metric: str = "ios", least: float = 0.5, cell: float = 64.0) -> DataFrame:
     """(group, a, b, value) with a < b of the boxes of a group whose metric is least or more.
 
-    A box is in each grid cell that it covers; a pair that meets in several cells counts only in the cell
-    of the lower left corner of its intersection, so nothing has to be made distinct. Any cell size is
-    exact. The cell is part of the join key, so a group that holds many boxes is spread by place.
+    A box is in each grid cell that it covers, and in a dense cell in each part of it that it covers; a pair that meets
+    in several counts only in the one of the lower left corner of its intersection, so nothing has to be made
+    distinct. Any cell size is exact. The cell is part of the join key, so a group that holds many boxes is spread by
+    place, and one cell that holds many by its parts. Boxes with a null coordinate are in no pair; rows with the same
+    key are no pair of each other.
     """
     of: Callable[[dict, dict], Column] = {"ios": ios, "iou": iou}[metric]
-    low = lambda v: F.floor(F.col(v) / cell).cast("long")
-    cells = boxes.select(group, key, *BOX).withColumn("cx", F.explode(F.sequence(low("x1"), low("x2")))).withColumn("cy", F.explode(F.sequence(low("y1"), low("y2"))))
+    cells = _parts(boxes.select(group, key, *BOX), group, cell)
+    part = lambda v, n: F.floor(v * F.col(n) / cell).cast("long")
+
+    def covered(lo: str, hi: str, at: str) -> Column:
+        first, last = F.col(at) * F.col("parts"), (F.col(at) + 1) * F.col("parts") - 1
+        return F.explode(F.sequence(F.greatest(part(F.col(lo), "parts"), first), F.least(part(F.col(hi), "parts"), last)))
+
+    cells = cells.withColumn("px", covered("x1", "x2", "cx")).withColumn("py", covered("y1", "y2", "cy"))
     a, b = cells.alias("a"), cells.alias("b")
     side = lambda s: {c: F.col(f"{s}.{c}") for c in BOX}
-    owner = (F.floor(F.greatest(F.col("a.x1"), F.col("b.x1")) / cell) == F.col("a.cx")) & (F.floor(F.greatest(F.col("a.y1"), F.col("b.y1")) / cell) == F.col("a.cy"))
-    same = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
+    corner = lambda v: F.floor(F.greatest(F.col(f"a.{v}"), F.col(f"b.{v}")) * F.col("a.parts") / cell)
+    owner = (corner("x1") == F.col("a.px")) & (corner("y1") == F.col("a.py"))
+    same = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.px") == F.col("b.px")) & (F.col("a.py") == F.col("b.py")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
     value = of(side("a"), side("b"))
     return a.join(b, same & (F.col(f"a.{key}") < F.col(f"b.{key}")) & owner & (value >= least)).select(F.col(f"a.{group}").alias(group), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), value.alias("value"))
 

@@ -146,3 +146,28 @@ def test_a_hundred_thousand_rings(spark):
     inside = spatial.points_within(points, aoi)
     want = points.where("x % 10 > 0 and x % 10 < 6 and y % 10 > 0 and y % 10 < 6 and y < 2500")
     assert inside.count() == want.count() == inside.join(want, "id").count() > 0
+
+
+def test_a_dense_cell_is_spread(spark, monkeypatch):
+    """A cell with most boxes is cut into parts, of which none holds many; the pairs are those of all against all."""
+    r = random.Random(12)
+    boxes = [(1, i, x, y, x + r.random() * 3, y + r.random() * 3) for i in range(1500) for x, y in [(70 + r.random() * 50, 66 + r.random() * 55)]]
+    boxes += [(g, 2000 + 400 * g + i, x, y, x + r.random() * 90, y + r.random() * 90) for g in (1, 2) for i in range(150) for x, y in [(r.random() * 300 - 50, r.random() * 300 - 50)]]
+    boxes += [(1, 5000 + i, 80.0 + i % 3, 80.0, 84.0, 85.0) for i in range(30)] + [(1, 6000, None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame([(*b, 1.0, "c") for b in boxes], DET).repartition(4)
+    area = lambda b: (b[4] - b[2]) * (b[5] - b[3])
+
+    def ios(a, b):
+        w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+        return max(w, 0) * max(h, 0) / (min(area(a), area(b)) + 1e-7)
+
+    real = [b for b in boxes if b[2] is not None]
+    want = {(a[1], b[1]) for a in real for b in real if a[0] == b[0] and a[1] < b[1] and ios(a, b) >= 0.5}
+    pairs = lambda: [(x.a, x.b) for x in spatial.overlap_pairs(df, "grp", "id").collect()]
+    even = pairs()
+    assert len(even) == len(set(even)) and set(even) == want and len(want) > 300
+    monkeypatch.setattr(spatial, "DENSE", 20)
+    held = spatial._parts(df.select("grp", "id", *spatial.BOX), "grp", 64.0)
+    assert held.agg(F.max("parts")).first()[0] >= 8
+    dense = pairs()
+    assert len(dense) == len(set(dense)) and set(dense) == want
