@@ -151,10 +151,11 @@ def most_certain(p: np.ndarray, tags: np.ndarray, k: int, up: bool) -> np.ndarra
 
 
 def _nominees(weights: list[np.ndarray], scale: tuple[np.ndarray, np.ndarray], taken: np.ndarray, k: int):
-    """The most certain rows of each batch: list 0 and 1 are the text view's good and bad ones, 2 and 3 the metadata view's."""
+    """The k most certain rows of each task: list 0 and 1 are the text view's good and bad ones, 2 and 3 the metadata view's."""
     names = ["list", "p", "tag", "log_chars", "source", "lang", "view"]
 
     def run(batches):
+        held: list[pa.Table | None] = [None] * 4
         for batch in batches:
             for s in range(0, batch.num_rows, 2048):
                 part = batch.slice(s, 2048)
@@ -165,9 +166,14 @@ def _nominees(weights: list[np.ndarray], scale: tuple[np.ndarray, np.ndarray], t
                 for me, (view, w) in enumerate(zip(views_of(part, scale), weights, strict=True)):
                     p = sigmoid(logit_of(view, w))
                     for up in (True, False):
-                        best = most_certain(p, tags, k, up)
+                        best, i = most_certain(p, tags, k, up), 2 * me + (not up)
                         own = part.take(pa.array(best))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), 2 * me + (not up), np.int32)), pa.array(p[best]), *(own.column(c) for c in names[2:])], names)
+                        own = pa.table([pa.array(np.full(len(best), i, np.int32)), pa.array(p[best]), *(own.column(c) for c in names[2:])], names)
+                        both = own if held[i] is None else pa.concat_tables([held[i], own])
+                        held[i] = both.take(pa.array(most_certain(both.column("p").to_numpy(), both.column("tag").to_numpy(), k, up))).combine_chunks()
+        for found in held:
+            if found is not None:
+                yield from found.to_batches()
 
     return run
 
@@ -233,7 +239,8 @@ def fit(rows: DataFrame, seed: int = 11) -> Model | None:
     blend = logistic(np.column_stack([x * c[0] + c[1] for x, c in zip(z, calibration, strict=True)]), y[calibrate])
     model = Model(scale, weights, calibration, blend)
     right = (model.scores(tuple(v[test] for v in own))[:, 2] >= 0.5) == y[test]
-    model.report = {"labelled": len(y), "pseudo_labels": given, "tested": int(test.sum()), "accuracy": float(right.mean())}
+    # where the labelled rows are too few to hold any out, nothing is measured
+    model.report = {"labelled": len(y), "pseudo_labels": given, "tested": int(test.sum()) if cuts.any() else 0, "accuracy": float(right.mean()) if cuts.any() else None}
     return model
 
 
