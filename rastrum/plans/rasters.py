@@ -5,7 +5,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from rastrum import scoring
+from rastrum import scoring, training
 from rastrum.plans import derived as D
 from rastrum.plans.catalog import query
 from rastrum.session import checkpoint
@@ -221,6 +221,32 @@ def augment_training(spark, d):
     return tiles.select("tile_id", "w", "h", (F.octet_length("pixels") / 4).cast("long").alias("values"))
 
 
+def _training_tiles(spark, d):
+    """The tiles with masks of their bright pixels."""
+    bright = F.transform("embedding", lambda v: F.when(F.floor(v.cast("double") * 600) > 60, "FF").otherwise("00"))
+    masks = D.table(spark, d, "embeddings").select(F.col("vec_id").alias("tile_id"), F.unhex(F.array_join(bright, "")).alias("mask"))
+    return _tile_rows(spark, d).join(masks, "tile_id")
+
+
+@query()
+def train(spark, d):
+    """The loss of each epoch over all tiles."""
+    _, history = training.train(_training_tiles(spark, d), 20, rate=0.2)
+    return spark.createDataFrame(history, "epoch int, pixels long, loss double").withColumn("loss", F.round("loss", 6))
+
+
+@query()
+def segment_trained(spark, d):
+    """All tiles by the network that they train: pixels and those on which it agrees with the mask."""
+    tiles = _training_tiles(spark, d)
+    network, _ = training.train(tiles, 20, rate=0.2)
+    found = scoring.segment(tiles.drop("mask"), scoring.UNetSegmenter(network))
+    bright = tiles.select("tile_id", F.hex("mask").alias("m"))
+    place = (F.col("row") % 8) * 8 + F.col("col")
+    agree = (F.col("p") > 0.5) == (F.substring("m", 2 * place + 1, F.lit(2)) == "FF")
+    return found.join(bright, "tile_id").groupBy("tile_id").agg(F.count("*").alias("pixels"), F.count_if(agree).alias("right"))
+
+
 @query("select event_id as job_id, json_extract_string(props, '$.k')::int as k from events")
 def scan_job_json(spark, d):
     return D.table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.from_json("props", "k int")["k"].alias("k"))
