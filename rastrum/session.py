@@ -55,4 +55,5 @@ def settled(df: DataFrame) -> DataFrame:
     each use, which for chains of expressions over lambdas grows without end. It does not push one below a generator;
     this one gives each row again, in the JVM and without a shuffle.
     """
-    return df.select(F.inline(F.array(F.struct(*[df[c] for c in df.columns]))))
+    named = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return df.select(F.inline(F.array(F.struct(*named))))
