@@ -77,27 +77,41 @@ def likeness(a: Column, b: Column, least: float) -> Column:
 
 
 def in_ranges(df: DataFrame, id_col: str, text_col: str, ranges: int) -> tuple[DataFrame, WindowSpec]:
-    """df dealt by ranges of ids, and a window in which the next row by ascending id (nulls first, then text) follows.
+    """df dealt by ranges of ids, and a window in which the next row by ascending id (nulls first, then a hash of the text, then the text) follows.
 
-    After the last row comes the first. Rows are cut into ranges of ids at quantiles, so no
-    task gets all of them; the first row of each range is also sent to the range before it as a guest.
+    After the last row comes the first. Rows are cut into ranges of ids at quantiles; an id that is on more
+    rows than two ranges hold, or null if it is, has ranges of its own, cut by the hash, so no task gets all of
+    them. The first row of each range is also sent to the range before it as a guest.
     """
-    cuts = df.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges).alias("q"), F.min(id_col).alias("lo"), F.count_if(F.col(id_col).isNull()).alias("nulls")).first()
-    bounds = sorted(set((cuts["q"] or []) if ranges > 1 else []) - {cuts["lo"]})
     key = F.col(id_col)
+    df = df.withColumn("_hash", F.shiftrightunsigned(F.xxhash64(text_col), 1))
+    cuts = df.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges).alias("q"), F.min(id_col).alias("lo"), F.count("*").alias("n")).first()
+    share = max(1, -(-cuts["n"] // ranges))
+    hot = {r[id_col]: -(-r["n"] // share) for r in df.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 2 * share).collect()}  # half as many as ranges at most
+    bounds = set((cuts["q"] or []) if ranges > 1 else []) - {cuts["lo"]}
+    bounds = sorted(bounds | {b for h in hot if h is not None for b in (h, h + 1) if b < 1 << 63})
     # two levels of cuts, so that finding a range costs the root of their number
     step = max(1, int(len(bounds) ** 0.5))
     coarse = F.array(*[F.lit(b).cast("long") for b in bounds[::step]]) if bounds else F.array().cast("array<bigint>")
     fine = F.array(*[F.array(*[F.lit(b).cast("long") for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)]) if bounds else F.array().cast("array<array<bigint>>")
     outer = F.size(F.filter(coarse, lambda b: b <= key))
     inner = F.when(outer > 0, (outer - 1) * step + F.size(F.filter(F.get(fine, outer - 1), lambda b: b <= key))).otherwise(F.lit(0))
-    df = df.withColumn("_range", F.when(key.isNull(), F.lit(0)).otherwise(inner))
-    is_first = key.isNull() if cuts["nulls"] else key == F.lit(cuts["lo"]).cast("long")
-    starts = key.isin(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.lit(False)
-    guest_of = F.when(starts, F.col("_range") - 1).when(is_first, F.lit(len(bounds)))
-    copies = F.filter(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest")), F.struct(F.coalesce(guest_of, F.lit(-1)).cast("int").alias("r"), F.lit(True).alias("guest"))), lambda c: c["r"] >= 0)
-    sent = df.withColumn("_copy", F.explode(copies)).withColumns({"_range": F.col("_copy.r"), "_guest": F.col("_copy.guest")}).drop("_copy")
-    order = Window.partitionBy("_range").orderBy(F.col("_guest"), F.col(id_col).asc_nulls_first(), F.col(text_col))
+    parts = F.lit(1)
+    for h, k in hot.items():
+        parts = F.when(key.isNull() if h is None else key == F.lit(h).cast("long"), k).otherwise(parts)
+    at = F.floor(F.col("_hash") / F.lit(2.0**63) * parts)
+    df = df.withColumns({"_range": F.when(key.isNull(), F.lit(-1 if None in hot else 0)).otherwise(inner).cast("int"), "_part": F.least(at, parts - 1).cast("int")})
+    segment = ["_range", "_part"]
+    found = df.groupBy(*segment).agg(F.min(F.struct(key.isNotNull().alias("known"), key.alias("id"), "_hash")).alias("first")).orderBy(*segment).collect()  # as many as ranges, about
+    before = [(r["_range"], r["_part"], r["first"]["id"], r["first"]["_hash"], found[i - 1]["_range"], found[i - 1]["_part"]) for i, r in enumerate(found)]
+    firsts = df.sparkSession.createDataFrame(before, "_range int, _part int, _first_id long, _first_hash long, _to_range int, _to_part int")
+    held = df.join(F.broadcast(firsts), segment)
+    is_first = key.eqNullSafe(F.col("_first_id")) & (F.col("_hash") == F.col("_first_hash"))
+    copy = lambda r, p, guest: F.struct(F.col(r).alias("r"), F.col(p).alias("p"), F.lit(guest).alias("guest"))
+    own, guest = copy("_range", "_part", False), copy("_to_range", "_to_part", True)
+    sent = held.withColumn("_copy", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
+    sent = sent.withColumns({"_range": F.col("_copy.r"), "_part": F.col("_copy.p"), "_guest": F.col("_copy.guest")}).drop("_copy", "_first_id", "_first_hash", "_to_range", "_to_part")
+    order = Window.partitionBy(*segment).orderBy(F.col("_guest"), key.asc_nulls_first(), F.col("_hash"), F.col(text_col))
     return sent, order
 
 
@@ -112,7 +126,7 @@ def edit_robustness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The edited text keeps all but the last floor(n / 2) code points and goes on with as many of the next
     document by ascending id (all, if it has fewer); after the last comes the first. Null ids come first;
-    rows with equal ids follow each other by text; a single row is followed by itself. A null text is
+    rows with equal ids follow each other by a hash of the text; a single row is followed by itself. A null text is
     empty; two empty fingerprints are alike (1), and fingerprints with a likeness below least are not alike (0). size_partition is the partition of the fingerprint by its size. An empty table gives an
     empty result; other columns are ignored.
     """

@@ -263,6 +263,21 @@ def test_spotsigs_nulls_and_ties(docs):
     assert len(got) == len(corpus()) and sum(r.doc_id is None for r in got) == 2
 
 
+@pytest.mark.parametrize("hot", [None, 7, (1 << 63) - 1])
+def test_next_rows_of_a_hot_id(spark, hot):
+    """An id on two thirds of all rows, null among them: the order is whole, and no range holds them all."""
+    r = random.Random(6)
+    rows = [(hot, f"text {k}") for k in range(400)] + [(r.choice([None, *range(60), 1 << 62]), f"other {k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sent, order = spotsigs.in_ranges(df, "doc_id", "text", 16)
+    held = sent.withColumn("next", F.lead("text").over(order)).where(~F.col("_guest"))
+    assert max(x["count"] for x in held.groupBy("_range", "_part").count().collect()) < 120
+    hashes = {x.text: x.h for x in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("h")).collect()}
+    chain = [t for _, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]], x[1]))]
+    got = {x.text: x.next for x in held.collect()}
+    assert got == dict(zip(chain, chain[1:] + chain[:1], strict=True))
+
+
 @pytest.mark.parametrize("least", [0.5, 0.8])
 def test_spotsigs_pairs(spark, least):
     r = random.Random(3)
