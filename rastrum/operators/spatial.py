@@ -29,9 +29,10 @@ def _parts(boxes: DataFrame, group: str, cell: float) -> DataFrame:
     side = F.greatest(F.avg(F.least(F.col("x2") - F.col("x1"), F.lit(cell))), F.avg(F.least(F.col("y2") - F.col("y1"), F.lit(cell))))
     dense = cells.groupBy(group, "cx", "cy").agg(F.count("*").alias("n"), side.alias("side")).where(F.col("n") > DENSE)
     cut = F.least(F.ceil(F.sqrt(F.col("n") / F.lit(DENSE))), F.floor(F.lit(cell) / F.greatest("side", F.lit(cell / FINEST))))
-    dense = checkpoint(dense.select(F.col(group).alias("g"), F.col("cx").alias("dx"), F.col("cy").alias("dy"), F.greatest(cut, F.lit(1)).cast("int").alias("parts")).where("parts > 1"))
+    dense = dense.select(F.col(group).alias("g"), F.col("cx").alias("dx"), F.col("cy").alias("dy"), F.greatest(cut, F.lit(1)).cast("int").alias("parts")).where("parts > 1")
     if dense.isEmpty():
         return cells.withColumn("parts", F.lit(1))
+    dense = checkpoint(dense)
     found = cells.join(dense, cells[group].eqNullSafe(dense["g"]) & (F.col("cx") == F.col("dx")) & (F.col("cy") == F.col("dy")), "left")
     return found.withColumn("parts", F.coalesce("parts", F.lit(1))).drop("g", "dx", "dy")
 
