@@ -18,8 +18,9 @@ holds an anchor at a place that only its own bytes decide. Equal strings therefo
    earliest document.
 4. The answers go back to the batches, which cut the covered bytes out.
 
-Entries are bounded by batches, not by copies; nothing is emitted by pairs. The class key has 70 bits
-and more of hash, the rest is compared byte by byte.
+Entries are bounded by batches, not by copies; nothing is emitted by pairs. Contexts equal to an earlier
+document's are told by a class key of 64 bits of hash and the number of the part; all other strings are
+compared byte by byte.
 """
 
 from __future__ import annotations
