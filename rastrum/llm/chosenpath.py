@@ -148,11 +148,13 @@ _DESCRIBED = "doc_id long, tag long, hi long, lo long, n long, " + ", ".join(f"{
 
 
 def _shingles(width: int):
+    """(cid, shingles): the hashes of each class's set as longs, ascending as such."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets, held = [], [], 0
             for cid, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(cid), sets.append(np.unique(shingle_hashes(t.as_py() or b"", width)).view(np.int64))
+                ids.append(cid), sets.append(np.sort(np.unique(shingle_hashes(t.as_py() or b"", width)).view(np.int64)))
                 held += len(sets[-1])
                 if held >= BLOCK:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])

@@ -101,3 +101,32 @@ def test_whole_table_and_empty(spark):
 def test_recall_of_the_trees():
     assert 0.031 < chosenpath.expected_miss(0.85) < 0.0315
     assert chosenpath.expected_miss(0.85) ** chosenpath.trees_for(0.85, 0.9999999) <= 1e-7
+
+
+def test_cells_link_what_is_alike():
+    """The links of a cell against all pairs of its sets, whose hashes have both signs."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(4000)]
+    base = [r.choice(words) for _ in range(120)]
+    texts = [" ".join(r.choice(words) if r.random() < share else w for w in base) for share in [0.0, 0.002, 0.004, 0.006, 0.01] * 8]
+    texts = list(dict.fromkeys(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([t.encode() for t in texts])], ["cid", "text"])
+    sets = [x for b in chosenpath._shingles(5)(iter([batch])) for x in b.column("shingles").to_pylist()]
+    assert all(x == sorted(x) for x in sets) and min(map(min, sets)) < 0 < max(map(max, sets))
+    same = [pa.array(np.zeros(len(texts), np.int64))] * len(chosenpath.WORDS)
+    columns = [pa.array([7] * len(texts)), pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array([len(x) for x in sets]), *same, pa.array([[7]] * len(texts), pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))]
+    found = chosenpath._cell_links(85)(pa.table(columns, ["node", *chosenpath.TRAITS, "shingles"])).to_pylist()
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) for both in [len(set(sets[i]) & set(sets[j]))] if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both)]
+
+    def roots(edges):
+        root = list(range(len(sets)))
+        for _ in sets:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert {tuple(sorted(f.values())) for f in found} <= {tuple(sorted(a)) for a in alike} and roots([tuple(f.values()) for f in found]) == roots(alike)
+    assert 1 < len(set(roots(alike))) < len(sets)
